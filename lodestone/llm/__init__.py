@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name -> (module, function, name of the module's SQL or None).
 REGISTRY = {
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
+    "op4_media_columns": ("media_columns", "op4_media_columns", None),
+    "op9_source_mix": ("source_mix", "op9_source_mix", "SQL"),
 }
 
 
