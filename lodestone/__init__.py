@@ -1 +1,8 @@
 """Spark-native retrieval and knowledge analytics over collections of text records."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
