@@ -8,6 +8,7 @@ from importlib import import_module
 REGISTRY = {
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
     "op4_media_columns": ("media_columns", "op4_media_columns", None),
+    "op7_license_scan": ("license_scan", "op7_license_scan", "SQL"),
     "op9_source_mix": ("source_mix", "op9_source_mix", "SQL"),
 }
 
