@@ -9,6 +9,7 @@ REGISTRY = {
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
     "op4_media_columns": ("media_columns", "op4_media_columns", None),
     "op7_license_scan": ("license_scan", "op7_license_scan", "SQL"),
+    "op8_secret_scan": ("secret_scan", "op8_secret_scan", None),
     "op9_source_mix": ("source_mix", "op9_source_mix", "SQL"),
 }
 

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -81,17 +82,17 @@ def _pairs(t: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return time[order].astype(np.int32), code[order].astype(np.int32)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def wav_of(payload: pd.Series) -> pd.Series:
     return payload.map(_stored, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def samples_of(media: pd.Series) -> pd.Series:
     return media.map(_samples, na_action="ignore")
 
 
-@F.pandas_udf("times array<int>, codes array<int>, samples binary")
+@F.pandas_udf(T.StructType([T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("samples", T.BinaryType())]))
 def fingerprint_of(media: pd.Series) -> pd.DataFrame:
     rows = []
     for m in media:
