@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> (module, function, name of the module's SQL or None).
 REGISTRY = {
+    "op1_quality_classifier": ("quality_classifier", "op1_quality_classifier", None),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
     "op4_media_columns": ("media_columns", "op4_media_columns", None),
     "op7_license_scan": ("license_scan", "op7_license_scan", "SQL"),
