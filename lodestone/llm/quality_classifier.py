@@ -31,7 +31,7 @@ FOLDS = 5
 
 DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 8, 2, 24, 16
 BLOCK = 256  # bytes; a chunk is two
-EPOCHS, BATCH, RATE = 8, 16, 0.01
+STEPS, BATCH, RATE = 1500, 16, 0.01
 SEGMENT = 256  # blocks convolved at once
 SLICES, SLICE = 0.5, (5, 150)  # short slices of texts of label 1 added to the whole texts, as a share of them; bytes
 _PAD = 256  # the embedding's row for bytes beyond the end
@@ -142,17 +142,16 @@ class Network:
             slices.append((b" ".join(words[at:])[:size].rpartition(b" ")[0] or words[at], 1))
         rows = rows + slices
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
-        steps = EPOCHS * -(-len(rows) // BATCH)
-        for _ in range(EPOCHS):
+        while t < STEPS:
             order = rng.permutation(len(rows))
-            for at in range(0, len(rows), BATCH):
+            for at in range(0, min(len(rows), (STEPS - t) * BATCH), BATCH):
                 g = {k: np.zeros_like(x) for k, x in self.p.items()}
                 batch = order[at : at + BATCH]
                 for i in batch:
                     self.gradients(*rows[i], g)
                 g["embed"][_PAD] = 0
                 t += 1
-                rate = RATE * (1 - t / (steps + 1))
+                rate = RATE * (1 - t / (STEPS + 1))
                 for k, x in g.items():
                     x /= len(batch)
                     m[k] = 0.9 * m[k] + 0.1 * x
