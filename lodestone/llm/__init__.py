@@ -9,6 +9,7 @@ REGISTRY = {
     "op1_quality_classifier": ("quality_classifier", "op1_quality_classifier", None),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
     "op4_media_columns": ("media_columns", "op4_media_columns", None),
+    "op5_token_counts": ("token_counts", "op5_token_counts", None),
     "op6_decontaminate": ("decontaminate", "op6_decontaminate", None),
     "op7_license_scan": ("license_scan", "op7_license_scan", "SQL"),
     "op8_secret_scan": ("secret_scan", "op8_secret_scan", None),
