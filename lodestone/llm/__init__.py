@@ -8,6 +8,7 @@ from importlib import import_module
 REGISTRY = {
     "op1_quality_classifier": ("quality_classifier", "op1_quality_classifier", None),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
+    "op3_minhash_dedup": ("minhash_dedup", "op3_minhash_dedup", None),
     "op4_media_columns": ("media_columns", "op4_media_columns", None),
     "op5_token_counts": ("token_counts", "op5_token_counts", None),
     "op6_decontaminate": ("decontaminate", "op6_decontaminate", None),
