@@ -15,6 +15,7 @@ REGISTRY = {
     "op7_license_scan": ("license_scan", "op7_license_scan", "SQL"),
     "op8_secret_scan": ("secret_scan", "op8_secret_scan", None),
     "op9_source_mix": ("source_mix", "op9_source_mix", "SQL"),
+    "op10_suffix_dedup": ("suffix_dedup", "op10_suffix_dedup", None),
 }
 
 
