@@ -175,7 +175,7 @@ def _sort_runs(length: int):
         many[1:] |= same
         many[:-1] |= same
         known = np.fromiter((r.c > 1 for r in rows), bool, len(rows))
-        out = [(0, rows[o].h, rows[o].g, int(s), None, None, None, None, None) for o, s in zip(owner[many], start[many], strict=True) if not known[o]]
+        out = [(0, rows[o].h, rows[o].g, int(s), 0, None, None, None, None) for o, s in zip(owner[many], start[many], strict=True) if not known[o]]
         if rows[0].salts > 1:
             run = uuid.uuid4().hex
             size = text.dtype.itemsize
@@ -185,7 +185,7 @@ def _sort_runs(length: int):
                 open_ = [i for i in at if not many[i] and not known[owner[i]]]
                 names = np.array([(rows[owner[i]].h, rows[owner[i]].g, start[i]) for i in open_], np.int64).reshape(-1, 3)
                 number = {i: n for n, i in enumerate(open_)}
-                out.append((1, None, None, None, None, run, strings[0], front_coded(strings, [number.get(i, -1) for i in at]), names.tobytes()))
+                out.append((1, 0, 0, 0, 0, run, strings[0], front_coded(strings, [number.get(i, -1) for i in at]), names.tobytes()))
         return out
 
     def sort(batches):
@@ -219,7 +219,7 @@ def _cut_at(splitters: list[bytes]):
                 for n, entries in parts.items():
                     tags = [t for _, t in entries if t >= 0]
                     number = {t: i for i, t in enumerate(tags)}
-                    out.append((1, None, None, None, n, row.run, entries[0][0], front_coded([s for s, _ in entries], [number.get(t, -1) for _, t in entries]), owners[tags].tobytes()))
+                    out.append((1, 0, 0, 0, n, row.run, entries[0][0], front_coded([s for s, _ in entries], [number.get(t, -1) for _, t in entries]), owners[tags].tobytes()))
             yield pd.DataFrame(out, columns=RUNS.names)
 
     return cut
