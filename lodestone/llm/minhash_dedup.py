@@ -8,9 +8,10 @@ MANTISSA bits after the first one. Bands of ROWS registers are the keys of candi
 Documents with equal sets are one node, so copies are never paired. In a bucket, nodes are first paired with the
 bucket's smallest node alone. Pairs are estimated from the registers, corrected for registers that agree by chance, and
 those that may reach the threshold are verified on the full sets; links join nodes into components. ROUNDS times, each
-node tries its best untested pair into another component; then every pair of one bucket that still lies in different
-components is tried, the smaller components of a bucket against all others. So no link between different components
-is lost, and members of one component are never paired again.
+node tries its best untested pair into another component; then the pairs of one bucket that still lie in
+different components are tried, the smaller components of a bucket against all others, but for those that bitmaps of
+their sets show to be too far apart, or that differ in more registers' last bits than similar sets do (by 4.5 standard
+errors). So no link between different components is lost, and members of one component are never paired again.
 
 Defined results for odd input: a text that is null or has no words has the empty set and is linked with nothing; a
 text with fewer than K words has one shingle, all its words; a null doc_id is linked with nothing and kept; rows that
@@ -35,12 +36,14 @@ ROWS, BANDS = 5, 40
 BUCKETS = ROWS * BANDS
 MANTISSA = 10
 ROUNDS = 3
+BITS = tuple(f"bits{n}" for n in range(-(-BUCKETS // 64)))  # columns with the last bit of every register
+MAPS = 64  # words of 64 bits of a set's bitmap
 MARGIN = 4.5  # standard errors by which an estimate may miss the threshold
 _rng = np.random.default_rng(11)
 _XOR = _rng.integers(0, 2**32, BUCKETS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, BUCKETS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType()), *[T.StructField(b, T.LongType()) for b in BITS]])
 SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
 
@@ -83,6 +86,13 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def last_bits(regs: np.ndarray) -> np.ndarray:
+    """The last bit of every register, 64 to a column."""
+    packed = np.zeros((len(regs), 8 * len(BITS)), np.uint8)
+    packed[:, : -(-BUCKETS // 8)] = np.packbits((regs & 1).astype(np.uint8), axis=1)
+    return packed.view(np.int64)
+
+
 def chance(n: int) -> float:
     """How often a register agrees by chance in two disjoint sets of n shingles each."""
     zeros = np.arange(1, 33)[:, None]
@@ -109,7 +119,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets([t for _, t in part], k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 regs = registers([sets[i] for i in full]) if full else np.zeros((0, BUCKETS), "<u2")
-                keys = band_keys(regs)
+                keys, bits = band_keys(regs), np.zeros((len(sets), len(BITS)), np.int64)
+                bits[full] = last_bits(regs)
                 at = {i: j for j, i in enumerate(full)}
                 sums = [(mixed(s).sum(), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) for s in sets]
                 yield pd.DataFrame(
@@ -120,6 +131,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                         "f2": np.array([b for _, b in sums], np.uint64).view(np.int64),
                         "keys": [keys[at[i]] if i in at else [] for i in range(len(sets))],
                         "registers": [regs[at[i]].tobytes() if i in at else b"" for i in range(len(sets))],
+                        **{b: bits[:, n] for n, b in enumerate(BITS)},
                     }
                 )
 
@@ -188,15 +200,50 @@ class Linker:
         return out.withColumn(label, F.coalesce("__l", F.col(node))).drop("__n", "__l")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(node, more, map0, map1, ...): a bit for each shingle by its hash, and how many shingles met a bit already set."""
+
+    def each(batches):
+        for batch in batches:
+            maps, more = np.zeros((len(batch), 8 * MAPS), np.uint8), np.zeros(len(batch), np.int64)
+            for i, shingles in enumerate(batch["shingles"]):
+                bits = np.zeros(64 * MAPS, np.uint8)
+                s = np.frombuffer(shingles, np.uint64)
+                bits[(s % np.uint64(64 * MAPS)).astype(np.int64)] = 1
+                maps[i], more[i] = np.packbits(bits), len(s) - int(bits.sum())
+            words = maps.view(np.int64)
+            yield pd.DataFrame({"node": batch["node"], "more": more, **{f"map{n}": words[:, n] for n in range(MAPS)}})
+
+    longs = ["node", "more", *[f"map{n}" for n in range(MAPS)]]
+    return sets.select("node", "shingles").mapInPandas(each, T.StructType([T.StructField(n, T.LongType()) for n in longs]))
+
+
+def most_apart(similar: int) -> int:
+    """Last bits in which two sets may differ: those of unequal registers do so by half, with MARGIN standard errors."""
+    p = (1 - similar / 100) / 2
+    return int(BUCKETS * p + MARGIN * (BUCKETS * p * (1 - p)) ** 0.5 + 1)
+
+
 def cross_pairs(members: DataFrame, linker: Linker) -> DataFrame:
-    """(a, b), a < b: all pairs of one bucket that lie in different components, each once."""
-    rows = stored(linker.labelled(members.select("key", "node"), "node", "label"), "labelled")
+    """(a, b), a < b: the pairs of one bucket that lie in different components and may be similar, each once.
+
+    The join itself bounds the similarity by the registers' last bits and, exactly, by bitmaps of the sets: the
+    intersection is at most the bits that two maps share and the shingles that met a set bit. So texts that merely share
+    a passage, or are edited too far apart, make no rows.
+    """
+    rows = stored(linker.labelled(members.select("key", "node", "n", *BITS), "node", "label"), "labelled")
     mixed_keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rows = stored(rows.join(stored(mixed_keys, "mixed"), "key"), "in-mixed")
+    rows = rows.join(stored(mixed_keys, "mixed"), "key")
+    maps = stored(bitmaps(linker.sets.join(rows.select("node").distinct(), "node", "left_semi")), "bitmaps")
+    rows = stored(rows, "in-mixed")
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     most = stored(sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most")), "most")
-    minor = rows.join(most, "key").where("label <> most").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    pairs = minor.join(rows, "key").where("label <> lx")
+    rows = rows.join(maps, "node")
+    minor = rows.join(most, "key").where("label <> most").select("key", *[F.col(c).alias(f"x_{c}") for c in rows.columns if c != "key"]).withColumnRenamed("x_node", "x")
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x_{b}"))) for b in BITS), F.lit(0))
+    together = sum((F.bit_count(F.col(f"map{n}").bitwiseAND(F.col(f"x_map{n}"))) for n in range(MAPS)), F.least("more", "x_more"))
+    reachable = (100 + linker.similar) * together >= linker.similar * (F.col("n") + F.col("x_n"))
+    pairs = minor.join(rows, "key").where((F.col("label") != F.col("x_label")) & (apart <= most_apart(linker.similar)) & reachable)
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
@@ -206,8 +253,8 @@ def near_duplicates(docs: DataFrame, k: int = K, similar: int = SIMILAR) -> Data
     copies = stored(sketch.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "copies")
     # a set of n shingles can only be linked with another one if n / (n + 1) reaches the threshold
     firsts = sketch.where(100 * F.col("n") >= similar * (F.col("n") + 1)).join(copies, ["f1", "f2"]).where("doc_id = node")
-    nodes = stored(firsts.select("node", "n", "keys", "registers"), "nodes")
-    rows = nodes.select(F.explode("keys").alias("key"), "node")
+    nodes = stored(firsts.select("node", "n", "keys", "registers", *BITS), "nodes")
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "n", *BITS)
     heads = stored(rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "heads")
     members = stored(rows.join(heads, "key"), "members")
     linker = Linker(docs, nodes, members, k, similar)
