@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import line_dedup
+from lodestone.llm import decontaminate, line_dedup, minhash_dedup, quality_classifier, source_mix
 from lodestone.llm.common import stored, table
 
-STAGES = [("line dedup", line_dedup.stage)]
-#: SQL cannot express the stages; tests hold the run against brute force.
+#: Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns of documents.
+STAGES = [
+    ("quality classifier", quality_classifier.stage),
+    ("line dedup", line_dedup.stage),
+    ("minhash near-dedup", minhash_dedup.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("source mix", source_mix.stage),
+]
+
+#: SQL cannot express the classifier, the sketches and the fingerprints: tests hold the run against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage returns; what each earlier one keeps is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = stored(docs, f"pipeline-{n}")
