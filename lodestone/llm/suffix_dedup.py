@@ -54,7 +54,7 @@ STRETCHES = T.StructType([*_long("k1", "k2"), *[T.StructField(n, T.ArrayType(T.I
 TEXTS = T.StructType([*_long("k1", "k2"), T.StructField("packed", T.BinaryType()), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("start", "end", "anchor")]])
 HASHED = T.StructType([*_long("h", "g", "k1", "k2"), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 STRINGS = T.StructType([*_long("h", "g", "c", "salts"), T.StructField("s", T.BinaryType())])
-RUNS = T.StructType([T.StructField("kind", T.IntegerType()), *_long("h", "g", "start"), T.StructField("range", T.IntegerType()), T.StructField("run", T.StringType()), T.StructField("head", T.BinaryType()), T.StructField("entries", T.BinaryType()), T.StructField("owners", T.BinaryType())])
+RUNS = T.StructType([T.StructField("kind", T.IntegerType()), *_long("h", "g"), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("range", T.IntegerType()), T.StructField("run", T.StringType()), T.StructField("head", T.BinaryType()), T.StructField("entries", T.BinaryType()), T.StructField("owners", T.BinaryType())])
 REPEATED = T.StructType(_long("h", "g", "start"))
 CUT = T.StructType([*_long("k1", "k2", "n_removed", "n_spans"), T.StructField("kept", T.BinaryType())])
 
@@ -131,11 +131,16 @@ def _pack(batches):
 def _hash_stretches(gram: int):
     def of(batches):
         for batch in batches:
+            parts = []
             for row in batch.itertuples(index=False):
                 data = np.frombuffer(_bytes(row.packed), np.uint8)
                 start, end, anchor = (np.asarray(x, np.int64) for x in (row.start, row.end, row.anchor))
-                h, g = _hash_of(_BYTE, data, anchor, anchor + gram), _hash_of(_OTHER, data, start, end)
-                yield pd.DataFrame({"h": h.view(np.int64), "g": g.view(np.int64), "k1": row.k1, "k2": row.k2, "start": start.astype(np.int32), "end": end.astype(np.int32)})
+                parts.append((_hash_of(_BYTE, data, anchor, anchor + gram), _hash_of(_OTHER, data, start, end), start, end))
+            if parts:
+                h, g, start, end = map(np.concatenate, zip(*parts, strict=True))
+                sizes = [len(x[0]) for x in parts]
+                keys = {k: np.repeat(batch[k].to_numpy(), sizes) for k in ("k1", "k2")}
+                yield pd.DataFrame({"h": h.view(np.int64), "g": g.view(np.int64), **keys, "start": start.astype(np.int32), "end": end.astype(np.int32)})
 
     return of
 
@@ -163,7 +168,7 @@ def _suffixes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _sort_runs(length: int):
-    """Sort the suffixes of each run. kind 0: a repeated start; kind 1: a block of a front-coded run of a shared gram."""
+    """Sort the suffixes of each run. kind 0: a stretch's repeated starts; kind 1: a block of a front-coded run."""
 
     def one(rows: list) -> list[tuple]:
         text, owner, start = _suffixes([r.s for r in rows], length)
@@ -175,7 +180,11 @@ def _sort_runs(length: int):
         many[1:] |= same
         many[:-1] |= same
         known = np.fromiter((r.c > 1 for r in rows), bool, len(rows))
-        out = [(0, rows[o].h, rows[o].g, int(s), 0, None, None, None, None) for o, s in zip(owner[many], start[many], strict=True) if not known[o]]
+        open_many = many & ~known[owner]
+        by_owner = np.lexsort((start[open_many], owner[open_many]))
+        of, at = owner[open_many][by_owner], start[open_many][by_owner]
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        out = [(0, rows[of[a]].h, rows[of[a]].g, at[a:b], 0, None, None, None, None) for a, b in zip(begins, np.append(begins, len(of))[1:], strict=True)]
         if rows[0].salts > 1:
             run = uuid.uuid4().hex
             size = text.dtype.itemsize
@@ -185,7 +194,7 @@ def _sort_runs(length: int):
                 open_ = [i for i in at if not many[i] and not known[owner[i]]]
                 names = np.array([(rows[owner[i]].h, rows[owner[i]].g, start[i]) for i in open_], np.int64).reshape(-1, 3)
                 number = {i: n for n, i in enumerate(open_)}
-                out.append((1, 0, 0, 0, 0, run, strings[0], front_coded(strings, [number.get(i, -1) for i in at]), names.tobytes()))
+                out.append((1, 0, 0, None, 0, run, strings[0], front_coded(strings, [number.get(i, -1) for i in at]), names.tobytes()))
         return out
 
     def sort(batches):
@@ -219,7 +228,7 @@ def _cut_at(splitters: list[bytes]):
                 for n, entries in parts.items():
                     tags = [t for _, t in entries if t >= 0]
                     number = {t: i for i, t in enumerate(tags)}
-                    out.append((1, 0, 0, 0, n, row.run, entries[0][0], front_coded([s for s, _ in entries], [number.get(t, -1) for _, t in entries]), owners[tags].tobytes()))
+                    out.append((1, 0, 0, None, n, row.run, entries[0][0], front_coded([s for s, _ in entries], [number.get(t, -1) for _, t in entries]), owners[tags].tobytes()))
             yield pd.DataFrame(out, columns=RUNS.names)
 
     return cut
@@ -293,7 +302,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
     found = stored(texts.mapInPandas(_find_stretches(length, gram), STRETCHES), "stretches")
     every = found.select("k1", "k2", F.explode(F.arrays_zip("gram", "start", "end", "anchor")).alias("s")).select("k1", "k2", "s.*")
     shared = stored(found.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "shared")
-    by_row = every.join(shared, "gram").groupBy(*key).agg(F.array_distinct(F.collect_list(F.struct("start", "end", "anchor"))).alias("s"))
+    by_row = every.join(shared, "gram").groupBy(*key).agg(F.collect_set(F.struct("start", "end", "anchor")).alias("s"))
     lists = by_row.select("k1", "k2", *[F.col(f"s.{c}").alias(c) for c in ("start", "end", "anchor")])
     packed = texts.mapInPandas(_pack, T.StructType([*TEXTS.fields[:3]])).join(lists, key)
     name, buckets = f"suffix_texts_{uuid.uuid4().hex}", shuffles(spark)
@@ -309,8 +318,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
     strings = held.select("k1", "k2", "packed").dropDuplicates(key).join(wanted, key).select("packed", "wanted").mapInPandas(_cut_out, STRINGS)
     salted = strings.withColumn("salt", F.pmod(F.xxhash64("g"), "salts")).repartition(buckets, "h", "salt").sortWithinPartitions("h", "salt")
     runs = stored(salted.mapInPandas(_sort_runs(length), RUNS), "runs")
-    starts = runs.where("kind = 0").select("h", "g", "start").union(_merged(runs, length, sample))
-    starts = starts.groupBy("h", "g").agg(F.collect_set("start").alias("starts"))
+    merged = _merged(runs, length, sample).select("h", "g", F.array("start").alias("starts"))
+    starts = runs.where("kind = 0").select("h", "g", "starts").union(merged)
+    starts = starts.groupBy("h", "g").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     whole = groups.where("c > 1").select("h", "g", F.lit(None).cast("array<long>").alias("starts"))
     repeated = stored(whole.union(starts), "repeated")
     by_row = hashed.join(repeated, ["h", "g"]).groupBy(*key).agg(F.collect_set(F.struct("start", "end", "starts")).alias("repeated"))
