@@ -79,7 +79,7 @@ class LineRuns:
         runs = [x for x in self.levels if x]
         while len(runs) > 1:
             runs = [self._compacted(runs[1], runs[0]), *runs[2:]]
-        return self.spark.read.parquet(f"{self.root}/{runs[0]}")
+        return self.spark.read.schema(self.spark.table(runs[0]).schema).parquet(f"{self.root}/{runs[0]}")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
