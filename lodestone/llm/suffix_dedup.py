@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, shuffles, stored, table
+from .common import discard, scratch, shuffles, stored, table
 from .hashing import mixed
 from .suffix_merge import LoserTree, common, decoded, front_coded
 
@@ -42,6 +42,7 @@ GRAM = 100
 RUN = 256
 SAMPLE = 4096  # strings at most from which the splitters are taken
 BLOCK = 512  # entries of a front-coded block
+PACKED = 9  # level at which texts are compressed
 SEGMENT = 1 << 20  # starts of a document that are looked at together
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -123,7 +124,7 @@ def _find_stretches(length: int, gram: int):
 def _pack(batches):
     import zstandard
 
-    pack = zstandard.ZstdCompressor(3).compress
+    pack = zstandard.ZstdCompressor(PACKED).compress
     for batch in batches:
         yield pd.DataFrame({"k1": batch["k1"], "k2": batch["k2"], "packed": batch["text"].map(pack)})
 
@@ -308,6 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
     name, buckets = f"suffix_texts_{uuid.uuid4().hex}", shuffles(spark)
     packed.repartition(buckets, *key).write.option("path", scratch(spark, name)).option("compression", "none").bucketBy(buckets, *key).saveAsTable(name)
     held = spark.table(name)
+    discard(found, shared)  # the texts are written with their shared stretches
 
     hashed = stored(held.mapInPandas(_hash_stretches(gram), HASHED), "hashed")
     groups = stored(hashed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "end")).alias("first")), "groups")
