@@ -31,3 +31,21 @@ def differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(F.col("was") != F.col("is"), "changed")
     return both.select(key, change.alias("change")).where("change is not null")
 
+
+
+def field_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, field, before, after): what changed in the fields that both states of a record have, as text."""
+    fields = [c for c in old.columns if c != key and c in new.columns]
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        return df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(name)) for c in fields])).alias("f")).select(key, "f.*")
+
+    both = long(old, "before").join(long(new, "after"), [key, "field"])
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def violations(rows: DataFrame, key: str, vocabularies: dict[str, list[str]]) -> DataFrame:
+    """(key, field, value): values that their field's vocabulary does not have; null is no violation."""
+    checks = [F.when(~F.col(c).isin(*allowed), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for c, allowed in vocabularies.items()]
+    found = rows.select(key, F.explode(F.array(*checks)).alias("v")).where("v is not null")
+    return found.select(key, "v.field", "v.value")

@@ -143,15 +143,14 @@ def minmax_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.query("""
-WITH s AS (SELECT role, conv_id, turn, CAST(length(text) AS DOUBLE) AS score, conv_id * 1000 + turn AS id FROM conversations),
-r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, id) <= 3 AS seed FROM s),
-b AS (SELECT *, bool_or(seed) OVER (PARTITION BY role, conv_id) AS active FROM r)
-SELECT role, conv_id, turn, round(CASE WHEN active THEN score * CAST(1.3 AS DOUBLE) ELSE score END, 6) AS boosted FROM b
+WITH r AS (SELECT user_id, event_id, value, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 3 AS seed FROM events),
+b AS (SELECT *, bool_or(seed) OVER (PARTITION BY user_id, day) AS active FROM r)
+SELECT user_id, event_id, round(CASE WHEN active THEN value * CAST(1.3 AS DOUBLE) ELSE value END, 6) AS boosted FROM b
 """)
 def session_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns scored by length, raised in the conversations that hold one of their role's three best."""
-    turns = table(spark, sf_dir, "conversations").select("role", "conv_id", "turn", F.char_length("text").cast("double").alias("score"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    return ranking.session_boost(turns, "role", "conv_id", "id", "score").select("role", "conv_id", "turn", F.round("boosted", 6).alias("boosted"))
+    """Each user's events by value, raised on the days that hold one of the three best."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    return ranking.session_boost(rows, "user_id", "day", "event_id", "value").select("user_id", "event_id", F.round("boosted", 6).alias("boosted"))
 
 
 @plans.query("""

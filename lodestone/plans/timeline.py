@@ -145,9 +145,11 @@ def weekly_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type
 """)
 def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the values of each kind of event, exact and interpolated."""
-    p = lambda q, name: F.round(F.percentile("value", F.lit(q)), 6).alias(name)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """Percentiles of the values of each kind of event, exact and interpolated: equal values are counted first."""
+    values = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    p = lambda q, name: F.round(F.percentile("value", F.lit(q), F.col("n")), 6).alias(name)
+    mean = F.round(F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), 6).alias("mean")
+    return values.groupBy("event_type").agg(F.sum("n").alias("n"), p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), mean, F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 @plans.query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("plans.lexical", "plans.ranking", "plans.timeline", "plans.quality", "plans.lifecycle")
+MODULES: tuple[str, ...] = ("plans.lexical", "plans.ranking", "plans.timeline", "plans.quality", "plans.lifecycle", "plans.records")
 
 
 def queries() -> dict:

@@ -208,3 +208,58 @@ def test_rate_limit(spark, tmp_path):
     stream = spark.readStream.schema(table.schema).parquet(source)
     assert {r.id: r.admitted for r in run_stream(ingest.rate_limited(stream, 1.0, 2.0), "limited").collect()} == got
     assert ingest.admit([0.0, 0.0], 0.0, None, 0.0, 5.0)[0] == [False, False]
+
+
+def test_bundles(spark, tmp_path):
+    from lodestone.sources import bundle
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id long, v string")
+    manifest = bundle.write_bundle(df, str(tmp_path / "b"), "core")
+    assert manifest["rows"] == 3 and bundle.read_bundle(spark, str(tmp_path / "b")).count() == 3
+    assert bundle.fingerprint(df.orderBy("v")) == bundle.fingerprint(df) != bundle.fingerprint(df.distinct())
+    df.limit(1).write.mode("append").parquet(str(tmp_path / "b" / "data"))
+    with pytest.raises(ValueError):
+        bundle.read_bundle(spark, str(tmp_path / "b"))
+    assert bundle.read_bundle(spark, str(tmp_path / "b"), verify=False).count() == 4
+    bundle.write_jsonl(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_codebook(spark):
+    import random
+
+    from lodestone.operators.embedding import Codebook
+
+    r = random.Random(2)
+    rows = [(i, [r.choice([0.0, 5.0]) + r.random() / 100 for _ in range(8)]) for i in range(50)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<double>")
+    book = Codebook.trained(frame, parts=4, size=4)
+    got = frame.select("id", book.distance(rows[0][1], book.encode(F.col("embedding"))).alias("d")).collect()
+    for x in got:
+        assert x.d == pytest.approx(sum((a - b) ** 2 for a, b in zip(rows[0][1], rows[x.id][1], strict=True)), abs=0.5)
+    assert frame.limit(0).select(book.encode(F.col("embedding"))).count() == 0
+
+
+def test_lifecycle(spark):
+    from lodestone.operators import lifecycle
+
+    rows = spark.createDataFrame([(1, 1, 60), (1, 2, 50), (1, 3, 40), (2, 1, 200)], "g long, o long, c long")
+    assert {tuple(r) for r in lifecycle.packed(rows, "g", F.col("o"), F.col("c"), 100).collect()} == {(1, 100, 2), (2, 0, 0)}
+    seen = spark.createDataFrame([("k", 10.0)] * 4 + [("q", None)], "k string, v double")
+    got = {r.k: (r.estimate, r.n) for r in lifecycle.beliefs(seen, "k", "v", 0.0, 1.0, 4.0).collect() if r.n}
+    assert got == {"k": (pytest.approx(5.0), 4)}
+    writes = spark.createDataFrame([("r", "a")] * 3 + [("r", "b"), ("s", "a"), ("t", "a"), ("t", "b")], "r string, a string")
+    assert [tuple(x) for x in lifecycle.write_conflicts(writes, "r", "a").collect()] == [("r", "a", 2, 2)]
+
+
+@pytest.mark.parametrize("question, kind", [("When did it happen last week?", "temporal"), ("It was never true, nor right", "adversarial"), ("compare both totals because", "multi-hop"), ("What is lodestone", "open-domain"), ("name of the river", "single-hop"), ("", "single-hop")])
+def test_question_kind(spark, question, kind):
+    from lodestone.functions.understanding import question_kind
+
+    assert one(spark, question_kind(F.lit(question))) == kind
+
+
+def test_changes_and_violations(spark):
+    old, new = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "id long, v string, n long"), spark.createDataFrame([(1, "a", 6), (2, None, None), (3, "x", 1)], "id long, v string, n long")
+    assert {tuple(r) for r in audit.field_changes(old, new, "id").collect()} == {(1, "n", "5", "6"), (2, "v", "b", None)}
+    assert [tuple(r) for r in audit.violations(new, "id", {"v": ["a"]}).collect()] == [(3, "v", "x")]
