@@ -20,6 +20,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+def unit(a: Column) -> Column:
+    """A vector of length 1 in the same direction; null for one without a direction. Of unit vectors, dot is the cosine."""
+    size = norm(a)
+    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+
+
 def surprise(similarity: Column) -> Column:
     """0 for what the context says already, 1 for its opposite, 0.5 without a context."""
     return F.coalesce((1.0 - similarity) / 2.0, F.lit(0.5))

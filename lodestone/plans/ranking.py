@@ -25,10 +25,10 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The queries are a stated set, so they are the broadcast side only while Spark's size threshold lets them be.
     """
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where(F.col("vec_id") % QUERY_EACH == 0).select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), F.col("embedding").alias("q"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
+    asked = rows.where(F.col("vec_id") % QUERY_EACH == 0).select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), F.col("v").alias("q"))
     both = rows.join(asked, F.col("vec_id") != F.col("qid"))
-    return both.select("qid", "vec_id", "q_label", "label", F.round(vectors.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return both.select("qid", "vec_id", "q_label", "label", F.round(F.coalesce(vectors.dot(F.col("q"), F.col("v")), F.lit(0.0)), 6).alias("score"))
 
 
 @plans.query(f"WITH {_NEAR} SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 10")
