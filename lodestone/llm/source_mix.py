@@ -89,8 +89,14 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a row for each document with the words the mix takes from it."""
-    return mix(docs.select("doc_id", "text", "lang", "source", "n_chars", size_of(F.col("text")).alias("size")))
+    """Pipeline stage: a row for each document with the words the mix takes from it.
+
+    The rows are numbered and written; only their numbers, sources and sizes are ordered, since whole texts in the order
+    of their size would give the last range far more bytes than the others.
+    """
+    rows = stored(docs.select("doc_id", "text", "lang", "source", "n_chars", F.monotonically_increasing_id().alias("__row")), "mix-docs")
+    plan = mix(stored(rows.select("__row", "doc_id", "source", size_of(F.col("text")).alias("size")), "sizes"))
+    return rows.join(plan.drop("doc_id", "source"), "__row").drop("__row")
 
 
 SQL = r"""
