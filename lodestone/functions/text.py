@@ -72,20 +72,34 @@ def is_term(word: Column) -> Column:
 def lemma(word: Column) -> Column:
     """The base form of an irregular word; any other word as it is."""
     forms = F.create_map(*[F.lit(x) for pair in LEMMAS.items() for x in pair])
-    return F.coalesce(F.try_element_at(forms, word), word)
-
-
-def without_suffix(base: Column) -> Column:
-    """A base form without its suffix. base should be a plain column: it stands in every rule."""
-    out = F.when(F.length(base) <= SHORT, base)
-    for suffix, longer, cut, put, restore in SUFFIXES:
-        left = F.substring(base, F.lit(1), F.length(base) - cut)
-        if restore:
-            left = F.when(left.rlike("(at|iz|bl)$"), F.concat(left, F.lit("e"))).otherwise(left)
-        elif put:
-            left = F.concat(left, F.lit(put))
-        out = out.when(F.endswith(base, F.lit(suffix)) & (F.length(base) > longer), left)
-    return out.otherwise(base)
+    return F.when(word.isin(*LEMMAS), F.try_element_at(forms, word)).otherwise(word)  # a look-up in a set for most words
+
+
+def suffix_of(base: Column) -> Column:
+    """The suffix of a base form that a rule takes off or keeps; empty if none fits.
+
+    Rules are told apart by their last letter first, so that a word meets a few of them only. base should be a plain
+    column, for it stands in every rule.
+    """
+    out = F.when(F.length(base) <= SHORT, "")
+    last = F.substring(base, -1, 1)
+    for letter in dict.fromkeys(s[-1] for s, *_ in SUFFIXES):
+        rules = [(s, longer) for s, longer, *_ in SUFFIXES if s[-1] == letter]
+        case = F.when(F.lit(False), "")
+        for s, longer in rules:
+            case = case.when(F.endswith(base, F.lit(s)) & (F.length(base) > longer), s)
+        out = out.when(last == letter, case.otherwise(""))
+    return out.otherwise("")
+
+
+def without_suffix(base: Column, suffix: Column) -> Column:
+    """A base form without its suffix, by small look-ups: a case for each rule would be too much code to be compiled."""
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    cut = F.coalesce(F.try_element_at(of({s: c for s, _, c, _, _ in SUFFIXES}), suffix), F.lit(0))
+    put = F.coalesce(F.try_element_at(of({s: p for s, _, _, p, _ in SUFFIXES if p}), suffix), F.lit(""))
+    left = F.substring(base, F.lit(1), F.length(base) - cut)
+    restored = suffix.isin(*[s for s, *_, restore in SUFFIXES if restore]) & left.rlike("(at|iz|bl)$")
+    return F.concat(left, F.when(restored, "e").otherwise(put))
 
 
 def trigrams(text: Column) -> Column:

@@ -18,7 +18,8 @@ def terms(records: DataFrame, id_col: str, text_col: Column, stemmed: bool = Tru
     rows = records.select(F.col(id_col), F.explode(text.words(text_col)).alias("word")).where(text.is_term(F.col("word")))
     if not stemmed:
         return rows.select(id_col, F.col("word").alias("term"))
-    return rows.select(id_col, text.lemma(F.col("word")).alias("base")).select(id_col, text.without_suffix(F.col("base")).alias("term"))
+    bases = rows.select(id_col, text.lemma(F.col("word")).alias("base")).withColumn("suffix", text.suffix_of(F.col("base")))
+    return bases.select(id_col, text.without_suffix(F.col("base"), F.col("suffix")).alias("term"))
 
 
 def postings(fields: list[tuple[DataFrame, float]], id_col: str) -> DataFrame:
