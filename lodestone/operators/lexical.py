@@ -46,10 +46,11 @@ def bm25_scores(posts: DataFrame, n_records: DataFrame, queries: DataFrame, id_c
     """
     asked = queries.groupBy("qid", "term").agg(F.count("*").alias("times"))
     size = lengths(posts, id_col)
-    mean = size.agg(F.sum("length").alias("all_length")).crossJoin(n_records).select((F.col("all_length") / F.col("n")).alias("mean_length"), "n")
-    rare = document_frequency(posts).join(asked.select("term").distinct(), "term").crossJoin(mean).select("term", "mean_length", scoring.idf(F.col("n"), F.col("df")).alias("rarity"))
+    n = n_records.select("n").scalar()
+    mean = size.agg(F.sum("length")).scalar() / n
+    rare = document_frequency(posts).join(asked.select("term").distinct(), "term").select("term", scoring.idf(n, F.col("df")).alias("rarity"))
     hits = posts.join(rare, "term").join(size, id_col)
-    share = scoring.bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("rarity"))
+    share = scoring.bm25(F.col("tf"), F.col("length"), mean, F.col("rarity"))
     return hits.select(id_col, "term", share.alias("share")).join(asked, "term").groupBy("qid", id_col).agg(F.sum(F.col("share") * F.col("times")).alias("score"))
 
 
@@ -64,8 +65,8 @@ def feedback_terms(posts: DataFrame, ranked: DataFrame, id_col: str, mu: float =
 
     ranked has (qid, id, score). A record's share is its score's share of its query's scores.
     """
-    whole = posts.agg(F.sum("tf").alias("all_tf"))
-    common = posts.groupBy("term").agg(F.sum("tf").alias("c_tf")).crossJoin(whole).select("term", (F.col("c_tf") / F.col("all_tf")).alias("p_term"))
+    whole = posts.agg(F.sum("tf")).scalar()
+    common = posts.groupBy("term").agg(F.sum("tf").alias("c_tf")).select("term", (F.col("c_tf") / whole).alias("p_term"))
     weight = F.col("score") / F.sum("score").over(Window.partitionBy("qid"))
     chosen = ranked.withColumn("weight", weight).join(lengths(posts, id_col), id_col)
     rows = chosen.join(posts, id_col).join(common, "term")
