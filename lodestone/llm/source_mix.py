@@ -79,8 +79,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """The mixed rows themselves: each as often as copies says."""
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).where("copies > 0")
+    """The mixed rows themselves: each as often as copies says, numbered from 1 by copy."""
+    return mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +89,15 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: a row for each document with the words the mix takes from it.
+    """Pipeline stage: the mixed corpus, a row for each copy that is emitted; documents without a copy are gone.
 
+    copies and taken speak of the document and stand in each of its rows; copy numbers them.
     The rows are numbered and written; only their numbers, sources and sizes are ordered, since whole texts in the order
     of their size would give the last range far more bytes than the others.
     """
     rows = stored(docs.select("doc_id", "text", "lang", "source", "n_chars", F.monotonically_increasing_id().alias("__row")), "mix-docs")
     plan = mix(stored(rows.select("__row", "doc_id", "source", size_of(F.col("text")).alias("size")), "sizes"))
-    return rows.join(plan.drop("doc_id", "source"), "__row").drop("__row")
+    return emitted(rows.join(plan.where("copies > 0").drop("doc_id", "source"), "__row")).drop("__row")
 
 
 SQL = r"""

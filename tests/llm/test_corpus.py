@@ -240,3 +240,60 @@ def test_pipeline(spark, labelled, odd, tmp_path):
     assert 900 not in rows and 901 not in rows and 1 in rows
     assert not {i for i in rows if i is not None and 15 < i < 300 and i % 3 == 0} and len([i for i in rows if i is not None and 15 < i < 300]) == 190
     assert all(r.taken <= 2 * r.size for r in rows.values())
+
+
+def brute_pipeline(rows, good, items):
+    """The rows that all five stages leave, each with its copy number; good is the ids that the classifier has to keep."""
+    rows = [r for r in rows if r[0] in good]
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(LOW)
+    holders = {}
+    for i, text, *_ in rows:
+        for line in text.split("\n"):
+            holders.setdefault(key(line), set()).add(i)
+    gone = lambda i, line: len(key(line)) >= 20 and len(holders[key(line)]) >= 3 and i != max(holders[key(line)])
+    rows = [(i, "\n".join(line for line in text.split("\n") if not gone(i, line)), source) for i, text, _, source, _ in rows]
+    first = {i for i, _, _, kept in brute_components([r[:2] for r in rows], 5) if kept}
+    shingled = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    leaks = lambda w, iw: any(decontaminate.weighted_jaccard(shingled(w[s : s + len(iw)], 5), shingled(iw, 5)) >= 0.8 for s in range(max(1, len(w) - len(iw) + 1)))
+    rows = [r for r in rows if r[0] in first and not any(leaks(word_list(r[1]), word_list(t)) for t in items)]
+    sized = sorted(((s is None, s or "", len(word_list(t)), i, t, s) for i, t, s in rows))
+    total = Counter()
+    for *_, n, _, _, s in sized:
+        total[s] += n
+    weight = {s: (3, 1, 2)[n % 3] for n, s in enumerate(sorted(total, key=lambda s: (s is None, s or "")))}
+    target, left, free = {}, 1.5 * sum(total.values()), set(total)
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * total[s]]:
+        target |= {s: 2.0 * total[s] for s in over}
+        free, left = free - set(over), left - sum(2 * total[s] for s in over)
+    target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+    out, at = Counter(), Counter()
+    for *_, i, t, s in sized:
+        each, shift = target[s] / total[s], int(hashlib.md5(f"9:{'n' if s is None else 's' + s}".encode()).hexdigest()[:4], 16) / 65536
+        copies = min(int(each * (at[s] + 1) + shift) - int(each * at[s] + shift), int(np.ceil(each)))
+        at[s] += 1
+        out.update((i, t, s, n) for n in range(1, copies + 1))
+    return out, at, total, target
+
+
+def test_pipeline_emits_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    line = "A line that stands in many of the documents"
+    source = lambda i: ("a", "a", "big", "big", None)[i % 5]
+    rows = [(i, prose(i, 40 + i % 30) + (f"\n{line}" if i % 20 == 1 else ""), "en", source(i), 1) for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "$$$" for w in prose(1000 + i, 60).split()), "en", "big", 1) for i in range(150)]
+    rows += [(2000 + i, edited(rows[5 * i][1], 1, i), "en", "big", 1) for i in range(20)]
+    leak = prose(900, 30)
+    rows += [(3000 + i, f"{prose(3100 + i, 30)} {leak} {prose(3200 + i, 30)}", "en", "a", 1) for i in range(5)]
+    good = {r[0] for r in rows if not 1000 <= r[0] < 2000}
+    labels = spark.createDataFrame([(r[0], int(r[0] in good), 0) for r in rows], "doc_id long, quality int, toxic int")
+    path = folder(spark.createDataFrame(rows, DOCS), tmp_path, labels=labels, benchmark=spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    expected, left, total, target = brute_pipeline(rows, good, [leak])
+    got = corpus_pipeline.run(spark, path).collect()
+    assert Counter((r.doc_id, r.text, r.source, r.copy) for r in got) == expected
+    assert len(got) == sum(expected.values())
+    n = Counter(i for i, *_ in expected)
+    assert max(n.values()) == 2 and len(n) < sum(left.values()) and target["big"] < total["big"]
+    for s in total:
+        words = sum(r.size for r in got if r.source == s)
+        assert abs(words - target[s]) <= 2 * 100 and all(r.copies == n[r.doc_id] for r in got)
