@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import vectors as along
 from ..functions.text import trigrams
+from .lexical import top_k
 
 
 def hashed(records: DataFrame, id_col: str, text: Column, dim: int = 128) -> DataFrame:
@@ -28,13 +32,13 @@ class Codebook:
 
     @classmethod
     def trained(cls, vectors: DataFrame, column: str = "embedding", parts: int = 8, size: int = 16, sample: int = 4096, rounds: int = 12, seed: int = 42) -> Codebook:
-        """k-means++ over each part of a bounded sample, drawn by hash so that reruns agree."""
+        """k-means++ over each part of a bounded sample, drawn by hash so that reruns agree; fewer parts where they do not divide a vector."""
         rows = vectors.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column)).limit(sample).collect()
         x = np.array([r[0] for r in rows], np.float64)
         if not len(x):
             raise ValueError("there are no vectors to train on")
         rng = np.random.default_rng(seed)
-        return cls(np.stack([cls._kmeans(p, min(size, len(x)), rounds, rng) for p in np.split(x, parts, axis=1)]))
+        return cls(np.stack([cls._kmeans(p, min(size, len(x)), rounds, rng) for p in np.split(x, math.gcd(parts, x.shape[1]), axis=1)]))
 
     @staticmethod
     def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -71,3 +75,40 @@ class Codebook:
         table = ((self._parts(np.array([query]))[0][:, None] - self.centroids) ** 2).sum(-1)
         terms = [F.get(F.array(*map(F.lit, row.tolist())), F.conv(F.hex(F.substring(codes, n + 1, 1)), 16, 10).cast("int")) for n, row in enumerate(table)]
         return sum(terms[1:], terms[0])
+
+    def tables(self, queries: Column) -> Column:
+        """The squared distances of each part of a query to each centroid, part after part: a row's table to look up codes in."""
+        centroids = self.centroids
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def table(v: pd.Series) -> pd.Series:
+            return pd.Series([((np.asarray(q, np.float64).reshape(len(centroids), 1, -1) - centroids) ** 2).sum(-1).ravel() for q in v], dtype=object)
+
+        return table(queries)
+
+    def places(self, codes: Column) -> Column:
+        """Where each part of a code stands in such a table."""
+        size = self.centroids.shape[1]
+        return F.array(*[F.conv(F.hex(F.substring(codes, n + 1, 1)), 16, 10).cast("int") + n * size for n in range(len(self.centroids))])
+
+    def looked_up(self, table: Column, places: Column) -> Column:
+        terms = [F.get(table, F.get(places, F.lit(n))) for n in range(len(self.centroids))]
+        return sum(terms[1:], terms[0])
+
+
+def searched(rows: DataFrame, id_col: str, asked: Column, k: int = 10, candidates: int = 400, column: str = "embedding") -> DataFrame:
+    """(qid, id, score, rank): the k rows nearest to each row that asked tells, by cosine.
+
+    All rows are ranked by their codes for each query, and so many candidates again in full. A vector without a
+    direction, or null, neither asks nor is found.
+    """
+    units = rows.select(id_col, asked.alias("asks"), along.unit(F.col(column)).alias("v")).where("v is not null")
+    if units.isEmpty():
+        return units.select(F.col(id_col).alias("qid"), id_col, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    book = Codebook.trained(units, "v", parts=32)
+    queries = units.where("asks").select(F.col(id_col).alias("qid"), F.col("v").alias("q"))
+    coded = units.select(id_col, book.places(book.encode(F.col("v"))).alias("at"))
+    both = coded.join(queries.select("qid", book.tables(F.col("q")).alias("t")), F.col(id_col) != F.col("qid"))
+    near = top_k(both.select("qid", id_col, (-book.looked_up(F.col("t"), F.col("at"))).alias("near")), "qid", id_col, candidates, "near")
+    full = near.select("qid", id_col).join(units.select(id_col, "v"), id_col).join(queries, "qid")
+    return top_k(full.select("qid", id_col, F.round(along.dot(F.col("q"), F.col("v")), 6).alias("score")), "qid", id_col, k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import without_invisible
 from ..operators import audit, embedding
 from ..sources.tables import table
+from .ranking import QUERY_EACH
 from .registering import Plans
 
 plans = Plans()
@@ -25,13 +26,8 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query()
 def quantized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector coded by parts, and its distance to the vector of the least id, from the code and in full."""
-    rows = table(spark, sf_dir, "embeddings")
-    book = embedding.Codebook.trained(rows)
-    query = [float(x) for x in rows.orderBy("vec_id").first()["embedding"]]
-    coded = rows.select("vec_id", "embedding", book.encode(F.col("embedding")).alias("code"))
-    full = F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, query)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return coded.select("vec_id", F.hex("code").alias("code"), F.round(book.distance(query, F.col("code")), 6).alias("coded"), F.round(full, 6).alias("full"))
+    """The ten nearest vectors of each query vector, as knn_cosine has them: from codes, the best candidates again in full."""
+    return embedding.searched(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % QUERY_EACH == 0)
 
 
 @plans.query("""

@@ -240,6 +240,23 @@ def test_codebook(spark):
     assert frame.limit(0).select(book.encode(F.col("embedding"))).count() == 0
 
 
+def test_quantized_search_recall(spark, tmp_path):
+    import random
+
+    from lodestone import registry
+
+    r, schema = random.Random(3), "vec_id long, embedding array<float>, label int"
+    rows = [(i, [r.gauss(0, 1) for _ in range(32)], 0) for i in range(1500)] + [(2000, None, 0), (2001, [0.0] * 32, 0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/embeddings.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/embeddings.parquet")
+    found = {name: {(x.qid, x.vec_id): (x.score, x.rank) for x in registry.queries()[name](spark, f"{tmp_path}/a").collect() if x.qid != 2000} for name in ("knn_cosine", "quantized_search")}
+    exact, got = found["knn_cosine"], found["quantized_search"]
+    assert len(exact) == len(got) == 75 * 10
+    assert len(exact.keys() & got.keys()) / len(exact) >= 0.9
+    assert all(got[x][0] == pytest.approx(exact[x][0], abs=2e-6) for x in exact.keys() & got.keys())
+    assert registry.queries()["quantized_search"](spark, f"{tmp_path}/b").count() == 0
+
+
 def test_lifecycle(spark):
     from lodestone.operators import lifecycle
 
