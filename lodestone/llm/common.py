@@ -20,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder takes its place, but only for a local master: on a cluster each executor
+    would write to its own disk.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lodestone.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("lodestone.shared.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -41,6 +47,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, columns: list[str], compression: str = "zstd", ordered: bool = False) -> DataFrame:
+    """df written to the shared folder in buckets of columns (sorted by them, if ordered) and read again with these.
+
+    Spark writes buckets through its catalog only; the entry goes once the table is resolved, the files stay.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    entry = f"lodestone_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *columns).write.option("path", path).option("compression", compression).bucketBy(buckets, *columns)
+    (writer.sortBy(*columns) if ordered else writer).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more: what was made of them must be written itself."""
     for df in tables:

@@ -1,26 +1,32 @@
 """Suffix-array dedup: every byte that lies in a 200-byte string which also starts somewhere else is removed.
 
-A distributed merge sort of suffixes, cut to LENGTH bytes, in which equal ones become neighbours:
+A distributed merge sort of suffixes in which equal strings become neighbours. It is sparse: only suffixes that begin at
+anchors are sorted, each with the bytes to its left.
 
 1. Anchors. Every LENGTH-byte string has an anchor, the place of its least GRAM-byte hash. Neighbouring starts with the
    same anchor form a stretch; equal strings have anchors with equal grams at equal places. Stretches whose gram occurs
    once in the corpus hold no repeated string; only hashes are exchanged to find the others.
-2. Equal stretches (128 bits of hashes over gram and bytes) are one: all strings in them are repeated if the stretch
-   is. Only where an anchor's gram has several different stretches are suffixes sorted, one of each stretch.
-3. Runs. The stretches of a gram meet in one task, or, if there are more than RUN of them, in several. Every task
-   sorts the suffixes of its stretches; equal neighbours are repeated. Grams whose stretches fill several runs are
-   merged across tasks: each run is front-coded, cut at splitters from a bounded sample, exchanged by range, and the
-   runs of a range are combined by a loser tree that knows what each contender shares with the last winner and never
-   compares those bytes again. An entry that shares LENGTH bytes with its neighbour is repeated. A run holds each
-   string once, so a string that is everywhere costs one entry for each run.
-4. The repeated starts go back to their documents, whose bytes they cover are taken out.
+2. Pre-aggregation. Equal stretches (128 bits of hashes over gram and bytes) are counted as one. All strings of a stretch
+   that occurs more than once are repeated; a gram with one stretch needs no more. Every stretch of all other grams
+   becomes an entry: the bytes from its anchor on are the suffix, the bytes before it go along.
+3. Runs. Entries are sorted where their texts lie, RUN bytes at a time, and written as front-coded blocks. The blocks are
+   cut at splitters from a bounded sample and exchanged by range, and all runs of a range are combined by a loser tree
+   that knows what each contender shares with the last winner and never compares those bytes again.
+4. The merge gives each entry the length of the prefix that it shares with the next. Two entries have a string of LENGTH
+   bytes in common that begins n bytes before the anchors if they share LENGTH - n bytes from the anchor on and n bytes
+   before it. Entries that share the gram are neighbours, so classes of equal prefixes (from the merge) and of equal
+   left sides (from a sort of these) tell for every n which entries repeat.
+5. A gram that a splitter falls into may be too common for one range. Its entries are spread out as hashes of their
+   strings, which Spark groups, so no task ever holds all entries of a common gram.
+6. The repeated starts go back to their documents, whose bytes they cover are taken out.
 
 Rows are keyed by two hashes of (doc_id, text). Texts are kept compressed, bucketed by this key, in the shared folder, so
 that the joins that need them again shuffle only the other side.
 
 Defined results for odd input: a text that is null, empty or shorter than LENGTH loses nothing by itself; rows that
 repeat a doc_id or the whole row are documents of their own; matches may overlap themselves; kept bytes need not be
-valid UTF-8 and are returned as binary; an empty table gives an empty result; other columns are ignored.
+valid UTF-8 and are returned as binary; an empty table gives an empty result; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, scratch, shuffles, stored, table
+from .common import bucketed, discard, shuffles, stored, table
 from .hashing import mixed
 from .suffix_merge import LoserTree, common, decoded, front_coded
 
 LENGTH = 200
 GRAM = 100
-RUN = 256
-SAMPLE = 4096  # strings at most from which the splitters are taken
-BLOCK = 512  # entries of a front-coded block
+RUN = 8 << 20  # bytes of entries that are sorted at once
+RANGE = 4 << 20  # bytes of front-coded entries that a range should hold
+SAMPLE = 16384  # heads of blocks at most from which the splitters are taken
+BLOCK = 256  # entries of a front-coded block
+MERGED = 1 << 14  # entries at least that are compared at once
 PACKED = 9  # level at which texts are compressed
 SEGMENT = 1 << 20  # starts of a document that are looked at together
 _PLACE = np.uint64((1 << 24) - 1)
@@ -53,10 +61,12 @@ _POWERS: dict = {}
 _long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
 STRETCHES = T.StructType([*_long("k1", "k2"), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("gram", "start", "end", "anchor")]])
 TEXTS = T.StructType([*_long("k1", "k2"), T.StructField("packed", T.BinaryType()), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("start", "end", "anchor")]])
-HASHED = T.StructType([*_long("h", "g", "k1", "k2"), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-STRINGS = T.StructType([*_long("h", "g", "c", "salts"), T.StructField("s", T.BinaryType())])
-RUNS = T.StructType([T.StructField("kind", T.IntegerType()), *_long("h", "g"), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("range", T.IntegerType()), T.StructField("run", T.StringType()), T.StructField("head", T.BinaryType()), T.StructField("entries", T.BinaryType()), T.StructField("owners", T.BinaryType())])
-REPEATED = T.StructType(_long("h", "g", "start"))
+HASHED = T.StructType([*_long("h", "g", "k1", "k2"), *[T.StructField(n, T.IntegerType()) for n in ("start", "end", "anchor")]])
+BLOCKS = T.StructType([T.StructField("run", T.StringType()), T.StructField("range", T.IntegerType()), T.StructField("head", T.BinaryType()), T.StructField("entries", T.BinaryType()), T.StructField("owners", T.BinaryType())])
+REPEATED = T.StructType([*_long("h", "g"), T.StructField("starts", T.ArrayType(T.LongType()))])
+STRINGS = T.StructType([*_long("h", "g", "c"), *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("w1", "w2")]])
+#: What goes with an entry: hashes and count of its stretch, least and most bytes before the anchor at which a string begins.
+OWNER = np.dtype([("h", "<i8"), ("g", "<i8"), ("c", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("left", "<i4")])
 CUT = T.StructType([*_long("k1", "k2", "n_removed", "n_spans"), T.StructField("kept", T.BinaryType())])
 
 
@@ -136,123 +146,170 @@ def _hash_stretches(gram: int):
             for row in batch.itertuples(index=False):
                 data = np.frombuffer(_bytes(row.packed), np.uint8)
                 start, end, anchor = (np.asarray(x, np.int64) for x in (row.start, row.end, row.anchor))
-                parts.append((_hash_of(_BYTE, data, anchor, anchor + gram), _hash_of(_OTHER, data, start, end), start, end))
+                parts.append((_hash_of(_BYTE, data, anchor, anchor + gram), _hash_of(_OTHER, data, start, end), start, end, anchor))
             if parts:
-                h, g, start, end = map(np.concatenate, zip(*parts, strict=True))
+                h, g, start, end, anchor = map(np.concatenate, zip(*parts, strict=True))
                 sizes = [len(x[0]) for x in parts]
                 keys = {k: np.repeat(batch[k].to_numpy(), sizes) for k in ("k1", "k2")}
-                yield pd.DataFrame({"h": h.view(np.int64), "g": g.view(np.int64), **keys, "start": start.astype(np.int32), "end": end.astype(np.int32)})
+                yield pd.DataFrame({"h": h.view(np.int64), "g": g.view(np.int64), **keys, "start": start.astype(np.int32), "end": end.astype(np.int32), "anchor": anchor.astype(np.int32)})
 
     return of
 
 
-def _cut_out(batches):
-    """The strings of the stretches that stand for others."""
-    for batch in batches:
-        rows = []
-        for row in batch.itertuples(index=False):
-            data = _bytes(row.packed)
-            rows += [(r["h"], r["g"], r["c"], r["salts"], data[r["start"] : r["end"]]) for r in row.wanted]
-        yield pd.DataFrame(rows, columns=STRINGS.names)
-
-
-def _suffixes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of the strings with length bytes or more, cut to length: the bytes, and whose they are and where."""
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(strings)), counts)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = start + np.repeat(np.cumsum(sizes) - sizes, counts)
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)[at]
-    return np.ascontiguousarray(windows).view(f"S{length}").ravel(), owner, start
-
-
-def _sort_runs(length: int):
-    """Sort the suffixes of each run. kind 0: a stretch's repeated starts; kind 1: a block of a front-coded run."""
-
-    def one(rows: list) -> list[tuple]:
-        text, owner, start = _suffixes([r.s for r in rows], length)
-        order = np.argsort(text, kind="stable")
-        text, owner, start = text[order], owner[order], start[order]
-        same = text[1:] == text[:-1]
-        first = np.flatnonzero(np.append(True, ~same))
-        many = np.zeros(len(text), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        known = np.fromiter((r.c > 1 for r in rows), bool, len(rows))
-        open_many = many & ~known[owner]
-        by_owner = np.lexsort((start[open_many], owner[open_many]))
-        of, at = owner[open_many][by_owner], start[open_many][by_owner]
-        begins = np.flatnonzero(np.diff(of, prepend=-1))
-        out = [(0, rows[of[a]].h, rows[of[a]].g, at[a:b], 0, None, None, None, None) for a, b in zip(begins, np.append(begins, len(of))[1:], strict=True)]
-        if rows[0].salts > 1:
-            run = uuid.uuid4().hex
-            size = text.dtype.itemsize
-            for a in range(0, len(first), BLOCK):
-                at = first[a : a + BLOCK]
-                strings = [bytes(text[i]).ljust(size, b"\0") for i in at]
-                open_ = [i for i in at if not many[i] and not known[owner[i]]]
-                names = np.array([(rows[owner[i]].h, rows[owner[i]].g, start[i]) for i in open_], np.int64).reshape(-1, 3)
-                number = {i: n for n, i in enumerate(open_)}
-                out.append((1, 0, 0, None, 0, run, strings[0], front_coded(strings, [number.get(i, -1) for i in at]), names.tobytes()))
-        return out
+def _block(run: str, part: int, entries: list[tuple[bytes, tuple]]) -> tuple:
+    """A front-coded block of sorted entries (suffix, (h, g, c, lo, hi, bytes before the anchor))."""
+    strings = [text for text, _ in entries]
+    owners = np.array([(*owner[:5], len(owner[5])) for _, owner in entries], OWNER)
+    return run, part, strings[0], front_coded(strings, range(len(strings))), owners.tobytes() + b"".join(owner[5] for _, owner in entries)
+
+
+def _owners(data: bytes, count: int) -> list[tuple]:
+    table_ = np.frombuffer(data, OWNER, count)
+    ends = count * OWNER.itemsize + np.cumsum(table_["left"])
+    return [(*o[:5], data[end - o[5] : end]) for o, end in zip(table_.tolist(), ends.tolist(), strict=True)]
+
+
+def _entries(row) -> list[tuple[int, bytes, tuple]]:
+    """(bytes shared with the entry before, suffix, owner) of a block."""
+    coded = list(decoded(row.entries))
+    return [(lcp, text, owner) for (lcp, text, _), owner in zip(coded, _owners(row.owners, len(coded)), strict=True)]
+
+
+def _sort_runs(length: int, run_bytes: int):
+    """Cut the wanted stretches out of their texts and sort them into front-coded runs."""
+
+    def run_of(entries: list) -> list[tuple]:
+        entries.sort(key=lambda e: e[0])
+        run = uuid.uuid4().hex
+        return [_block(run, 0, entries[a : a + BLOCK]) for a in range(0, len(entries), BLOCK)]
 
     def sort(batches):
-        held: list = []
+        held, size = [], 0
         for batch in batches:
             out: list = []
             for row in batch.itertuples(index=False):
-                if held and (row.h, row.salt) != (held[0].h, held[0].salt):
-                    out += one(held)
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(out, columns=RUNS.names)
+                data = _bytes(row.packed)
+                for r in row.wanted:
+                    start, end, anchor = r["start"], r["end"], r["anchor"]
+                    held.append((data[anchor:end], (r["h"], r["g"], r["c"], anchor - end + length, anchor - start, data[start:anchor])))
+                    size += end - start
+                    if size >= run_bytes:
+                        out += run_of(held)
+                        held, size = [], 0
+            yield pd.DataFrame(out, columns=BLOCKS.names)
         if held:
-            yield pd.DataFrame(one(held), columns=RUNS.names)
+            yield pd.DataFrame(run_of(held), columns=BLOCKS.names)
 
     return sort
 
 
-def _cut_at(splitters: list[bytes]):
-    """Cut the blocks of the runs at the splitters."""
+def _cut_at(splitters: list[bytes], gram: int, inside: bool):
+    """Cut the blocks at the splitters. Entries that share the gram with one are left out, or (inside) they alone are kept, whole."""
     from bisect import bisect_right
 
+    def split(text: bytes, n: int) -> bool:
+        return any(text[:gram] == splitters[i][:gram] for i in (n - 1, n) if 0 <= i < len(splitters))
+
     def cut(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                owners = np.frombuffer(row.owners, np.int64).reshape(-1, 3)
                 parts: dict[int, list] = {}
-                for _, s, tag in decoded(row.entries):
-                    parts.setdefault(bisect_right(splitters, s), []).append((s, tag))
-                for n, entries in parts.items():
-                    tags = [t for _, t in entries if t >= 0]
-                    number = {t: i for i, t in enumerate(tags)}
-                    out.append((1, 0, 0, None, n, row.run, entries[0][0], front_coded([s for s, _ in entries], [number.get(t, -1) for _, t in entries]), owners[tags].tobytes()))
-            yield pd.DataFrame(out, columns=RUNS.names)
+                for _, text, owner in _entries(row):
+                    n = bisect_right(splitters, text)
+                    if split(text, n) == inside:
+                        parts.setdefault(n, []).append((text, owner))
+                out += [_block(row.run, n, entries) for n, entries in parts.items()]
+            yield pd.DataFrame(out, columns=BLOCKS.names)
 
     return cut
 
 
-def _merge(length: int):
-    """Merge the runs of one range: the open starts whose string another run holds too."""
+def _spread(length: int):
+    """Two hashes of every string of an entry, in the order of their starts."""
 
-    def run_of(blocks: pd.DataFrame):
+    def spread(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                for _, text, (h, g, c, lo, hi, left) in _entries(row):
+                    data = np.frombuffer(left + text, np.uint8)
+                    at = np.arange(hi - lo + 1)
+                    w1, w2 = (_hash_of(t, data, at, at + length) for t in (_BYTE, _OTHER))
+                    rows.append((h, g, c, w1.view(np.int64), w2.view(np.int64)))
+            yield pd.DataFrame(rows, columns=STRINGS.names)
+
+    return spread
+
+
+def _classes(shared: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers for entries in sorted order, equal where all between share depth bytes with the one before."""
+    return np.cumsum(shared < depth)
+
+
+def _repeats(shared: list[int], owners: list[tuple], length: int, gram: int) -> list[tuple]:
+    """(h, g, starts) of merged entries: where strings begin that another entry of the same gram holds too."""
+    shared_ = np.array(shared)
+    group = _classes(shared_, gram)
+    lo, hi, count = (np.array([o[n] for o in owners]) for n in (3, 4, 2))
+    most = length - gram
+    # the left sides, nearest byte first, filled up to equal size: what is beyond a side is never asked for
+    sides = np.frombuffer(b"".join(o[5][::-1].ljust(most, b"\0") for o in owners), np.uint8).reshape(len(owners), most)
+    order = np.lexsort((sides.view(f"S{most}").ravel(), group)) if most else np.arange(len(owners))
+    same = np.zeros(len(order), np.int64)
+    differ = sides[order[1:]] != sides[order[:-1]]
+    same[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    same[1:][group[order[1:]] != group[order[:-1]]] = -1
+    open_ = count == 1
+    out: dict[int, list] = {}
+    for n in range(most + 1):
+        has = np.flatnonzero((lo <= n) & (n <= hi))
+        if not len(has):
+            continue
+        left = np.empty(len(order), np.int64)
+        left[order] = _classes(same, n)
+        pair = _classes(shared_, length - n)[has] * np.int64(len(order) + 1) + left[has]
+        _, back, times = np.unique(pair, return_inverse=True, return_counts=True)
+        for i in has[(times[back] > 1) & open_[has]]:
+            out.setdefault(int(i), []).append(int(hi[i]) - n)
+    return [(owners[i][0], owners[i][1], starts) for i, starts in out.items()]
+
+
+def _merge(length: int, gram: int):
+    """Merge the runs of each range, whose blocks come one after the other."""
+
+    def run_of(blocks: list):
         before = b""  # a block is coded anew; what its first entry shares with the block before is found here
-        for row in blocks.sort_values("head").itertuples(index=False):
-            owners = np.frombuffer(row.owners, np.int64).reshape(-1, 3)
-            for n, (lcp, s, tag) in enumerate(decoded(row.entries)):
-                yield (lcp if n else common(before, s)), s, (owners[tag] if tag >= 0 else None)
-                before = s
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, before = [], None
-        for shared, _, _, owner in LoserTree(run_of(blocks) for _, blocks in pdf.groupby("run")):
-            if shared >= length:
-                found += [o for o in (before, owner) if o is not None]
-            before = owner
-        return pd.DataFrame(found, columns=REPEATED.names).drop_duplicates() if found else pd.DataFrame({n: pd.Series([], dtype="int64") for n in REPEATED.names})
+        for row in sorted(blocks, key=lambda r: r.head):
+            for n, (lcp, text, owner) in enumerate(_entries(row)):
+                yield (lcp if n else common(before, text)), text, owner
+                before = text
+
+    def merged(blocks: list):
+        runs: dict[str, list] = {}
+        for row in blocks:
+            runs.setdefault(row.run, []).append(row)
+        shared, owners = [], []
+        for lcp, _, _, owner in LoserTree(map(run_of, runs.values())):
+            if lcp < gram and len(owners) >= MERGED:
+                yield _repeats(shared, owners, length, gram)
+                shared, owners = [], []
+            shared.append(lcp)
+            owners.append(owner)
+        if owners:
+            yield _repeats(shared, owners, length, gram)
+
+    def merge(batches):
+        held: list = []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if held and row.range != held[0].range:
+                    for found in merged(held):
+                        yield pd.DataFrame(found, columns=REPEATED.names)
+                    held = []
+                held.append(row)
+        for found in merged(held):
+            yield pd.DataFrame(found, columns=REPEATED.names)
 
     return merge
 
@@ -285,19 +342,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit("row"), "text", "doc_id"))
 
 
-def _merged(runs: DataFrame, length: int, sample: int) -> DataFrame:
-    """The repeated starts that only the merge of several runs shows."""
-    blocks = runs.where("kind = 1")
-    heads = blocks.select("head").orderBy(F.xxhash64("head", "run")).limit(sample)
+def _splitters(runs: DataFrame, sample: int, range_bytes: int) -> list[bytes]:
+    """Where ranges of about range_bytes begin; as many as the entries ask for and the sample allows."""
+    total = runs.agg(F.sum(F.octet_length("entries") + F.octet_length("owners")).alias("n")).first()["n"] or 0
+    ranges = total // range_bytes + 1
+    # only the heads that are drawn come to the driver, and no more than sixteen for each range
+    heads = runs.select("head").orderBy(F.xxhash64("head", "run")).limit(min(sample, 16 * ranges))
     many = sorted({bytes(r["head"]) for r in heads.collect()})
-    ranges = max(1, min(len(many), 4 * shuffles(runs.sparkSession)))
-    splitters = [many[len(many) * n // ranges] for n in range(1, ranges)]
-    cut = blocks.mapInPandas(_cut_at(splitters), RUNS)
-    return cut.groupBy("range").applyInPandas(_merge(length), REPEATED)
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run: int = RUN, sample: int = SAMPLE) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept) of each row (doc_id, text) of docs that loses bytes; rows as _keyed names them."""
+    ranges = min(len(many), ranges)
+    return [many[len(many) * n // ranges] for n in range(1, ranges)]
+
+
+def repeated_starts(runs: DataFrame, length: int = LENGTH, gram: int = GRAM, sample: int = SAMPLE, range_bytes: int = RANGE) -> DataFrame:
+    """(h, g, starts): where strings begin, in stretches that occur once, that another stretch holds too."""
+    splitters = _splitters(runs, sample, range_bytes)
+    parts = min(len(splitters) + 1, 4 * shuffles(runs.sparkSession))
+    cut = runs.mapInPandas(_cut_at(splitters, gram, inside=False), BLOCKS)
+    found = cut.repartition(parts, "range").sortWithinPartitions("range").mapInPandas(_merge(length, gram), REPEATED)
+    if not splitters:
+        return found
+    spread = runs.mapInPandas(_cut_at(splitters, gram, inside=True), BLOCKS).mapInPandas(_spread(length), STRINGS)
+    strings = spread.select("h", "g", "c", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w")).select("h", "g", "c", "at", "w.w1", "w.w2")
+    strings = stored(strings, "spread")
+    many = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    more = strings.where("c = 1").join(many, ["w1", "w2"]).groupBy("h", "g").agg(F.collect_list(F.col("at").cast("long")).alias("starts"))
+    return found.union(more)
+
+
+def sorted_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts, their stretches with hashes, equal stretches counted, front-coded runs); rows as _keyed names them."""
     spark, key = docs.sparkSession, ["k1", "k2"]
     texts = _keyed(docs.select("doc_id", "text")).select("k1", "k2", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     found = stored(texts.mapInPandas(_find_stretches(length, gram), STRETCHES), "stretches")
@@ -306,27 +379,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run:
     by_row = every.join(shared, "gram").groupBy(*key).agg(F.collect_set(F.struct("start", "end", "anchor")).alias("s"))
     lists = by_row.select("k1", "k2", *[F.col(f"s.{c}").alias(c) for c in ("start", "end", "anchor")])
     packed = texts.mapInPandas(_pack, T.StructType([*TEXTS.fields[:3]])).join(lists, key)
-    name, buckets = f"suffix_texts_{uuid.uuid4().hex}", shuffles(spark)
-    packed.repartition(buckets, *key).write.option("path", scratch(spark, name)).option("compression", "none").bucketBy(buckets, *key).saveAsTable(name)
-    held = spark.table(name)
+    held = bucketed(packed, "suffix-texts", shuffles(spark), key, compression="none")
     discard(found, shared)  # the texts are written with their shared stretches
 
     hashed = stored(held.mapInPandas(_hash_stretches(gram), HASHED), "hashed")
-    groups = stored(hashed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "end")).alias("first")), "groups")
-    grams = stored(groups.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("nd")).where("n > 1"), "grams")
-    salts = F.ceil(F.col("nd") / run).cast("long").alias("salts")
-    several = groups.join(grams.where("nd > 1").select("h", salts), "h").select("first.*", F.struct("h", "g", "c", "salts", "first.start", "first.end").alias("w"))
-    wanted = several.groupBy(*key).agg(F.collect_list("w").alias("wanted"))
-    strings = held.select("k1", "k2", "packed").dropDuplicates(key).join(wanted, key).select("packed", "wanted").mapInPandas(_cut_out, STRINGS)
-    salted = strings.withColumn("salt", F.pmod(F.xxhash64("g"), "salts")).repartition(buckets, "h", "salt").sortWithinPartitions("h", "salt")
-    runs = stored(salted.mapInPandas(_sort_runs(length), RUNS), "runs")
-    merged = _merged(runs, length, sample).select("h", "g", F.array("start").alias("starts"))
-    starts = runs.where("kind = 0").select("h", "g", "starts").union(merged)
-    starts = starts.groupBy("h", "g").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    groups = stored(hashed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "start", "end", "anchor")).alias("first")), "groups")
+    several = groups.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    wanted = groups.join(several, "h").select("first.*", F.struct("h", "g", "c", "first.start", "first.end", "first.anchor").alias("w"))
+    wanted = wanted.groupBy(*key).agg(F.collect_list("w").alias("wanted"))
+    runs = held.select("k1", "k2", "packed").dropDuplicates(key).join(wanted, key).select("packed", "wanted").mapInPandas(_sort_runs(length, run_bytes), BLOCKS)
+    return held, hashed, groups, stored(runs, "runs")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_bytes: int = RUN, **merging) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, kept) of each row (doc_id, text) of docs that loses bytes; rows as _keyed names them."""
+    held, hashed, groups, runs = sorted_runs(docs, length, gram, run_bytes)
     whole = groups.where("c > 1").select("h", "g", F.lit(None).cast("array<long>").alias("starts"))
-    repeated = stored(whole.union(starts), "repeated")
-    by_row = hashed.join(repeated, ["h", "g"]).groupBy(*key).agg(F.collect_set(F.struct("start", "end", "starts")).alias("repeated"))
-    return held.select("k1", "k2", "packed").join(by_row, key).mapInPandas(_remove(length), CUT).dropDuplicates(key)
+    repeated = stored(whole.union(repeated_starts(runs, length, gram, **merging)), "repeated")
+    by_row = hashed.join(repeated, ["h", "g"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "starts")).alias("repeated"))
+    return held.select("k1", "k2", "packed").join(by_row, ["k1", "k2"]).mapInPandas(_remove(length), CUT).dropDuplicates(["k1", "k2"])
 
 
 def suffix_dedup(docs: DataFrame, **options) -> DataFrame:

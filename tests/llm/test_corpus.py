@@ -123,10 +123,21 @@ def test_suffix_dedup(spark, group, odd, odd_rows, tmp_path):
     assert got == brute_repeats([r[:2] for r in odd_rows], 200)
 
 
-@pytest.mark.parametrize("run", [1, 3])
-def test_suffix_dedup_merges_runs(spark, group, run):
+@pytest.mark.parametrize("options", [{}, {"run_bytes": 500, "range_bytes": 4000, "sample": 50}, {"run_bytes": 1, "range_bytes": 1, "sample": 7}])
+def test_suffix_dedup_merges_runs(spark, group, options):
+    zeros = [(300 + i, ("x\0" * 30)[i:] + prose(3, 20) + "\0" * i) for i in range(4)]
+    docs = spark.createDataFrame(group + zeros, "doc_id long, text string").withColumn("gram", F.lit(1)).withColumn("k1", F.lit("x"))
+    assert spans(suffix_dedup.suffix_dedup(docs, length=40, gram=20, **options)) == brute_repeats(group + zeros, 40)
+
+
+def test_the_merge_finds_what_no_run_holds_twice(spark, group, monkeypatch):
+    """The entries of all tasks meet in the merge alone: without it the repeated strings of different stretches stay."""
     docs = spark.createDataFrame(group, "doc_id long, text string")
-    assert spans(suffix_dedup.suffix_dedup(docs, length=40, gram=20, run=run, sample=50)) == brute_repeats(group, 40)
+    *_, runs = suffix_dedup.sorted_runs(docs, 40, 20, 500)
+    assert runs.select("run").distinct().count() > 5
+    assert suffix_dedup.repeated_starts(runs, 40, 20).count() > 0
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", lambda *_, **__: spark.createDataFrame([], suffix_dedup.REPEATED))
+    assert spans(suffix_dedup.suffix_dedup(docs, length=40, gram=20)) != brute_repeats(group, 40)
 
 
 def test_suffix_dedup_empty(spark, none):
