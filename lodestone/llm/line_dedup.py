@@ -2,27 +2,29 @@
 
 A line's key is the line without blanks at both ends, A-Z lower-cased. A run is a table of key hashes, bucketed and
 sorted by the hash, with the number of documents that hold the key and the largest doc_id among them. Each new batch
-of lines is aggregated, merge-anti-joined with the runs to tell the keys never seen before, and added as a run of its
-own; two runs of one level are compacted to one of the next by a merge join. Runs share their buckets, so neither the
-anti-joins nor the compaction shuffle or sort what is stored.
+of lines is aggregated and merge-anti-joined with the runs. The keys that no run holds become a run of their own, so
+every key is in one run only; what the batch says of the other keys is noted beside the runs as a recurrence. Two runs
+of one level are compacted to one of the next by a merge join, in which no key meets itself. Runs share their buckets,
+so neither the anti-joins nor the compaction shuffle or sort what is stored. At the end the recurrences are summed up
+and added to the keys they belong to.
 
 Defined results for odd input: a null or empty text is one empty line; short keys are never dropped; an empty table
 gives an empty result; rows that repeat a doc_id count as one document and are judged alike; a null doc_id counts as
-no document and is never the largest; other columns of the input, whatever their names, are ignored.
+no document and is never the largest; other columns of the input are carried along, whatever their names (of columns
+named n_lines, n_dropped or kept_text both are returned).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, shuffles, stored, strip_blanks, table
+from .common import ascii_lower, bucketed, discard, scratch, shuffles, strip_blanks, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 4
+BATCHES = 4  # at least; one more for each BATCH documents
+BATCH = 1 << 27
 KEY = ("h1", "h2")
 
 
@@ -38,56 +40,63 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The levelled store of runs. Level n holds at most one run, made of 2^n batches."""
+    """The levelled store of runs. Level n holds at most one run, made of 2^n batches; no key is in two runs."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets or shuffles(spark)
-        self.root, self.levels, self.batches = scratch(spark, "line-runs"), [], 0
+        self.levels: list[DataFrame | None] = []
+        self.recurrences: list[DataFrame] = []
 
-    def _run(self, rows: DataFrame) -> str:
-        """Write rows as a sorted run; the name of its table, whose files lie in the shared folder."""
-        name = f"line_run_{uuid.uuid4().hex}"
-        writer = rows.write.option("path", f"{self.root}/{name}").option("compression", "zstd")
-        writer.bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
-        return name
+    def _run(self, rows: DataFrame) -> DataFrame:
+        return bucketed(rows, "line-run", self.buckets, list(KEY), ordered=True)
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch of (doc_id, h1, h2); return the keys that no earlier batch held. A document's rows must be in one batch."""
+        """Add a batch of (doc_id, h1, h2); return the run of its new keys. A document's rows must be in one batch."""
         held = lines.select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        batch = self.spark.table(self._run(held.repartition(self.buckets, *KEY)))
+        batch = self._run(held)
         fresh = batch
         for run in filter(None, self.levels):
-            fresh = fresh.join(self.spark.table(run).select(*KEY), list(KEY), "left_anti")
-        first = fresh.select(*KEY, F.lit(self.batches).alias("first_batch"))
-        name, level = self._run(batch.join(first, list(KEY), "left")), 0
+            fresh = fresh.join(run.select(*KEY), list(KEY), "left_anti")
+        fresh = self._run(fresh)
+        if any(self.levels):
+            self.recurrences.append(self._run(batch.join(fresh.select(*KEY), list(KEY), "left_anti")))
+        discard(batch)
+        run, level = fresh, 0
         while level < len(self.levels) and self.levels[level]:
-            name, self.levels[level] = self._compacted(self.levels[level], name), None
+            run, self.levels[level] = self._compacted(self.levels[level], run), None
             level += 1
-        self.levels[level : level + 1] = [name]
-        self.batches += 1
-        return self.spark.table(name).where(F.col("first_batch") == self.batches - 1).select(*KEY)
+        self.levels[level : level + 1] = [run]
+        return fresh
 
-    def _compacted(self, old: str, new: str) -> str:
-        a, b = self.spark.table(old).alias("a"), self.spark.table(new).alias("b")
-        either = [F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY]
-        n_docs = F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))
-        merged = a.join(b, list(KEY), "full_outer")
-        return self._run(merged.select(*either, n_docs.alias("n_docs"), F.greatest("a.max_doc", "b.max_doc").alias("max_doc"), F.least("a.first_batch", "b.first_batch").alias("first_batch")))
+    def _compacted(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """One run of two that have no key in common."""
+        a, b = old.alias("a"), new.alias("b")
+        either = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in (*KEY, "n_docs", "max_doc")]
+        return self._run(a.join(b, list(KEY), "full_outer").select(*either))
 
     def keys(self) -> DataFrame:
-        """(h1, h2, n_docs, max_doc, first_batch) of all keys: what is left when all levels are compacted into one."""
+        """(h1, h2, n_docs, max_doc) of all keys: the runs as one, with what their keys' recurrences add."""
         runs = [x for x in self.levels if x]
         while len(runs) > 1:
             runs = [self._compacted(runs[1], runs[0]), *runs[2:]]
-        return self.spark.read.schema(self.spark.table(runs[0]).schema).parquet(f"{self.root}/{runs[0]}")
+        if not self.recurrences:
+            return runs[0]
+        again = self.recurrences[0]
+        for more in self.recurrences[1:]:
+            again = again.union(more)
+        again = again.groupBy(*KEY).agg(F.sum("n_docs").alias("more_docs"), F.max("max_doc").alias("later_doc"))
+        both = runs[0].join(again, list(KEY), "left")
+        return both.select(*KEY, (F.col("n_docs") + F.coalesce("more_docs", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "later_doc").alias("max_doc"))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """All columns of docs with n_lines, n_dropped and kept_text.
 
     Keys of min_chars code points or more that min_docs documents hold lose all their lines except in the largest doc_id.
+    Without a number of batches there are BATCHES of them, and one more for each BATCH documents.
     """
     spark = docs.sparkSession
+    batches = batches or BATCHES + docs.count() // BATCH
     keyed = keyed_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     path = scratch(spark, "lines")
     keyed.write.option("compression", "zstd").partitionBy("batch").parquet(path)
@@ -116,9 +125,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the texts without the repeated lines, all rows kept."""
-    out = line_dedup(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.col("kept_text")).alias("text"), "lang", "source", F.when(F.col("text").isNotNull(), F.char_length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
+    """Pipeline stage: the texts without the repeated lines, all rows and columns kept; n_chars follows the text."""
+    out = line_dedup(docs)
+    known = F.col("text").isNotNull()
+    changed = {"text": F.when(known, F.col("kept_text")), "n_chars": F.when(known, F.char_length("kept_text")).otherwise(docs["n_chars"]).cast("long")}
+    return out.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
 
 
 SQL = r"""

@@ -45,17 +45,32 @@ def test_line_runs_levels(spark):
     runs = line_dedup.LineRuns(spark, 2)
     for n in range(5):
         batch = spark.createDataFrame([(10 * n, 1, 1), (10 * n + 1, 1, 1), (10 * n, 100 + n, 2)], "doc_id long, h1 long, h2 long")
-        fresh = {tuple(r) for r in runs.add(batch).collect()}
+        fresh = {(r.h1, r.h2) for r in runs.add(batch).collect()}
         assert fresh == ({(1, 1), (100, 2)} if n == 0 else {(100 + n, 2)})
         assert [bool(x) for x in runs.levels] == [bool((n + 1) >> k & 1) for k in range((n + 1).bit_length())]
-    rows = {(r.h1, r.h2): (r.n_docs, r.max_doc, r.first_batch) for r in runs.keys().collect()}
-    assert rows[(1, 1)] == (10, 41, 0) and rows[(104, 2)] == (1, 40, 4) and len(rows) == 6
+    held = [tuple(r) for run in runs.levels if run for r in run.select("h1", "h2").collect()]
+    assert len(held) == len(set(held)) == 6
+    rows = {(r.h1, r.h2): (r.n_docs, r.max_doc) for r in runs.keys().collect()}
+    assert rows[(1, 1)] == (10, 41) and rows[(104, 2)] == (1, 40) and len(rows) == 6
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lodestone_")]
+
+
+def test_the_anti_join_decides(spark, monkeypatch):
+    """Without the anti-join keys are in several runs and their documents are not added up."""
+    line = "a line of more than twenty characters"
+    docs = spark.createDataFrame([(i, line) for i in range(12)], "doc_id long, text string")
+    dropped = lambda: sum(r.n_dropped for r in line_dedup.line_dedup(docs, batches=6).collect())
+    assert dropped() == 11
+    join = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda a, b, on=None, how=None: a if how == "left_anti" else join(a, b, on, how))
+    assert dropped() != 11
 
 
 def test_line_dedup_stage_and_clash(spark, clashing, none):
     out = line_dedup.line_dedup(clashing)
     assert out.columns[: len(clashing.columns)] == clashing.columns and out.count() == clashing.count()
     assert line_dedup.stage(spark, none, "").columns == none.columns
+    assert line_dedup.stage(spark, clashing, "").columns == clashing.columns
     kept = {r.doc_id: r.text for r in line_dedup.stage(spark, clashing, "").collect()}
     assert kept[4] is None and kept[5] == ""
 
