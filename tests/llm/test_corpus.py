@@ -165,9 +165,9 @@ def test_loser_tree():
 
 
 def test_decontaminate(spark, odd_rows, none):
-    items = [(1, prose(50, 40)), (2, prose(51, 25)), (3, None), (4, ""), (5, "one"), (6, prose(52, 4)), (7, prose(53, 60))]
+    items = [(1, prose(50, 40)), (2, prose(51, 25)), (3, None), (4, prose(54, 30)), (5, "one"), (6, prose(52, 4)), (7, prose(53, 60)), (8, ""), (9, "ha " * 20 + prose(55, 4))]
     plain = [prose(60 + i, 50) for i in range(8)]
-    texts = [f"{plain[0]} {items[0][1]} {plain[1]}", f"{plain[2]}\n{items[1][1].upper()}", edited(items[6][1], 1, 9), items[5][1] + " " + plain[3], f"{plain[4]} {' '.join(items[6][1].split()[:20])}", f"{items[0][1]} {items[0][1]} {items[1][1]}"]
+    texts = [f"{plain[0]} {items[0][1]} {plain[1]}", f"{plain[2]}\n{items[1][1].upper()}", edited(items[6][1], 1, 9), items[5][1] + " " + plain[3], f"{plain[4]} {' '.join(items[6][1].split()[:20])}", f"{items[0][1]} {items[0][1]} {items[1][1]}", f"{plain[5]} {items[3][1]}", "ha " * 22 + prose(55, 4), "ha " * 16 + prose(55, 4) + " more words"]
     rows = [(r[0], r[1]) for r in odd_rows] + [(100 + i, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(3))
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -181,20 +181,62 @@ def test_decontaminate(spark, odd_rows, none):
             if iw and any(decontaminate.weighted_jaccard(shingled(w[s : s + len(iw)], k), shingled(iw, k)) >= 0.8 for s in range(max(1, len(w) - len(iw) + 1))):
                 expected.add((doc, item))
     found = decontaminate.contaminated(docs, bench, items_at_once=3).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == expected and {(100, 1), (101, 2), (103, 6), (105, 1), (105, 2), (7, 5)} <= expected
+    assert {(r.doc_id, r.item_id) for r in found} == expected and {(100, 1), (101, 2), (103, 6), (105, 1), (105, 2), (106, 4), (107, 9), (7, 5)} <= expected
     assert all(r.similarity >= 0.8 and r.end_word > r.start_word for r in found)
     assert decontaminate.contaminated(none, bench).count() == decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def slow_fingerprint(hashes):
+    """The sign sums of one window, a numbered shingle at a time."""
+    seen, sums = Counter(), np.zeros(64, int)
+    for h in hashes.tolist():
+        sums += decontaminate._bits(np.array([h], np.uint64), np.array([seen[h]]))[0]
+        seen[h] += 1
+    return sum(1 << i for i, x in enumerate(sums) if x > 0)
+
+
+def test_sliding_fingerprints():
+    r = np.random.default_rng(8)
+    for n, count, kinds in ((50, 7, 5), (40, 40, 3), (60, 1, 60), (200, 36, 1000), (90, 30, 1)):
+        hashes = r.integers(0, 2**64, kinds, dtype=np.uint64)[r.integers(0, kinds, n)]
+        assert decontaminate.fingerprints(hashes, count).tolist() == [slow_fingerprint(hashes[i : i + count]) for i in range(n - count + 1)]
+
+
 def test_block_index_finds_all_within_radius():
     r = np.random.default_rng(4)
     items, queries = r.integers(0, 2**64, 50, dtype=np.uint64), r.integers(0, 2**64, 300, dtype=np.uint64)
     queries[:50] = items ^ (np.uint64(1) << r.integers(0, 64, 50).astype(np.uint64))
     distance = np.array([[bin(int(q) ^ int(i)).count("1") for i in items] for q in queries])
-    got = set(zip(*map(list, decontaminate.BlockIndex(items).search(queries)), strict=True))
+    every = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(50), indexing="ij"))
+    got = set(zip(*map(list, decontaminate.BlockIndex(items).search(queries, *every)), strict=True))
     assert got == {(q, i, distance[q, i]) for q, i in zip(*np.nonzero(distance <= decontaminate.RADIUS), strict=True)}
 
 
+@pytest.mark.parametrize("shape", ["distinct", "repeated", "two"])
+def test_recall_of_the_radius(shape):
+    """Pairs of numbered shingle sets of similarity 0.8 to 0.85 are within the radius, whatever the items' shape."""
+    r, missed, tried = np.random.default_rng(6), 0, 3000
+    for _ in range(tried):
+        n = int(r.integers(9, 60))
+        kinds = {"distinct": n, "repeated": max(2, n // 4), "two": 2}[shape]
+        hashes = r.integers(0, 2**64, kinds + n, dtype=np.uint64)
+        item = hashes[np.arange(n) % kinds]
+        changed = item.copy()
+        changed[: n // 9] = hashes[kinds : kinds + n // 9]  # n - n // 9 of n + n // 9 numbered shingles are shared
+        a, b = (int(decontaminate.fingerprints(x, n)[0]) for x in (item, changed))
+        missed += bin(a ^ b).count("1") > decontaminate.RADIUS
+    assert missed / tried < 0.002
+
+
+def test_decontaminate_at_size():
+    """Thousands of items with a common shingle, and a long text: only what stands in it is found, within small tables."""
+    rows = [(i, f"the same five words here {prose(7000 + i, 30)}") for i in range(4000)]
+    items = decontaminate.Items(rows)
+    text = " ".join([prose(1, 30000), rows[17][1], prose(2, 30000), rows[3999][1].upper(), "ab " * 40000, "the same five words here"])
+    assert {f[1] for f in items.search([text.encode(), b"", b"the same five words here"])} == {17, 3999}
+    assert max(index.near.nbytes for index in items.index.values()) <= 8 * 256 * 501
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Good prose and junk, and their labels; some labels are wrong for no document, some null."""

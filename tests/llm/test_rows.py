@@ -56,13 +56,12 @@ def test_line_runs_levels(spark):
 
 
 def test_the_anti_join_decides(spark, monkeypatch):
-    """Without the anti-join keys are in several runs and their documents are not added up."""
+    """Without the anti-joins with the runs keys are in several runs and their documents are not added up."""
     line = "a line of more than twenty characters"
     docs = spark.createDataFrame([(i, line) for i in range(12)], "doc_id long, text string")
     dropped = lambda: sum(r.n_dropped for r in line_dedup.line_dedup(docs, batches=6).collect())
     assert dropped() == 11
-    join = type(docs).join
-    monkeypatch.setattr(type(docs), "join", lambda a, b, on=None, how=None: a if how == "left_anti" else join(a, b, on, how))
+    monkeypatch.setattr(line_dedup, "filter", lambda *_: [], raising=False)  # no run is joined
     assert dropped() != 11
 
 
