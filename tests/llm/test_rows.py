@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 import wave
 import zlib
@@ -153,9 +154,15 @@ def test_secret_scan(spark, tmp_path):
         assert [s for s in spans if s[0] != "guess"] == [(k, str(a), str(b)) for k, a, b in base]
 
 
-def test_guess_cost():
-    cost = secret_scan.guess_cost
-    assert cost("") == 0 and cost("password") < 1
+@pytest.fixture(scope="module")
+def ranks():
+    with open(secret_scan.VOCABULARY, "rb") as f:
+        return secret_scan.ranked_words(f.read())
+
+
+def test_guess_cost(ranks):
+    cost = lambda v: secret_scan.guess_cost(v, ranks)
+    assert cost("") == 0 and cost("password") < 1 and len(ranks) > 10000
     assert cost("aaaaaaaaaaaa") < 3 and cost("qwertyuiop") < 4 and cost("19840101") < 6
     assert cost("x9Kq2LmZ81pQ") > 14 > cost("monkey1984dragon")
     assert all(cost("x9Kq"[:n]) <= cost("x9Kq"[: n + 1]) for n in range(4))
@@ -163,6 +170,49 @@ def test_guess_cost():
     assert cost("zV7pX") == pytest.approx(brute)
 
 
+def slow_cost(value, ranks):
+    """The cheapest of all segmentations, each segment measured by itself."""
+    walks = {frozenset(p) for row in secret_scan.ROWS for p in zip(row, row[1:])}
+
+    def segment(part):
+        costs = [sum(secret_scan._brute(c) for c in part)]
+        if len(set(part)) == 1:
+            costs.append(secret_scan._brute(part[0]) + secret_scan.REPEAT + secret_scan.REPEATED * (len(part) - 1))
+        if all(frozenset((a.lower(), b.lower())) in walks for a, b in zip(part, part[1:])):
+            costs.append(secret_scan.WALK + secret_scan.WALKED * (len(part) - 1))
+        known = secret_scan._known(part, ranks) if 3 <= len(part) <= secret_scan.LONGEST_WORD else None
+        return min(costs + ([known] if known is not None else []))
+
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[a] + (secret_scan.STEP if a else 0) + segment(value[a:end]) for a in range(end)))
+    return best[-1]
+
+
+def test_guess_cost_is_the_cheapest_segmentation(ranks):
+    r = random.Random(2)
+    pieces = ["password", "P4ssw0rd", "aaaa", "qwert", "asdf", "2019-04-01", "1999", "x", "Zq", "!", "monkey", "7", "lkjh"]
+    for _ in range(300):
+        value = "".join(r.choice(pieces) for _ in range(r.randint(1, 5)))[:20]
+        assert secret_scan.guess_cost(value, ranks) == pytest.approx(slow_cost(value, ranks)), value
+
+
+def test_guess_spans(ranks):
+    strong = "x9Kq2LmZ81pQvT"
+    spans = lambda t: [t[a:b] for k, a, b, _ in secret_scan.find_spans(t, ranks) if k == "guess"]
+    assert spans(f"pwd{' ' * 80}= {strong}, rest") == [strong]
+    assert spans(f'auth: "{strong}, with; blanks <and> marks" login = aaaaaaaaaaaaaaaa') == [f"{strong}, with; blanks <and> marks"]
+    assert spans("pwd=monkeydragon pin: 20190401 secret='passwordpassword'") == []
+    assert spans(f"pwd={strong} pwd={strong}") == [strong] * 2 and spans("pwd=") == spans(None) == []
+    assert spans("pwd=\"\u00fc\u20ac#9Kq2LmZ8\"") == ["\u00fc\u20ac#9Kq2LmZ8"]
+
+
+def test_secret_spans_odd(spark, clashing, none):
+    assert secret_scan.secret_spans(none).count() == 0
+    out = secret_scan.secret_spans(clashing)
+    assert out.columns.count("spans") == 1 and out.count() == clashing.count()
+
+
 def test_source_mix(spark, odd, odd_rows, tmp_path):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     total = defaultdict(int)
