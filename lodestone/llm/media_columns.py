@@ -127,4 +127,6 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
+        "times",
+        "codes",
     )

@@ -180,15 +180,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longes
     return net
 
 
-def scores(docs: DataFrame, model: Network | float) -> DataFrame:
-    """docs with score, the probability of label 1."""
+def scores(docs: DataFrame, model: Network | float, name: str = "score") -> DataFrame:
+    """docs with a score, the probability of label 1; a column of that name is replaced."""
 
     @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series) -> pd.Series:
         one = model.score if isinstance(model, Network) else lambda _: model
         return text.map(lambda t: one((t or "").encode())).astype("float64")
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(name, score("text"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +200,4 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scores(docs, model).where(F.col("score") >= THRESHOLD).drop("score")
+    return scores(docs, model, "__score").where(F.col("__score") >= THRESHOLD).drop("__score")

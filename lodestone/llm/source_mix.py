@@ -12,7 +12,11 @@ partition and source is ever brought together.
 
 Defined results for odd input: a null or empty text has size 0 and takes 0 words; a null source is a source of its
 own, last in order; rows that tie in all three keys are interchangeable; a source without words has target 0; an
-empty table gives an empty result; further columns of the input are carried along, whatever their names.
+empty table gives an empty result; further columns of the input are carried along, whatever their names (of a column
+that mix adds itself both are returned; the stage returns its own); names that begin with __ are reserved.
+
+Sources are as few as a corpus has places of origin: one row for each of them comes to one task, which levels their
+targets. One row for each source and partition is ordered by source, so a hot source has as many rows as partitions.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 SEED = 9
+MIXED = ("source_size", "target", "copies", "taken")  # what mix adds
 _ROW_BITS = 33  # of monotonically_increasing_id, below the partition's number
 
 
@@ -69,13 +74,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     by_source = targets(parts.groupBy(F.col("__s").alias("source")).agg(F.sum("words").alias("source_size")), weights, share, most, seed)
     before = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    parts = parts.join(by_source, F.col("__s").eqNullSafe(by_source["source"])).select("__p", "__s", "__first", "__before", "source_size", "target", "offset")
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    own = [F.col(c).alias(f"__{c}") for c in ("source_size", "target", "offset")]
+    parts = parts.join(by_source, F.col("__s").eqNullSafe(by_source["source"])).select("__p", "__s", "__first", "__before", *own)
+    each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
     rank = F.col("__at") - F.col("__first") + F.col("__before")
-    step = F.floor(each * (rank + 1) + F.col("offset")) - F.floor(each * rank + F.col("offset"))
+    step = F.floor(each * (rank + 1) + F.col("__offset")) - F.floor(each * rank + F.col("__offset"))
     copies = F.least(step, F.ceil(each)).cast("long")
     out = placed.join(parts, (part == F.col("__p")) & placed["source"].eqNullSafe(F.col("__s")))
-    return out.select(*[placed[c] for c in docs.columns], "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    added = [F.col("__source_size"), F.col("__target"), copies, copies * placed["size"]]
+    return out.select(*[placed[c] for c in docs.columns], *[c.alias(n) for c, n in zip(added, MIXED, strict=True)])
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
@@ -95,7 +102,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The rows are numbered and written; only their numbers, sources and sizes are ordered, since whole texts in the order
     of their size would give the last range far more bytes than the others.
     """
-    rows = stored(docs.select("doc_id", "text", "lang", "source", "n_chars", F.monotonically_increasing_id().alias("__row")), "mix-docs")
+    own = [c for c in docs.columns if c not in ("size", "copy", *MIXED)]
+    rows = stored(docs.select(*own, F.monotonically_increasing_id().alias("__row")), "mix-docs")
     plan = mix(stored(rows.select("__row", "doc_id", "source", size_of(F.col("text")).alias("size")), "sizes"))
     return emitted(rows.join(plan.where("copies > 0").drop("doc_id", "source"), "__row")).drop("__row")
 

@@ -1,7 +1,9 @@
 """Operators that look at a row or a line at a time, against plain Python."""
 
+import cmath
 import hashlib
 import io
+import math
 import random
 import re
 import wave
@@ -9,10 +11,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import license_scan, line_dedup, media_columns, secret_scan, source_mix, token_counts
 
-from .conftest import folder
+from .conftest import folder, prose
 
 BLANK = " \t\n\x0b\f\r"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,6 +95,34 @@ def test_media_columns(spark, odd, odd_rows, tmp_path):
         assert feature.setdefault(r.payload_sha256, r.feature) == r.feature
 
 
+def slow_pairs(samples):
+    """times and codes by the definition: a Fourier sum for each frame and bin, all neighbours of each peak looked at."""
+    unit, hop, edges = 576, 288, (1, 8, 18, 36, 72, 144, 289)
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * n / (unit - 1)) for n in range(unit)]
+    loud = []  # of each frame the strongest (power, bin) of each band
+    for at in range(0, len(samples) - unit + 1, hop):
+        x = [(s - 128) * h for s, h in zip(samples[at : at + unit], hann, strict=True)]
+        power = [round(abs(sum(v * cmath.exp(-2j * math.pi * k * n / unit) for n, v in enumerate(x)))) for k in range(unit // 2 + 1)]
+        loud.append([max(((power[k], -k) for k in range(a, b))) for a, b in zip(edges, edges[1:])])
+    peaks = [(t, -frame[b][1]) for t, frame in enumerate(loud) for b in range(6) if frame[b][0] > 0 and frame[b][0] == max(loud[u][b][0] for u in range(max(0, t - 4), min(len(loud), t + 5)))]
+    pairs = [(t, f << 15 | g << 5 | u - t) for n, (t, f) in enumerate(peaks) for u, g in peaks[n + 1 : n + 3] if u - t <= 31]
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("text", ["", "x" * 576, prose(1, 60), prose(2, 400), "\x00\xff" * 700])
+def test_media_fingerprints_by_the_definition(text):
+    data = text.encode()
+    data += b"\xff" * (-len(data) % 576 if data else 576)
+    assert list(zip(*(x.tolist() for x in media_columns._pairs(*media_columns._peaks(data))), strict=True)) == slow_pairs(data)
+
+
+def test_media_blocks_of_frames(monkeypatch):
+    data = (prose(3, 120000).encode() + b" " * 576)[: 576 * 1200]
+    whole = media_columns._peaks(data)
+    monkeypatch.setattr(media_columns, "BLOCK", 7)
+    assert all((a == b).all() for a, b in zip(whole, media_columns._peaks(data), strict=True))
+
+
 def test_media_features(spark, clashing, none):
     rows = {(r.doc_id, len(r.text or "")): r for r in media_columns.media_columns(clashing).collect()}
     r = rows[(13, 1200)]
@@ -251,6 +282,26 @@ def test_source_mix_emits(spark, none):
     assert source_mix.stage(spark, none, "").count() == 0
 
 
+def test_source_mix_clashing_names(spark, clashing):
+    docs = clashing.select("*", *[F.lit(-1).alias(c) for c in ("target", "source_size", "copies", "part")])
+    plain = source_mix.stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "")
+    out = source_mix.stage(spark, docs, "")
+    assert len(set(out.columns)) == len(out.columns) and {"h1", "node", "part"} <= set(out.columns)
+    assert counted(out.select(plain.columns)) == counted(plain)
+    mixed = source_mix.mix(docs.drop("size").withColumn("size", source_mix.size_of(F.col("text"))))
+    assert mixed.columns.count("target") == 2 and mixed.count() == docs.count()
+
+
+def test_token_counts_odd(spark, clashing, none):
+    docs = clashing.select("*", F.lit(1).alias("n_tokens"), F.lit("x").alias("docs"))
+    assert sum(r.docs for r in token_counts.length_histogram(docs).collect()) == docs.count()
+    assert token_counts.limits(token_counts.length_histogram(none)).count() == 0
+    long = spark.createDataFrame([(prose(9, 60000),)], "text string")
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encode = token_counts.encoding(f.read()).encode_ordinary
+    assert token_counts.length_histogram(long).first().n_tokens == len(encode(long.first().text))
+
+
 def test_token_counts(spark, odd, odd_rows, tmp_path):
     with open(token_counts.VOCABULARY, "rb") as f:
         encode = token_counts.encoding(f.read()).encode_ordinary
