@@ -135,7 +135,7 @@ def words(text):
 
 
 def test_license_scan(spark, tmp_path):
-    texts = [None, "", "MIT-License", "the mit license, the Apache License and mit license", "GNU general public license v3", "general public", "public license mit", license_scan.NOTICES[0][1], "So: " + license_scan.NOTICES[3][1].replace("source", "sauce") + " end", "mité license mit licence"]
+    texts = [None, "", "MIT-License", "the mit license, the Apache License and mit license", "GNU general public license v3", "general public", "public license mit", license_scan.NOTICES[0][1], "So: " + license_scan.NOTICES[9][1].replace("source", "sauce") + " end", "mité license mit licence", " ".join(license_scan.NOTICES[10][1].upper().split()[:85]) + " and " + license_scan.NOTICES[6][1], prose(5, 50000) + " MIT license " + prose(6, 20000)]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string")
     got = license_scan.op7_license_scan(spark, folder(docs, tmp_path)).collect()
     assert len(got) == len(texts) + 1
@@ -149,7 +149,8 @@ def test_license_scan(spark, tmp_path):
         assert r.base_labels == ",".join(sorted({x for _, x in found}))
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     by = {r.doc_id: r for r in got}
-    assert by[7].labels == "mit" and by[7].score == 1 and by[8].labels == "bsd" and 0.5 <= by[8].score < 1
+    assert by[7].labels == "mit" and by[7].score == 1 and by[8].labels == "bsd" and 0.6 <= by[8].score < 1
+    assert {"isc", "lgpl"} <= set(by[10].labels.split(",")) and by[11].first_word == by[11].last_word == 50000
 
 
 def test_license_scan_odd(spark, clashing, none):
