@@ -16,16 +16,20 @@ STOPWORDS = (
 ).split()
 
 #: Irregular forms and their base forms.
-LEMMAS = dict(
-    pair.split(":")
-    for pair in (
-        "went:go gone:go got:get gotten:get met:meet ate:eat eaten:eat gave:give given:give took:take taken:take came:come saw:see seen:see "
-        "knew:know known:know thought:think bought:buy brought:bring drove:drive driven:drive wrote:write written:write broke:break "
-        "broken:break spoke:speak spoken:speak sang:sing sung:sing ran:run began:begin begun:begin fell:fall fallen:fall told:tell found:find "
-        "made:make said:say lost:lose won:win sat:sit stood:stand left:leave built:build sent:send spent:spend caught:catch taught:teach "
-        "felt:feel kept:keep slept:sleep paid:pay lent:lend chose:choose chosen:choose grew:grow grown:grow threw:throw"
-    ).split()
-)
+LEMMAS = {
+    "went": "go", "gone": "go", "got": "get", "gotten": "get", "met": "meet", "ate": "eat", "eaten": "eat",
+    "gave": "give", "given": "give", "took": "take", "taken": "take", "came": "come", "saw": "see", "seen": "see",
+    "knew": "know", "known": "know", "thought": "think", "bought": "buy", "brought": "bring", "drove": "drive",
+    "driven": "drive", "wrote": "write", "written": "write", "broke": "break", "broken": "break", "spoke": "speak",
+    "spoken": "speak", "sang": "sing", "sung": "sing", "ran": "run", "began": "begin", "begun": "begin",
+    "fell": "fall", "fallen": "fall", "told": "tell", "found": "find", "made": "make", "said": "say", "lost": "lose",
+    "won": "win", "sat": "sit", "stood": "stand", "left": "leave", "built": "build", "sent": "send", "spent": "spend",
+    "caught": "catch", "taught": "teach", "felt": "feel", "kept": "keep", "slept": "sleep", "paid": "pay",
+    "lent": "lend", "chose": "choose", "chosen": "choose", "grew": "grow", "grown": "grow", "threw": "throw",
+    "thrown": "throw", "flew": "fly", "flown": "fly", "drew": "draw", "drawn": "draw", "wore": "wear", "worn": "wear",
+    "rode": "ride", "ridden": "ride", "hid": "hide", "hidden": "hide", "hung": "hang", "held": "hold", "led": "lead",
+    "fought": "fight", "sold": "sell", "swam": "swim", "swum": "swim", "drank": "drink", "drunk": "drink",
+}
 
 #: Fixed values: (suffix, the word must be longer than, characters cut, what is put in their place, whether an e comes back
 #: after at, iz and bl). The first suffix that fits is the only one.
@@ -75,21 +79,15 @@ def lemma(word: Column) -> Column:
     return F.when(word.isin(*LEMMAS), F.try_element_at(forms, word)).otherwise(word)  # a look-up in a set for most words
 
 
+def _suffix_pattern() -> str:
+    """One pattern for all suffixes: a longer suffix comes before one that it ends with, as it does in the rules."""
+    before = {suffix: max(longer + 1 - len(suffix), 0) for suffix, longer, *_ in SUFFIXES}
+    return "(?:" + "|".join(f"(?<={'.' * n}){suffix}" if n else suffix for suffix, n in before.items()) + ")$"
+
+
 def suffix_of(base: Column) -> Column:
-    """The suffix of a base form that a rule takes off or keeps; empty if none fits.
-
-    Rules are told apart by their last letter first, so that a word meets a few of them only. base should be a plain
-    column, for it stands in every rule.
-    """
-    out = F.when(F.length(base) <= SHORT, "")
-    last = F.substring(base, -1, 1)
-    for letter in dict.fromkeys(s[-1] for s, *_ in SUFFIXES):
-        rules = [(s, longer) for s, longer, *_ in SUFFIXES if s[-1] == letter]
-        case = F.when(F.lit(False), "")
-        for s, longer in rules:
-            case = case.when(F.endswith(base, F.lit(s)) & (F.length(base) > longer), s)
-        out = out.when(last == letter, case.otherwise(""))
-    return out.otherwise("")
+    """The suffix of a base form that a rule takes off or keeps; empty if none fits."""
+    return F.when(F.length(base) <= SHORT, "").otherwise(F.regexp_extract(base, _suffix_pattern(), 0))
 
 
 def without_suffix(base: Column, suffix: Column) -> Column:

@@ -48,8 +48,9 @@ def bm25_scores(posts: DataFrame, n_records: DataFrame, queries: DataFrame, id_c
     size = lengths(posts, id_col)
     n = n_records.select("n").scalar()
     mean = size.agg(F.sum("length")).scalar() / n
-    rare = document_frequency(posts).join(asked.select("term").distinct(), "term").select("term", scoring.idf(n, F.col("df")).alias("rarity"))
-    hits = posts.join(rare, "term").join(size, id_col)
+    wanted = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    rare = document_frequency(wanted).select("term", scoring.idf(n, F.col("df")).alias("rarity"))
+    hits = wanted.join(rare, "term").join(size, id_col)
     share = scoring.bm25(F.col("tf"), F.col("length"), mean, F.col("rarity"))
     return hits.select(id_col, "term", share.alias("share")).join(asked, "term").groupBy("qid", id_col).agg(F.sum(F.col("share") * F.col("times")).alias("score"))
 

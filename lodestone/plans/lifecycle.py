@@ -16,15 +16,22 @@ plans = Plans()
 D = "CAST({} AS DOUBLE)".format
 
 
-def _cues(kind: str) -> str:
-    each, of = understanding.CUES[kind]
-    return f"len(list_filter(w, lambda x: x IN ({sql.quoted(of)}))) * {D(each)}"
+def _count(pattern: str) -> str:
+    return f"len(regexp_extract_all(low, '{pattern}'))"
+
+
+def _has(pattern: str) -> str:
+    return f"regexp_matches(low, '{pattern}')"
 
 
 _KINDS = f"""
-k AS (SELECT *, {_cues("temporal")} AS a, {_cues("adversarial")} AS b, {_cues("multi-hop")} + CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN 1 ELSE 0 END AS c
-      FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM conversations)),
-q AS (SELECT *, CASE WHEN greatest(a, b, c) < {D(1.5)} THEN CASE WHEN len(w) <= 10 AND list_has_any(w, [{sql.quoted(understanding.OPEN)}]) THEN 'open-domain' ELSE 'single-hop' END WHEN a >= b AND a >= c THEN 'temporal' WHEN b >= c THEN 'adversarial' ELSE 'multi-hop' END AS kind FROM k)
+m AS (SELECT *, regexp_replace(lower(text), '[\\x{{C0}}-\\x{{24F}}]', 'x', 'g') AS low, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words FROM conversations),
+n AS (SELECT *, {_count(understanding.TEMPORAL)} AS t, {_count(understanding.MULTIHOP)} AS h FROM m),
+k AS (SELECT *, t * {D(2)} AS a,
+        {_count(understanding.ADVERSARIAL)} * {D(2.5)} + CASE WHEN {_has(understanding.DENIED)} THEN 3 ELSE 0 END + CASE WHEN {_has(r"\bever\b")} THEN 2 ELSE 0 END + CASE WHEN {_has(understanding.VERIFYING)} THEN {D(1.5)} ELSE 0 END AS b,
+        h * {D(1.5)} + CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN 1 ELSE 0 END + CASE WHEN t > 0 AND {_has(understanding.DATED_ACTION)} THEN {D(1.5)} ELSE 0 END + CASE WHEN n_words > 15 AND h > 0 THEN 2 ELSE 0 END AS c
+      FROM n),
+q AS (SELECT *, CASE WHEN greatest(a, b, c) < {D(1.5)} THEN CASE WHEN n_words <= 10 AND {_has(understanding.OPEN)} THEN 'open-domain' ELSE 'single-hop' END WHEN a >= b AND a >= c THEN 'temporal' WHEN b >= c THEN 'adversarial' ELSE 'multi-hop' END AS kind FROM k)
 """
 
 

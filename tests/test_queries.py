@@ -4,12 +4,12 @@ import datetime as dt
 import os
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 
 from lodestone import registry
 
-DuckDB = pytest.importorskip("duckdb")
 WORDS = "river stone walking walked quickly happiness nation Berlin Paris the of running engines engine database décision état größe".split()
 
 
@@ -60,7 +60,7 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, tables, name):
-    con = DuckDB.connect()
+    con = duckdb.connect()
     for t in os.listdir(tables):
         con.sql(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{tables}/{t}/*.parquet')")
     assert values(registry.queries()[name](spark, tables).toPandas()) == values(con.sql(registry.oracle_sql()[name]).df())
