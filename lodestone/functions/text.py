@@ -122,3 +122,27 @@ def chunks(terms: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     starts = F.sequence(F.lit(1), F.greatest(F.size(terms) - overlap, F.lit(1)), F.lit(step))
     return F.transform(starts, lambda i: F.slice(terms, i, size))
+
+
+def normalised(text: Column) -> Column:
+    """text lower-cased, its runs of white space as one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text: what ends in a full stop, question or exclamation mark before white space."""
+    parts = F.split(F.regexp_replace(F.trim(text), r"([.!?])\s+", "$1\u0001"), "\u0001")
+    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+
+
+def phrases(text: Column) -> Column:
+    """Quoted phrases and runs of two to four capitalised words, lower-cased, distinct, in order."""
+    quoted = F.regexp_extract_all(text, F.lit('"([^"]{3,})"'), F.lit(1))
+    names = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(F.concat(quoted, names), F.lower)))
+
+
+def probes(text: Column) -> Column:
+    """Numbers and capitalised words: what a summary should keep."""
+    numbers = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
+    return F.array_distinct(F.concat(numbers, F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))))
