@@ -52,3 +52,34 @@ def calibration(accepted: Column, rejected: Column, ignored: Column) -> Column:
     against = rejected + ignored * 0.3
     weight = 0.5 + (accepted + 1.0) / (accepted + against + 2.0)
     return F.when(accepted + rejected + ignored < 3, 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.5), weight)))
+
+
+def importance(accesses: Column, days: Column, base: float = 1.0, decay: float = 0.05) -> Column:
+    """Importance by accesses and days since the last one, within 0.8 and 1.5."""
+    raw = F.lit(base) * (0.5 + 0.3 * F.log(1.0 + accesses) + 0.2 * F.exp(-decay * days))
+    return F.least(F.greatest(raw, F.lit(0.8)), F.lit(1.5))
+
+
+def fixed_hex(fixed: Column) -> Column:
+    """Eight hexadecimal digits of a 16.16 fixed-point number, negative ones as two's complement."""
+    return F.lpad(F.lower(F.hex(F.when(fixed < 0, fixed + 4294967296).otherwise(fixed))), 8, "0")
+
+
+def from_fixed(fixed: Column) -> Column:
+    return fixed / 65536.0
+
+
+def tier_boost(tier: Column) -> Column:
+    """What a score counts for in each of four tiers."""
+    return F.when(tier == 0, 0.7).when(tier == 1, 1.0).when(tier == 2, 1.5).otherwise(2.0)
+
+
+def predicted_variance(variance: Column, hours: Column, each: float = 0.01) -> Column:
+    """A belief's variance after some hours; 1 at most."""
+    return F.least(variance + each * hours, F.lit(1.0))
+
+
+def forgetting_step(status: Column, price: Column, age: Column) -> Column:
+    """forget, archive, mark or keep: the first whose conditions hold."""
+    out = F.when((status == "F") & (age > 2000), "forget").when((status == "P") & (age > 365), "archive")
+    return out.when((price < 50000) & (age > 180), "mark").otherwise("keep")

@@ -36,3 +36,14 @@ def quantized(a: Column, bits: int = 3) -> Column:
     levels = float((1 << bits) - 1)
     low, high = F.array_min(a), F.array_max(a)
     return F.transform(a, lambda x: F.when(high > low, F.floor((x - low).cast("double") / (high - low).cast("double") * levels + 0.5)).otherwise(0).cast("int"))
+
+
+def encoded(vector: Column, scale: Column) -> Column:
+    """A vector's elements in steps of scale, from -127 to 127, as a byte each in hexadecimal."""
+    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex((F.rint(x / scale) + 128).cast("long"))), 2, "0")), "")
+
+
+def decoded_steps(code: Column) -> Column:
+    """The steps that a code stands for."""
+    places = F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))
+    return F.transform(places, lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") - 128)
