@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("plans.lexical", "plans.ranking", "plans.timeline", "plans.quality", "plans.lifecycle", "plans.records", "plans.flow", "plans.questions", "plans.network", "plans.kernels")
+MODULES: tuple[str, ...] = ("plans.lexical", "plans.ranking", "plans.timeline", "plans.quality", "plans.lifecycle", "plans.records", "plans.flow", "plans.questions", "plans.network", "plans.kernels", "plans.feedback")
 
 
 def queries() -> dict:
