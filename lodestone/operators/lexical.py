@@ -74,3 +74,12 @@ def feedback_terms(posts: DataFrame, ranked: DataFrame, id_col: str, mu: float =
     smoothed = (F.col("tf") + mu * F.col("p_term")) / (F.col("length") + mu)
     model = rows.groupBy("qid", "term").agg(F.round(F.sum(F.col("weight") * smoothed), 9).alias("p"))
     return top_k(model, "qid", "term", k, "p")
+
+
+def bigrams(records: DataFrame, id_col: str, text_col: Column) -> DataFrame:
+    """(id, t1, t2): the distinct pairs of stemmed terms that follow each other once stop words are gone."""
+    kept = F.filter(text.words(text_col), text.is_term)
+    rows = records.select(id_col, F.posexplode(kept).alias("pos", "word")).withColumn("base", text.lemma(F.col("word")))
+    stems = rows.withColumn("suffix", text.suffix_of(F.col("base"))).select(id_col, "pos", text.without_suffix(F.col("base"), F.col("suffix")).alias("term"))
+    after = stems.select(id_col, (F.col("pos") - 1).alias("pos"), F.col("term").alias("t2"))
+    return stems.join(after, [id_col, "pos"]).select(id_col, F.col("term").alias("t1"), "t2").distinct()
