@@ -46,7 +46,7 @@ from .suffix_merge import LoserTree, common, decoded, front_coded
 LENGTH = 200
 GRAM = 100
 RUN = 8 << 20  # bytes of entries that are sorted at once
-RANGE = 4 << 20  # bytes of front-coded entries that a range should hold
+RANGE = 1 << 20  # bytes of front-coded entries that a range should hold
 SAMPLE = 16384  # heads of blocks at most from which the splitters are taken
 BLOCK = 256  # entries of a front-coded block
 MERGED = 1 << 14  # entries at least that are compared at once
@@ -346,8 +346,8 @@ def _splitters(runs: DataFrame, sample: int, range_bytes: int) -> list[bytes]:
     """Where ranges of about range_bytes begin; as many as the entries ask for and the sample allows."""
     total = runs.agg(F.sum(F.octet_length("entries") + F.octet_length("owners")).alias("n")).first()["n"] or 0
     ranges = total // range_bytes + 1
-    # only the heads that are drawn come to the driver, and no more than sixteen for each range
-    heads = runs.select("head").orderBy(F.xxhash64("head", "run")).limit(min(sample, 16 * ranges))
+    # only the heads that are drawn come to the driver, and no more than sixty-four for each range
+    heads = runs.select("head").orderBy(F.xxhash64("head", "run")).limit(min(sample, 64 * ranges))
     many = sorted({bytes(r["head"]) for r in heads.collect()})
     ranges = min(len(many), ranges)
     return [many[len(many) * n // ranges] for n in range(1, ranges)]
