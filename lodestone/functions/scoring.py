@@ -83,3 +83,14 @@ def forgetting_step(status: Column, price: Column, age: Column) -> Column:
     """forget, archive, mark or keep: the first whose conditions hold."""
     out = F.when((status == "F") & (age > 2000), "forget").when((status == "P") & (age > 365), "archive")
     return out.when((price < 50000) & (age > 180), "mark").otherwise("keep")
+
+
+def budget(tokens: int, answer: float = 0.15, overhead: float = 0.10) -> int:
+    """Tokens that evidence may take once the answer's and the overhead's share are set aside."""
+    return int(tokens * (1 - answer - overhead))
+
+
+def date_proximity(asked: Column, own: Column, sigma: float = 30.0) -> Column:
+    """0.5 to 1.5 by the days between two dates; 1 where none is asked for, 0.8 where a record has none."""
+    apart = F.datediff(own, asked).cast("double")
+    return F.when(asked.isNull(), 1.0).when(own.isNull(), 0.8).otherwise(0.5 + F.exp(-apart * apart / (2 * sigma * sigma)))
