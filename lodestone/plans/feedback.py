@@ -111,15 +111,15 @@ def penalised_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.query("""
-SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(min(value), 4) AS least, round(avg(value), 4) AS mean, round(max(value), 4) AS most, round(quantile_cont(value, 0.25), 4) AS q1, round(quantile_cont(value, 0.5), 4) AS q2, round(quantile_cont(value, 0.75), 4) AS q3,
+SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(min(value), 6) AS least, round(avg(value), 6) AS mean, round(max(value), 6) AS most, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3,
   round(sum(CASE WHEN value < 10 THEN 1.0 ELSE 0.0 END) / count(*), 6) AS starved FROM events GROUP BY 1, 2
 """)
 def stage_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, mean, greatest and quartiles of each stage's values by day, and the share of starved ones."""
-    at = lambda q: F.round(F.percentile("value", q), 4)
+    at = lambda q: F.round(F.percentile("value", q), 6)
     starved = F.when(F.col("value") < 10, 1.0).otherwise(0.0)
     return events(spark, sf_dir).groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(
-        F.count("*").alias("n"), F.round(F.min("value"), 4).alias("least"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("most"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.round(F.sum(starved) / F.count("*"), 6).alias("starved")
+        F.count("*").alias("n"), F.round(F.min("value"), 6).alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.round(F.sum(starved) / F.count("*"), 6).alias("starved")
     )
 
 

@@ -116,7 +116,7 @@ def expansion_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lexical.bm25_scores(posts, n, asked, "doc_id").withColumn("score", F.round("score", 6))
     top = stored(lexical.top_k(scores, "qid", "doc_id", 5), "top")
     shared = top.select("qid", "doc_id").join(posts.select("doc_id", "term"), "doc_id").groupBy("qid", "term").agg(F.count("*").alias("docs")).where("docs >= 2")
-    total = n.first()["n"]
+    total = n.select("n").scalar()
     rare = lexical.document_frequency(posts).where(F.col("df") < 0.3 * total).select("term")
     found = shared.join(rare, "term").join(asked.distinct(), ["qid", "term"], "left_anti")
     return lexical.top_k(found, "qid", "term", 8, "docs")

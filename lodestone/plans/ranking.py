@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import lexical, ranking
+from ..operators.nearest import nearest
 from ..sources.tables import table
 from .registering import Plans
 
@@ -20,12 +21,16 @@ near AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, q.label AS q_label, v.label
 """
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, vec_id, q_label, label, score): every query vector against all others.
 
     The queries are a stated set, so they are the broadcast side only while Spark's size threshold lets them be.
     """
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
+    rows = _units(spark, sf_dir)
     asked = rows.where(F.col("vec_id") % QUERY_EACH == 0).select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), F.col("v").alias("q"))
     both = rows.join(asked, F.col("vec_id") != F.col("qid"))
     return both.select("qid", "vec_id", "q_label", "label", F.round(F.coalesce(vectors.dot(F.col("q"), F.col("v")), F.lit(0.0)), 6).alias("score"))
@@ -34,14 +39,15 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query(f"WITH {_NEAR} SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 10")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of each query vector."""
-    return lexical.top_k(neighbours(spark, sf_dir), "qid", "vec_id", 10).select("qid", "vec_id", "score", "rank")
+    return nearest(_units(spark, sf_dir), "vec_id", "v", F.col("vec_id") % QUERY_EACH == 0, 10).select("qid", "vec_id", "score", "rank")
 
 
 @plans.query(f"WITH {_NEAR} SELECT qid, vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM near WHERE label = q_label) WHERE rank <= 5")
 def knn_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of each query vector's own label."""
-    same = neighbours(spark, sf_dir).where(F.col("label") == F.col("q_label"))
-    return lexical.top_k(same, "qid", "vec_id", 5).select("qid", "vec_id", "label", "score", "rank")
+    rows = _units(spark, sf_dir)
+    found = nearest(rows, "vec_id", "v", F.col("vec_id") % QUERY_EACH == 0, 5, label="label")
+    return found.join(rows.select("vec_id", "label"), "vec_id").select("qid", "vec_id", "label", "score", "rank")
 
 
 @plans.query("""

@@ -280,3 +280,71 @@ def test_changes_and_violations(spark):
     old, new = spark.createDataFrame([(1, "a", 5), (2, "b", None)], "id long, v string, n long"), spark.createDataFrame([(1, "a", 6), (2, None, None), (3, "x", 1)], "id long, v string, n long")
     assert {tuple(r) for r in audit.field_changes(old, new, "id").collect()} == {(1, "n", "5", "6"), (2, "v", "b", None)}
     assert [tuple(r) for r in audit.violations(new, "id", {"v": ["a"]}).collect()] == [(3, "v", "x")]
+
+
+def test_nearest_in_blocks_is_exact(spark):
+    import numpy as np
+
+    from lodestone.operators.nearest import nearest
+
+    r = np.random.default_rng(3)
+    x = r.integers(-3, 4, (200, 5)).astype(float)  # many ties
+    rows = [(i, x[i].tolist() if i % 17 else None, i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    v = np.array([np.zeros(5) if i % 17 == 0 else x[i] for i in range(200)])
+    for label in (None, "label"):
+        got = {(row.qid, row.id, row.score, row["rank"]) for row in nearest(df, "id", "v", F.col("id") % 5 == 0, 7, label, block=9, part=30).collect()}
+        expected = set()
+        for q in range(0, 200, 5):
+            fit = sorted((-float(v[q] @ v[i]), i) for i in range(200) if i != q and (label is None or i % 3 == q % 3))[:7]
+            expected |= {(q, i, -s + 0.0, n) for n, (s, i) in enumerate(fit, 1)}
+        assert got == expected
+    assert nearest(df.limit(0), "id", "v", F.col("id") % 5 == 0, 7).count() == 0
+
+
+def test_coded_search_recall(spark):
+    """The coded search finds nine in ten of the exact neighbours at least."""
+    import numpy as np
+
+    from lodestone.functions import vectors
+    from lodestone.operators.embedding import searched
+    from lodestone.operators.nearest import nearest
+
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((12, 64))
+    df = spark.createDataFrame([(i, (centres[i % 12] + r.standard_normal(64)).tolist()) for i in range(1500)], "id long, embedding array<double>")
+    asked = F.col("id") % 20 == 0
+    exact = {(x.qid, x.id) for x in nearest(df.select("id", vectors.unit(F.col("embedding")).alias("v")), "id", "v", asked, 10).collect()}
+    found = {(x.qid, x.id) for x in searched(df, "id", asked, 10, candidates=150).collect()}
+    assert len(exact) == len(found) == 750 and len(exact & found) / len(exact) >= 0.9
+
+
+def test_strategies_by_name():
+    from lodestone import extensions
+
+    extensions.register("kernel", "plain", lambda: 1)
+    assert extensions.get("kernel", "plain")() == 1 and extensions.names("kernel") == ["plain"]
+    with pytest.raises(KeyError, match="plain"):
+        extensions.get("kernel", "other")
+
+
+def test_time_references(spark):
+    import datetime as dt
+
+    from lodestone.functions import understanding
+
+    day, cases = dt.date(2024, 3, 15), {
+        "what happened yesterday": ("2024-03-14", "2024-03-14"), "TODAY": ("2024-03-15", "2024-03-15"), "the last 7 days": ("2024-03-08", "2024-03-15"), "2 days ago": ("2024-03-13", "2024-03-13"),
+        "2 weeks ago": ("2024-02-27", "2024-03-04"), "last week": ("2024-03-04", "2024-03-10"), "this week": ("2024-03-11", "2024-03-15"), "last month": ("2024-02-01", "2024-02-29"),
+        "before 2023-01-05": (None, "2023-01-05"), "after 2023-01-05": ("2023-01-05", None), "in 2021": ("2021-01-01", "2021-12-31"), "no time at all": (None, None), "before 2023-13-45": (None, None),
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "q string").select("q", *[c.cast("string").alias(n) for n, c in zip("ab", understanding.time_reference(F.col("q"), F.lit(day)))])
+    assert {r.q: (r.a, r.b) for r in df.collect()} == cases
+
+
+def test_irregular_forms_and_suffixes(spark):
+    from lodestone.functions import text
+
+    words = {"thrown": "throw", "flew": "fly", "hidden": "hide", "sold": "sell", "swam": "swim", "drank": "drink", "studies": "study", "dies": "die", "classes": "class", "kindness": "kind", "payment": "pay", "nation": "nat", "sized": "size", "creating": "create", "famous": "famous", "computing": "comput", "running": "runn", "tables": "table", "bus": "bus", "glass": "glass", "bigger": "bigg", "related": "relate", "red": "red"}
+    df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("b", text.lemma(F.col("w"))).withColumn("s", text.suffix_of(F.col("b")))
+    assert {r.w: r.t for r in df.select("w", text.without_suffix(F.col("b"), F.col("s")).alias("t")).collect()} == words
