@@ -11,7 +11,9 @@ those that may reach the threshold are verified on the full sets; links join nod
 node tries its best untested pair into another component; then the pairs of one bucket that still lie in
 different components are tried, the smaller components of a bucket against all others, but for those that bitmaps of
 their sets show to be too far apart, or that differ in more registers' last bits than similar sets do (by 4.5 standard
-errors). So no link between different components is lost, and members of one component are never paired again.
+errors). Only sets of similar size are compared, and a bucket of many members is dealt to several tasks. A link between
+different components is lost only where two sets share no band, or where their registers are 4.5 standard errors off;
+members of one component are never paired again, and components are brought up to date by the new links alone.
 
 Defined results for odd input: a text that is null or has no words has the empty set and is linked with nothing; a
 text with fewer than K words has one shingle, all its words; a null doc_id is linked with nothing and kept; rows that
@@ -20,6 +22,8 @@ repeat a doc_id share one node's component; an empty table gives an empty result
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +41,7 @@ BUCKETS = ROWS * BANDS
 MANTISSA = 10
 ROUNDS = 3
 BITS = tuple(f"bits{n}" for n in range(-(-BUCKETS // 64)))  # columns with the last bit of every register
+SPLIT = 512  # members of a bucket that a task compares others with
 MAPS = 64  # words of 64 bits of a set's bitmap
 MARGIN = 4.5  # standard errors by which an estimate may miss the threshold
 _rng = np.random.default_rng(11)
@@ -171,7 +176,7 @@ class Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, similar: int):
         self.similar, self.nodes = similar, nodes.select("node", "n", "registers")
         self.sets = stored(full_sets(docs, members.select("node").distinct(), k), "sets")
-        self.links = self.labels = None
+        self.labels: DataFrame | None = None
 
     def _joined(self, pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
         a, b = (side.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", column)]) for s in "ab")
@@ -190,8 +195,15 @@ class Linker:
         both = self._joined(pairs.select("a", "b"), self.sets, "shingles").withColumn("i", shared("shingles_a", "shingles_b"))
         linked = both.where(100 * F.col("i") >= self.similar * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
         new = stored(linked, "links")
-        self.links = new if self.links is None else self.links.union(new)
-        self.labels = components(self.links)
+        if self.labels is None:
+            self.labels = components(new)
+            return
+        # components that the new links join, as a graph of their labels; the others stay as they are
+        joined = self.labelled(self.labelled(new, "a", "la"), "b", "lb").where("la <> lb")
+        merged = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        now = merged.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+        old = self.labels.join(now, F.col("label") == F.col("__n"), "left").select("node", F.coalesce("__l", "label").alias("label"))
+        self.labels = stored(old.union(merged.join(self.labels.select("node"), "node", "left_anti")), "labels")
 
     def labelled(self, rows: DataFrame, node: str, label: str) -> DataFrame:
         """rows with the component of a node; a node without links is its own."""
@@ -229,7 +241,8 @@ def cross_pairs(members: DataFrame, linker: Linker) -> DataFrame:
 
     The join itself bounds the similarity by the registers' last bits and, exactly, by bitmaps of the sets: the
     intersection is at most the bits that two maps share and the shingles that met a set bit. So texts that merely share
-    a passage, or are edited too far apart, make no rows.
+    a passage, or are edited too far apart, make no rows. Only sets of similar size meet, and a bucket of more than SPLIT
+    members is dealt to so many tasks.
     """
     rows = stored(linker.labelled(members.select("key", "node", "n", *BITS), "node", "label"), "labelled")
     mixed_keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
@@ -237,13 +250,18 @@ def cross_pairs(members: DataFrame, linker: Linker) -> DataFrame:
     maps = stored(bitmaps(linker.sets.join(rows.select("node").distinct(), "node", "left_semi")), "bitmaps")
     rows = stored(rows, "in-mixed")
     sizes = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    most = stored(sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most")), "most")
-    rows = rows.join(maps, "node")
-    minor = rows.join(most, "key").where("label <> most").select("key", *[F.col(c).alias(f"x_{c}") for c in rows.columns if c != "key"]).withColumnRenamed("x_node", "x")
+    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.ceil(F.sum("c") / SPLIT).cast("int").alias("salts"))
+    # sets of similar size lie in the same bin or next to it
+    bin_ = F.floor(F.log("n") / math.log(100 / linker.similar * 1.001)).cast("int")
+    rows = rows.join(maps, "node").join(stored(most, "most"), "key").withColumn("bin", bin_)
+    minor = rows.where("label <> most").withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)))
+    minor = minor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    minor = minor.select("key", "bin", "salt", F.col("node").alias("x"), *[F.col(c).alias(f"x_{c}") for c in ("label", "n", "more", *BITS, *(f"map{n}" for n in range(MAPS)))])
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x_{b}"))) for b in BITS), F.lit(0))
     together = sum((F.bit_count(F.col(f"map{n}").bitwiseAND(F.col(f"x_map{n}"))) for n in range(MAPS)), F.least("more", "x_more"))
     reachable = (100 + linker.similar) * together >= linker.similar * (F.col("n") + F.col("x_n"))
-    pairs = minor.join(rows, "key").where((F.col("label") != F.col("x_label")) & (apart <= most_apart(linker.similar)) & reachable)
+    pairs = minor.join(rows, ["key", "bin", "salt"]).where((F.col("label") != F.col("x_label")) & (apart <= most_apart(linker.similar)) & reachable)
     return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 

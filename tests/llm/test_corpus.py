@@ -71,6 +71,12 @@ def test_near_duplicates(spark, group, k):
     assert got == brute_components(group, k)
 
 
+def test_buckets_are_split(spark, group, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "SPLIT", 3)
+    docs = spark.createDataFrame(group, "doc_id long, text string")
+    assert Counter(tuple(r) for r in minhash_dedup.near_duplicates(docs, 2).collect()) == brute_components(group, 2)
+
+
 def test_near_duplicates_empty(spark, none):
     assert minhash_dedup.near_duplicates(none).count() == 0
     assert minhash_dedup.stage(spark, none, "").columns == none.columns
