@@ -19,13 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bucketed, discard, scratch, shuffles, stored, strip_blanks, table
+from .common import ascii_lower, bucketed, discard, scratch, shuffles, strip_blanks, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4  # at least; one more for each BATCH documents
 BATCH = 1 << 27
-HOT = 10_000
+SALTS = 8
 KEY = ("h1", "h2")
 
 
@@ -104,7 +104,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     lines, runs = spark.read.schema(keyed.schema).parquet(path), LineRuns(spark)
     for n in range(batches):
         runs.add(lines.where(F.col("batch") == n))
-    dropped = _held_in(lines, stored(runs.keys().where(F.col("n_docs") >= min_docs), "repeated")).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
+    dropped = _held_in(lines, runs.keys().where(F.col("n_docs") >= min_docs)).where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
     dropped = dropped.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("pos").alias("__drop"))
     both = docs.withColumn("__h", F.xxhash64("text")).join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
     split = both.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
@@ -119,13 +119,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
 
 
 def _held_in(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """lines with the max_doc of their key. Keys with a HOT-th of all occurrences or more are HOT at most, so they are
-    broadcast, and no task gets all lines of one; the other keys are joined by hash."""
-    total = F.coalesce(keys.agg(F.sum("n_docs")).scalar(), F.lit(0))
-    often = F.col("n_docs") * HOT >= total
-    hot = F.broadcast(keys.where(often).select(*KEY, "max_doc"))
-    rest = lines.join(hot, list(KEY), "left_anti").join(keys.where(~often).select(*KEY, "max_doc"), list(KEY))
-    return lines.join(hot, list(KEY)).unionByName(rest)
+    """lines with the max_doc of their key. A key stands under SALTS salts, so the lines of one go to as many tasks."""
+    salted = keys.select(*KEY, "max_doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
