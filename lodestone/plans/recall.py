@@ -194,7 +194,7 @@ def turn_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query(f"""
 WITH h AS (SELECT user_id, event_type AS intent, least(value / 100, 1) AS informative, CASE WHEN event_type = 'error' THEN {D(0.5)} ELSE {D(1)} END AS valid, {D(1)} / count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS fresh, CASE WHEN value >= 20 THEN {D(1)} ELSE {D(0.5)} END AS retained FROM events)
-SELECT user_id, intent, round(least(sum(informative * valid * fresh * retained) / CASE intent WHEN 'purchase' THEN {D(3)} WHEN 'click' THEN {D(2)} ELSE {D(1)} END, 1), 4) AS sufficiency FROM h GROUP BY user_id, intent
+SELECT user_id, intent, round(least(sum(informative * valid * fresh * retained) / CASE intent WHEN 'purchase' THEN {D(3)} WHEN 'click' THEN {D(2)} ELSE {D(1)} END, 1), 9) AS sufficiency FROM h GROUP BY user_id, intent
 """)
 def recall_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far what each user got covers what the intent asks for: informative, valid, not redundant and retained."""
@@ -202,7 +202,7 @@ def recall_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     credit = F.least(F.col("value") / 100, F.lit(1.0)) * F.when(F.col("event_type") == "error", 0.5).otherwise(1.0) / same_day * F.when(F.col("value") >= 20, 1.0).otherwise(0.5)
     demand = F.when(F.col("intent") == "purchase", 3.0).when(F.col("intent") == "click", 2.0).otherwise(1.0)
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("intent"), credit.alias("credit")).groupBy("user_id", "intent").agg(F.sum("credit").alias("credit"))
-    return rows.select("user_id", "intent", F.round(F.least(F.col("credit") / demand, F.lit(1.0)), 4).alias("sufficiency"))
+    return rows.select("user_id", "intent", F.round(F.least(F.col("credit") / demand, F.lit(1.0)), 9).alias("sufficiency"))
 
 
 QUERIES, SQL = plans.queries, plans.sql
