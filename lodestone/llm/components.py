@@ -1,4 +1,8 @@
-"""Connected components of a graph of links, as joins over its edges."""
+"""Connected components of a graph of links, as joins over its edges.
+
+Defined results for odd input: a link with a null end joins nothing, links may be repeated, turned around or lead from a
+node to itself; without links there are no nodes; other columns, whatever their names, are ignored.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives a node the smallest label among its own and its neighbours', and then that label's own label, so
     the rounds grow with the logarithm of the longest path. Every round is written to the shared folder.
     """
-    links = links.select("a", "b")
+    links = links.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     edges = stored(links.union(links.select("b", "a")).distinct(), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:

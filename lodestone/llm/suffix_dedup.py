@@ -45,7 +45,7 @@ from .suffix_merge import LoserTree, common, decoded, front_coded
 
 LENGTH = 200
 GRAM = 100
-RUN = 8 << 20  # bytes of entries that are sorted at once
+RUN = 1 << 20  # bytes of entries that are sorted at once
 RANGE = 1 << 20  # bytes of front-coded entries that a range should hold
 SAMPLE = 16384  # heads of blocks at most from which the splitters are taken
 BLOCK = 256  # entries of a front-coded block

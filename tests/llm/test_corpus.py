@@ -301,6 +301,22 @@ def test_pipeline(spark, labelled, odd, tmp_path):
     assert all(r.taken <= 2 * r.size for r in rows.values())
 
 
+def test_pipeline_of_nothing(spark, none, tmp_path):
+    import corpus_pipeline
+
+    path = folder(none, tmp_path, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_long_texts_are_scored_whole(monkeypatch):
+    net = quality_classifier.Network(4)
+    data = prose(8, 60000).encode()
+    whole = net.score(data)
+    assert len(data) > 4 * quality_classifier.LONGEST and net.score(data[:-200000]) != whole
+    monkeypatch.setattr(quality_classifier, "SEGMENT", 10**6)
+    assert net.score(data) == pytest.approx(whole, abs=1e-6)
+
+
 def brute_pipeline(rows, good, items):
     """The rows that all five stages leave, each with its copy number; good is the ids that the classifier has to keep."""
     rows = [r for r in rows if r[0] in good]
