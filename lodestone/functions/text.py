@@ -146,3 +146,15 @@ def probes(text: Column) -> Column:
     """Numbers and capitalised words: what a summary should keep."""
     numbers = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
     return F.array_distinct(F.concat(numbers, F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))))
+
+
+def without_label(text: Column) -> Column:
+    """text without a label in brackets at its beginning."""
+    return F.regexp_replace(text, r"^\([^)]*\)\s*", "")
+
+
+def inline_list(text: Column) -> Column:
+    """The values of a list on one line, ``[a, "b, c"]``; a comma within quotes parts nothing."""
+    inner = F.regexp_replace(F.trim(text), r"^\[|\]$", "")
+    parts = F.regexp_extract_all(inner, F.lit(r'("[^"]*"|[^,"]+)'), F.lit(1))
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(p), '^"|"$', "")), lambda p: p != "")

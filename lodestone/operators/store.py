@@ -96,3 +96,10 @@ def verdict(body: Column) -> Column:
     out = out.when((F.size(said) > 0) & (F.size(F.array_distinct(said)) / F.size(said) < 0.2), "repetitive")
     out = out.when(body.rlike("AKIA[A-Z0-9]{12,}"), "secret").when(F.regexp_count(body, F.lit("[$#@%&*]")) * 5 > size, "noise")
     return out.otherwise("admitted")
+
+
+def expanded_terms(asked: DataFrame, related: DataFrame, id_col: str, most: int) -> DataFrame:
+    """(id, added, terms): up to most related words of each query's words (id, word) that it does not have; related is (word, near)."""
+    fresh = asked.join(related, "word").select(id_col, F.col("near").alias("word")).distinct().join(asked, [id_col, "word"], "left_anti")
+    ranked = fresh.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy("word"))).where(F.col("r") <= most)
+    return ranked.groupBy(id_col).agg(F.count("*").alias("added"), F.array_join(F.array_sort(F.collect_list("word")), " ").alias("terms"))
