@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-K1, B = 1.2, 0.75  # fixed values of the ranking function
+#: Of the ranking function and of rank fusion, the priors of a status, and what truth and calibration weigh.
+K1, B = 1.2, 0.75
 RRF_K = 60
 STATUS_PRIOR = {"verified": 0.92, "active": 0.75, "draft": 0.55, "deferred": 0.50, "superseded": 0.20, "deprecated": 0.15, "rejected": 0.05}
 UNKNOWN_PRIOR = 0.60
+LEAST_TRUTH, MOST_TRUTH = 0.01, 0.99
+MOST_BONUS, BONUS_SCALE = 0.10, 30.0  # for use
+AGAINST, MOST_AGAINST = 0.18, 0.9  # for each contradiction, and of the prior in all
+VOTES, IGNORED = 3, 0.3  # votes below which feedback says nothing, and what an ignored one counts
+LEAST_WEIGHT, MOST_WEIGHT = 0.5, 1.5
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -42,16 +48,16 @@ def truth(status: Column, moment: Column, accesses: Column, against: Column, as_
     for name, value in reversed(STATUS_PRIOR.items()):
         prior = F.when(F.lower(status) == name, value).otherwise(prior)
     aged = F.when(moment.isNull(), 1.0).otherwise(F.pow(F.lit(0.5), F.greatest(age_days(moment, as_of), F.lit(0)) / days))
-    bonus = F.when(accesses > 0, F.least(F.lit(0.10), F.log1p(accesses) / 30.0)).otherwise(0.0)
-    mass = F.least(F.coalesce(against, F.lit(0.0)) * 0.18, prior * 0.9)
-    return F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.99), prior * aged - mass + bonus)), 4)
+    bonus = F.when(accesses > 0, F.least(F.lit(MOST_BONUS), F.log1p(accesses) / BONUS_SCALE)).otherwise(0.0)
+    mass = F.least(F.coalesce(against, F.lit(0.0)) * AGAINST, prior * MOST_AGAINST)
+    return F.round(F.greatest(F.lit(LEAST_TRUTH), F.least(F.lit(MOST_TRUTH), prior * aged - mass + bonus)), 4)
 
 
 def calibration(accepted: Column, rejected: Column, ignored: Column) -> Column:
     """Weight of a record by its feedback: 1 below three votes, else 0.5 plus the smoothed share accepted, in [0.5, 1.5]."""
-    against = rejected + ignored * 0.3
-    weight = 0.5 + (accepted + 1.0) / (accepted + against + 2.0)
-    return F.when(accepted + rejected + ignored < 3, 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.5), weight)))
+    against = rejected + ignored * IGNORED
+    weight = LEAST_WEIGHT + (accepted + 1.0) / (accepted + against + 2.0)
+    return F.when(accepted + rejected + ignored < VOTES, 1.0).otherwise(F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), weight)))
 
 
 def importance(accesses: Column, days: Column, base: float = 1.0, decay: float = 0.05) -> Column:

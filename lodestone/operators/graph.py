@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 
 
-def co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
+LONGEST = 1000  # distinct items of a list
+
+
+def co_occurrence(rows: DataFrame, group: str, item: str, longest: int = LONGEST) -> DataFrame:
     """(a, b, weight), a < b: items of one list; a list of n distinct items adds 1 / n to each of its pairs.
 
-    Lists are the results of one request and short; every pair of a list is an edge.
+    Every pair of a list is an edge, so lists must be short, as the results of one request are: one of more than longest
+    items fails the query rather than being cut.
     """
     once = rows.select(group, item).distinct()
     size = once.groupBy(group).agg(F.count("*").alias("n"))
+    too_long = F.raise_error(F.concat(F.lit(f"a list of more than {longest} items: "), F.col(group).cast("string")))
+    size = size.where(F.when(F.col("n") <= longest, F.lit(True)).otherwise(too_long.cast("boolean")))
     sized = once.join(size, group)
     left, right = sized.select(group, "n", F.col(item).alias("a")), once.select(group, F.col(item).alias("b"))
     return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.sum(1.0 / F.col("n")).alias("weight"))

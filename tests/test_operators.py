@@ -348,3 +348,10 @@ def test_irregular_forms_and_suffixes(spark):
     words = {"thrown": "throw", "flew": "fly", "hidden": "hide", "sold": "sell", "swam": "swim", "drank": "drink", "studies": "study", "dies": "die", "classes": "class", "kindness": "kind", "payment": "pay", "nation": "nat", "sized": "size", "creating": "create", "famous": "famous", "computing": "comput", "running": "runn", "tables": "table", "bus": "bus", "glass": "glass", "bigger": "bigg", "related": "relate", "red": "red"}
     df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("b", text.lemma(F.col("w"))).withColumn("s", text.suffix_of(F.col("b")))
     assert {r.w: r.t for r in df.select("w", text.without_suffix(F.col("b"), F.col("s")).alias("t")).collect()} == words
+
+
+def test_long_lists_fail_and_are_not_cut(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(9)], "g string, i int")
+    assert graph.co_occurrence(rows.where("g = 'a'"), "g", "i", longest=4).count() == 6
+    with pytest.raises(Exception, match="more than 4 items: b"):
+        graph.co_occurrence(rows, "g", "i", longest=4).count()
