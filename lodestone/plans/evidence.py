@@ -59,7 +59,7 @@ def distinct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query(f"""
 {_HITS}, o AS (SELECT *, sum(least(length(text), 500) + 2) OVER (PARTITION BY qid ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM h)
-SELECT qid, count(*) AS packed, max(used) AS chars, md5(string_agg(substr(text, 1, 500), chr(10) || chr(10) ORDER BY n_chars, doc_id)) AS digest FROM o WHERE used <= 3000 GROUP BY qid
+SELECT qid, count(*) AS packed, CAST(max(used) AS BIGINT) AS chars, md5(string_agg(substr(text, 1, 500), chr(10) || chr(10) ORDER BY n_chars, doc_id)) AS digest FROM o WHERE used <= 3000 GROUP BY qid
 """)
 def packed_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of the hits in the order of a field, as many as the budget of characters takes."""

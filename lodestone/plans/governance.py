@@ -99,7 +99,7 @@ def varint_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query("""
 SELECT user_id, day, answer, votes, asked, round(votes / CAST(asked AS DOUBLE), 6) AS share, votes * 2 > asked AS accepted FROM (
-  SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS answer, count(*) AS votes, sum(count(*)) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS asked, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY user_id, CAST(ts AS DATE), event_type) WHERE r = 1
+  SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS answer, count(*) AS votes, CAST(sum(count(*)) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS BIGINT) AS asked, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY user_id, CAST(ts AS DATE), event_type) WHERE r = 1
 """)
 def majority_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answer most of a user's samples of a day agree on, and whether it is more than half."""

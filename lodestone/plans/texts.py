@@ -253,7 +253,7 @@ def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query("""
 WITH v AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate, lag(o_totalprice) OVER w AS before, lag(o_orderdate) OVER w AS then_ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
 s AS (SELECT o_custkey, o_orderkey, least(o_totalprice, before) / greatest(o_totalprice, before) AS similarity, date_diff('day', then_, o_orderdate) AS days FROM v WHERE before IS NOT NULL)
-SELECT o_custkey, o_orderkey, round(least(CASE WHEN similarity > 0.85 THEN 0.3 WHEN similarity > 0.6 THEN 0.8 WHEN similarity > 0.4 THEN 0.5 ELSE 0.2 END + CASE WHEN days < 30 THEN 0.1 ELSE 0 END, 1), 4) AS confidence FROM s
+SELECT o_custkey, o_orderkey, round(CAST(least(CASE WHEN similarity > 0.85 THEN 0.3 WHEN similarity > 0.6 THEN 0.8 WHEN similarity > 0.4 THEN 0.5 ELSE 0.2 END + CASE WHEN days < 30 THEN 0.1 ELSE 0 END, 1) AS DOUBLE), 4) AS confidence FROM s
 """)
 def belief_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How surely each order drifts from the customer's order before: most where they are alike but not the same, and recent."""
