@@ -16,6 +16,7 @@ REGISTRY = {
     "op8_secret_scan": ("secret_scan", "op8_secret_scan", None),
     "op9_source_mix": ("source_mix", "op9_source_mix", "SQL"),
     "op10_suffix_dedup": ("suffix_dedup", "op10_suffix_dedup", None),
+    "op11_parity_join": ("parity_join", "op11_parity_join", None),
     "op13_divergence_audit": ("divergence_audit", "op13_divergence_audit", "SQL"),
 }
 

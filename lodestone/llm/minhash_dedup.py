@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, table
-from .components import components
+from .components import Copies, components
 from .hashing import Words, mixed, pieces
 
 K = 5
@@ -173,8 +173,8 @@ def shared(a: pd.Series, b: pd.Series) -> pd.Series:
 class Linker:
     """Estimation and verification of pairs, and the components of what was linked so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, similar: int):
-        self.similar, self.nodes = similar, nodes.select("node", "n", "registers")
+    def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, similar: int, sketch: str = "registers"):
+        self.similar, self.nodes = similar, nodes.select("node", "n", sketch)
         self.sets = stored(full_sets(docs, members.select("node").distinct(), k), "sets")
         self.labels: DataFrame | None = None
 
@@ -268,9 +268,9 @@ def cross_pairs(members: DataFrame, linker: Linker) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = K, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
     sketch = stored(sketches(docs, k), "sketches")
-    copies = stored(sketch.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node")), "copies")
+    copies = Copies(sketch)
     # a set of n shingles can only be linked with another one if n / (n + 1) reaches the threshold
-    firsts = sketch.where(100 * F.col("n") >= similar * (F.col("n") + 1)).join(copies, ["f1", "f2"]).where("doc_id = node")
+    firsts = copies.nodes().where(100 * F.col("n") >= similar * (F.col("n") + 1))
     nodes = stored(firsts.select("node", "n", "keys", "registers", *BITS), "nodes")
     rows = nodes.select(F.explode("keys").alias("key"), "node", "n", *BITS)
     heads = stored(rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "heads")
@@ -290,8 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = K, similar: int = SIMILAR) -> Data
     left = linker.promising(cross_pairs(members, linker))
     if not left.isEmpty():
         linker.verify(left)
-    every = sketch.select("doc_id", "n", "f1", "f2").join(copies, ["f1", "f2"], "left")
-    every = linker.labelled(every, "node", "label")
+    every = copies.carried(linker.labelled(copies.same.select("node").distinct(), "node", "label"))
     component = F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
