@@ -17,6 +17,7 @@ REGISTRY = {
     "op9_source_mix": ("source_mix", "op9_source_mix", "SQL"),
     "op10_suffix_dedup": ("suffix_dedup", "op10_suffix_dedup", None),
     "op11_parity_join": ("parity_join", "op11_parity_join", None),
+    "op12_spelling_variants": ("spelling_variants", "op12_spelling_variants", None),
     "op13_divergence_audit": ("divergence_audit", "op13_divergence_audit", "SQL"),
 }
 
