@@ -5,18 +5,18 @@ of an item that has fewer. For every number of words that an item has, windows o
 document. A window is the set of its numbered shingles: the second occurrence of a shingle is a feature of its own, so
 that the similarity of such sets is the weighted one. Its 64-bit SimHash is the sign of the sum of the features' bits;
 a sliding window takes in one feature and gives back one. A fingerprint within RADIUS of an item's agrees with it, in
-one of BLOCKS blocks, but for RADIUS // BLOCKS bits, so looking up each block among the items' blocks and their
-neighbours finds all of them. What is found is verified by the exact weighted Jaccard similarity of the shingles
-themselves (weight: number of occurrences), SIMILAR or more.
+one of BLOCKS blocks, but for RADIUS // BLOCKS bits, so looking up each block of a window among the items' blocks and
+their neighbours proposes all items within the radius, and nothing else proposes any. What is proposed and lies within
+the radius is verified by the exact weighted Jaccard similarity of the shingles themselves (weight: number of
+occurrences), SIMILAR or more.
 
-A window that is similar enough to an item of n shingles has all but a few of them, so it has one of any n - least + 1.
-Each item is known by that many of its shingles, those that fewest items have, and only windows with one of them are
-looked up, and only against the items they may stand for; this loses nothing. What the radius loses is measured in the
-tests: two sets of similarity 0.8 differ in 9.7 bits on average, with a standard error of 2.9.
+A window that has no shingle in common with any item is similar to none, and gets no fingerprint; without that saving
+(``everywhere``) the result is the same. What the radius loses is measured in the tests: two sets of similarity 0.8
+differ in 9.7 bits on average, with a standard error of 2.9.
 
-The items are taken to the tasks in blocks of ITEMS, each of which is done and written before the next is read, so
-neither the driver nor a task ever holds more than one block. A document's windows are worked on where the document
-lies, so nothing is shuffled.
+The items are taken to the tasks in blocks of ITEMS and of BYTES of text at most, each of which is done and written
+before the next is read, so neither the driver nor a task ever holds more than one block. A document's windows are
+worked on where the document lies, so nothing is shuffled.
 
 Defined results for odd input: a text or item that is null or has no words matches nothing; a document with fewer
 words than an item has one window, the whole document; an item in several places is reported by its best window, the
@@ -26,9 +26,7 @@ give empty results; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,7 +42,9 @@ SIMILAR = 0.8
 RADIUS = 22
 BLOCKS = 8
 ITEMS = 50_000
-SEGMENT = 1 << 15  # starts of windows that are looked at together
+BYTES = 16 << 20
+SEGMENT = 1 << 15  # places of windows that are looked at together
+PAIRS = 1 << 22  # bits of proposed items that are looked at together
 _BITS = 64 // BLOCKS
 _ONES = np.array([bin(n).count("1") for n in range(1 << _BITS)], np.uint8)
 
@@ -85,15 +85,19 @@ class BlockIndex:
         values = np.arange(1 << _BITS)
         self.near = np.stack([np.packbits(_ONES[values[:, None] ^ block[None, :]] <= radius // BLOCKS, axis=1, bitorder="little") for block in _blocks(prints).T])
 
-    def search(self, prints: np.ndarray, query: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, item, distance) of those pairs of prints and items that lie within the radius."""
-        blocks = _blocks(prints)[query]
-        found = (self.near[np.arange(BLOCKS)[None], blocks, (item >> 3)[:, None]] >> (item & 7)[:, None].astype(np.uint8)) & 1
-        candidate = found.any(axis=1)
-        query, item = query[candidate], item[candidate]
-        distance = _ONES[_blocks(prints[query] ^ self.prints[item])].sum(axis=1).astype(int)
-        close = distance <= self.radius
-        return query[close], item[close], distance[close]
+    def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, distance) of all prints and items that lie within the radius."""
+        out, step = [], max(1, PAIRS // (8 * self.near.shape[2]))
+        for a in range(0, len(prints), step):
+            part = prints[a : a + step]
+            proposed = self.near[0, _blocks(part)[:, 0]]
+            for b in range(1, BLOCKS):
+                proposed |= self.near[b, _blocks(part)[:, b]]
+            query, item = np.nonzero(np.unpackbits(proposed, axis=1, count=len(self.prints), bitorder="little"))
+            distance = np.bitwise_count(part[query] ^ self.prints[item]).astype(int)
+            close = distance <= self.radius
+            out.append((query[close] + a, item[close], distance[close]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -109,103 +113,105 @@ class Items:
     """A block of benchmark items, ready to be searched.
 
     Of each item its words are kept; of all items with as many words the fingerprints' index, and for each size of
-    shingles the (shingle, number of words, item) by which a document is led to items.
+    shingles the hashes of all that items have.
     """
 
-    def __init__(self, rows: list[tuple[int, str | None]], k: int = K, similar: float = SIMILAR):
+    def __init__(self, rows: list[tuple[int, str | None]], k: int = K, similar: float = SIMILAR, everywhere: bool = False):
         words = Words([(text or "").encode() for _, text in rows])
-        self.ids, self.texts, self.similar = [i for i, _ in rows], {}, similar
+        self.ids, self.texts, self.similar, self.everywhere = [i for i, _ in rows], {}, similar, everywhere
         sizes = np.diff(words.offsets)
         hashes = {size: words.shingles(size) for size in {min(k, int(n)) for n in sizes if n}}
         own = {n: hashes[min(k, int(sizes[n]))][a : a + max(1, int(sizes[n]) - k + 1)] for n, a in enumerate(words.offsets[:-1]) if sizes[n]}
-        common = Counter(h for of in own.values() for h in set(of.tolist()))
-        members: dict[int, list[int]] = {}
-        leads: dict[int, list] = {}
-        for n, of in own.items():
-            length = int(sizes[n])
-            self.texts[n] = b" ".join(words.word(i) for i in range(words.offsets[n], words.offsets[n + 1]))
-            place = members.setdefault(length, [])
-            rarest = sorted(of.tolist(), key=lambda h: (common[h], h))[: len(of) - self.least(len(of)) + 1]
-            leads.setdefault(min(k, length), []).extend((h, length, len(place)) for h in set(rarest))
-            place.append(n)
-        self.members = members
-        self.index = {length: BlockIndex(np.concatenate([fingerprints(own[n], len(own[n])) for n in of])) for length, of in members.items()}
-        self.leads = {}
-        for size, found in leads.items():
-            found.sort()
-            self.leads[size] = np.array([h for h, *_ in found], np.uint64), np.array([rest for _, *rest in found], np.int64)
-
-    def least(self, n: int) -> int:
-        """Shingles that a window similar to an item of n shingles has in common with it at least; it may have fewer itself."""
-        return max(1, math.ceil(self.similar * n - 1e-9))
-
-    def hits(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, length, item of that length): where a shingle stands that leads to an item."""
-        known, to = self.leads[size]
+        self.members: dict[int, list[int]] = {}
+        for n in own:
+            self.texts[n] = [words.word(i) for i in range(words.offsets[n], words.offsets[n + 1])]
+            self.members.setdefault(int(sizes[n]), []).append(n)
+        self.index = {length: BlockIndex(np.concatenate([fingerprints(own[n], len(own[n])) for n in of])) for length, of in self.members.items()}
+        self.lengths: dict[int, list[int]] = {}
+        for length in self.members:
+            self.lengths.setdefault(min(k, length), []).append(length)
+        self.known = {size: np.unique(np.concatenate([own[n] for length in of for n in self.members[length]])) for size, of in self.lengths.items()}
+
+    def places(self, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Where a shingle stands that an item has too."""
+        if self.everywhere:
+            return np.arange(len(hashes))
+        known = self.known[size]
         seen = np.zeros(1 << 20, bool)
         seen[(known >> np.uint64(44)).astype(np.int64)] = True
         rough = np.flatnonzero(seen[(hashes >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(known, hashes[rough]), np.searchsorted(known, hashes[rough], side="right")
-        n = hi - lo
-        found = to[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        return np.repeat(rough, n), found[:, 0], found[:, 1]
+        at = np.minimum(np.searchsorted(known, hashes[rough]), len(known) - 1)
+        return rough[known[at] == hashes[rough]]
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int, float]]:
         """(text, item id, first word, word after the last, distance, similarity): the best window for each text and item."""
         words, best = Words(texts), {}
-        for size in self.leads:
+        for size, lengths in self.lengths.items():
             hashes = words.shingles(size)
-            place, length, item = self.hits(hashes, size)
+            place = self.places(hashes, size)
             text = np.searchsorted(words.offsets, place, side="right") - 1
             inside = place + size <= words.offsets[text + 1]
-            place, length, item, text = place[inside], length[inside], item[inside], text[inside]
-            order = np.lexsort((place, item, length, text))
-            place, length, item, text = place[order], length[order], item[order], text[order]
-            edge = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (length[1:] != length[:-1])))
-            for a, b in zip(edge, np.append(edge[1:], len(place)), strict=True) if len(place) else ():
-                self._windows(words, hashes, size, int(text[a]), int(length[a]), place[a:b], item[a:b], best)
+            place, text = place[inside], text[inside]
+            begin, end = words.offsets[text], words.offsets[text + 1]
+            for length in lengths:
+                window = np.minimum(length, end - begin)
+                # the starts of the windows that hold a place, each once: ranges in ascending order
+                low, high = np.maximum(place - (window - size), begin), np.minimum(place, end - window)
+                low = np.maximum(low, np.append(-1, np.maximum.accumulate(high)[:-1]) + 1) if len(high) else low
+                for n in np.unique(window):
+                    some = (window == n) & (high >= low)
+                    self._windows(words, hashes, size, length, int(n), low[some], high[some], best)
         return [(*key, *value) for key, value in sorted(best.items())]
 
-    def _windows(self, words: Words, hashes: np.ndarray, size: int, doc: int, length: int, place: np.ndarray, item: np.ndarray, best: dict) -> None:
-        """Look up a text's windows for the items of one length that these places lead to."""
-        a, b = int(words.offsets[doc]), int(words.offsets[doc + 1])
-        window = min(length, b - a)
-        low = np.maximum(place - a - (window - size), 0)
-        high = np.minimum(place - a, b - a - window)
-        # of each item the starts of the windows that hold a place, each once
-        fresh = np.append(True, item[1:] != item[:-1])
-        before = np.append(-1, high[:-1])
-        low = np.where(fresh, low, np.maximum(low, before + 1))
-        many = np.maximum(high - low + 1, 0)
-        starts = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-        of = np.repeat(item, many)
-        segment = starts // SEGMENT
-        for part in np.unique(segment):
-            at, which = starts[segment == part], of[segment == part]
-            first = int(at.min())
-            prints = fingerprints(hashes[a + first : a + int(at.max()) + window - size + 1], window - size + 1)
-            q, which, distance = self.index[length].search(prints, at - first, which)
-            for s, i, d in zip(q + first, which, distance, strict=True):
-                n, s = self.members[length][i], int(s)
-                parts = [words.word(w) for w in range(a + s, a + s + window)]
-                value = weighted_jaccard(_shingled(parts, size), _shingled(self.texts[n].split(b" "), size))
-                key = (doc, self.ids[n])
+    def _windows(self, words: Words, hashes: np.ndarray, size: int, length: int, window: int, low: np.ndarray, high: np.ndarray, best: dict) -> None:
+        """Look up windows that start from low to high among the items of one length."""
+        count = window - size + 1
+        starts = np.repeat(low, high - low + 1) + _within(high - low + 1)
+        for part in np.array_split(starts, len(starts) // SEGMENT + 1):
+            # runs of places that windows cover are put together; what lies across two runs is no window
+            first = np.append(True, np.diff(part) > count)
+            run = np.flatnonzero(first)
+            reach = np.append(part[run[1:] - 1], part[-1:]) - part[run] + count
+            covered = np.repeat(part[run], reach) + _within(reach)
+            at = (np.cumsum(reach) - reach)[np.cumsum(first) - 1] + part - part[run][np.cumsum(first) - 1]
+            if not len(part):
+                continue
+            q, item, distance = self.index[length].search(fingerprints(hashes[covered], count)[at])
+            for s, i, d in zip(part[q].tolist(), item.tolist(), distance.tolist(), strict=True):
+                n = self.members[length][i]
+                doc = int(np.searchsorted(words.offsets, s, side="right")) - 1
+                value = weighted_jaccard(_shingled([words.word(w) for w in range(s, s + window)], size), _shingled(self.texts[n], size))
+                key, s = (doc, self.ids[n]), s - int(words.offsets[doc])
                 if value >= self.similar and (key not in best or (value, -s) > (best[key][3], -best[key][0])):
-                    best[key] = (s, s + window, int(d), value)
+                    best[key] = (s, s + window, d, value)
+
+
+def _within(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each number."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _blocks_of(items: DataFrame, at_once: int, most: int):
+    """The items' rows in lists of at_once items and most bytes of text at most, but for a single longer item."""
+    block, size = [], 0
+    for row in items.select("item_id", "text").orderBy("item_id").toLocalIterator():
+        n = len((row["text"] or "").encode())
+        if block and (len(block) == at_once or size + n > most):
+            yield block
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
+        size += n
+    if block:
+        yield block
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, items_at_once: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, distance, similarity) of every document that has an item in it."""
-    spark = docs.sparkSession
-    rows = iter(items.select("item_id", "text").orderBy("item_id").toLocalIterator())
     out = None
-    while block := [(r["item_id"], r["text"]) for r in islice(rows, items_at_once)]:
-        if out is not None or len(block) == items_at_once:
-            found = stored(_against(docs, Items(block, similar=similar)), "found")
-        else:  # all items at once
-            found = _against(docs, Items(block, similar=similar))
+    for block in _blocks_of(items, items_at_once, BYTES):
+        found = stored(_against(docs, Items(block, similar=similar)), "found")
         out = found if out is None else out.union(found)
-    return spark.createDataFrame([], FOUND) if out is None else out
+    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
 def _against(docs: DataFrame, items: Items) -> DataFrame:

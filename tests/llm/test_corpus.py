@@ -214,7 +214,7 @@ def test_block_index_finds_all_within_radius():
     queries[:50] = items ^ (np.uint64(1) << r.integers(0, 64, 50).astype(np.uint64))
     distance = np.array([[bin(int(q) ^ int(i)).count("1") for i in items] for q in queries])
     every = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(50), indexing="ij"))
-    got = set(zip(*map(list, decontaminate.BlockIndex(items).search(queries, *every)), strict=True))
+    got = set(zip(*map(list, decontaminate.BlockIndex(items).search(queries)), strict=True))
     assert got == {(q, i, distance[q, i]) for q, i in zip(*np.nonzero(distance <= decontaminate.RADIUS), strict=True)}
 
 
@@ -243,6 +243,27 @@ def test_decontaminate_at_size():
     assert max(index.near.nbytes for index in items.index.values()) <= 8 * 256 * 501
 
 
+def test_hamming_blocks_alone_propose():
+    """Without shingles to skip windows by the same is found; with empty blocks nothing; and the radius loses next to nothing."""
+    rows = [(i, prose(8000 + i, 20 + i % 12)) for i in range(40)] + [(50, "ha " * 20 + prose(55, 9)), (51, "ab cd " * 12)]
+    texts = [f"{prose(i, 300)} {edited(rows[i][1], i % 2, i)} {prose(100 + i, 40)} {rows[i][1]}".encode() for i in range(40)]
+    texts += [f"{prose(1, 30)} {'ha ' * 19 + prose(55, 9)} {prose(2, 30)} {'ab cd ' * 11}".encode(), rows[3][1].encode()[:60]]
+    expected = decontaminate.Items(rows).search(texts)
+    assert decontaminate.Items(rows, everywhere=True).search(texts) == expected
+    assert {(i, i) for i in range(40)} | {(40, 50), (40, 51)} <= {f[:2] for f in expected}
+    emptied = decontaminate.Items(rows)
+    for index in emptied.index.values():
+        index.near[:] = 0
+    assert emptied.search(texts) == []
+
+
+def test_items_come_in_bounded_blocks(spark):
+    items = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(12)] + [(20, None)], "item_id long, text string")
+    blocks = list(decontaminate._blocks_of(items, 5, 150))
+    assert [i for b in blocks for i, _ in b] == [*range(12), 20]
+    assert all(len(b) <= 5 and (len(b) == 1 or sum(len(t or "") for _, t in b) <= 150) for b in blocks)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """Good prose and junk, and their labels; some labels are wrong for no document, some null."""
