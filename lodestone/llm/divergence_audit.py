@@ -1,12 +1,12 @@
 """How far the sources of a language differ: term counts by CountVectorizer, group sums, and chi-square-like distances.
 
-A term is a run of letters (every character beyond ASCII counts as one), A-Z lower-cased. CountVectorizer keeps, for each
-language, the terms in at least LEAST of its documents (minDF) with no limit on their number (vocabSize is the largest
-integer), and turns each document into a sparse vector of exact counts. Terms carry their language, so one fit makes the
-vocabularies of all languages. CountVectorizer holds its vocabulary on the driver and sends it to every task; so that
-neither grows with the corpus, terms are dealt by their hash to shards of about VOCABULARY distinct ones, each with a fit
-of its own: every shard is written once, and a fit reads its own shard alone. Vectors are summed by group as sparse
-cells (language, source, term, count), never as dense arrays.
+A term is a run of letters (every character beyond ASCII counts as one), A-Z lower-cased. For each language
+CountVectorizer keeps the terms in at least LEAST of its documents (minDF) with no limit on their number (vocabSize is
+the largest integer), and turns each document into a sparse vector of exact counts. CountVectorizer holds its vocabulary
+on the driver and sends it to every task; so that neither grows with the corpus, the terms of a language with more than
+VOCABULARY distinct ones are dealt by their hash to shards of about as many, each with a fit of its own: a shard is
+written once, and a fit reads its shard alone. Vectors are summed by group as sparse cells (language, source, term,
+count), never as dense arrays.
 
 With p the smoothed share of a term in parts of a thousand million, the distance of a group from another is the sum of
 f = floor((p - q)^2 / q) over the vocabulary. Pairs are evaluated sparsely: terms that neither group has all give the
@@ -20,6 +20,7 @@ language with one source has no pair rows; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,49 +29,56 @@ from .common import ascii_lower, scratch, stored, table
 
 LEAST = 3
 MOST = 2**31 - 1
-VOCABULARY = 1_000_000  # distinct terms, rare ones too, of one fit
+VOCABULARY = 2_000_000  # distinct terms, rare ones too, of one fit
 RANKS = 200
 SCALE = 1_000_000_000
 APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-VECTORS = "lang string, source string, v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 
-def terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms), a row for each document."""
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(source, terms, of), a row for each document; of names its language."""
     empty = F.lit("")
-    text = ascii_lower(F.coalesce("text", empty))
-    return docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.array_remove(F.split(text, APART), "").alias("terms"))
-
-
-def dealt(docs: DataFrame, vocabulary: int) -> list[DataFrame]:
-    """(lang, source, terms) by shard of the terms, each led by its language and a NUL."""
-    named = terms(docs).withColumn("terms", F.expr(r"transform(terms, t -> concat(lang, '\0', t))"))
-    named = stored(named, "terms")
-    distinct = named.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    shards = -(-distinct // vocabulary)
-    if shards <= 1:
-        return [named]
-    path = scratch(docs.sparkSession, "shards")
-    each = named.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    each.withColumn("terms", F.expr(f"filter(terms, t -> pmod(xxhash64(t), {shards}) = shard)")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
-    every = docs.sparkSession.read.schema("lang string, source string, terms array<string>, shard int").parquet(path)
-    return [every.where(F.col("shard") == n).drop("shard") for n in range(shards)]
+    text, lang = ascii_lower(F.coalesce("text", empty)), F.coalesce("lang", empty)
+    return docs.select(F.coalesce("source", empty).alias("source"), F.array_remove(F.split(text, APART), "").alias("terms"), F.concat(F.lit("l"), F.hex(lang)).alias("of"))
+
+
+def dealt(docs: DataFrame, vocabulary: int):
+    """(lang, (source, terms)) for each language, and for each shard of the terms of one that has many.
+
+    Documents are written by language, so that a fit reads those of its own only; of the corpus the driver gets a row
+    for each language.
+    """
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "terms")
+    tokenised(docs).write.partitionBy("of").option("compression", "zstd").parquet(path)
+    every = spark.read.schema("source string, terms array<string>, of string").parquet(path)
+    distinct = every.select("of", F.explode("terms").alias("t")).groupBy("of").agg(F.approx_count_distinct("t").alias("n")).orderBy("of").collect()
+    for of, n in distinct:
+        lang, mine = bytes.fromhex(of[1:]).decode(), every.where(F.col("of") == of).drop("of")
+        shards = -(-n // vocabulary)
+        if shards == 1:
+            yield lang, mine
+            continue
+        path = scratch(spark, "shards")
+        each = mine.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        each.withColumn("terms", F.expr(f"filter(terms, t -> pmod(xxhash64(t), {shards}) = shard)")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+        parts = spark.read.schema("source string, terms array<string>, shard int").parquet(path)
+        for shard in range(shards):
+            yield lang, parts.where(F.col("shard") == shard).drop("shard")
 
 
 def cells(docs: DataFrame, least: int = LEAST, vocabulary: int = VOCABULARY) -> DataFrame:
     """(lang, source, term, c): how often a group has a term of its language's vocabulary, where it has it at all."""
     spark, out = docs.sparkSession, None
-    for shard in dealt(docs, vocabulary):
-        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least), vocabSize=MOST).fit(shard.where(F.size("terms") > 0))
+    for lang, shard in dealt(docs, vocabulary):
+        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least), vocabSize=MOST).fit(shard)
         words = model.vocabulary
         if not words:
             continue
-        path = scratch(spark, "vectors")
-        model.transform(shard).select("lang", "source", "v").write.option("compression", "zstd").parquet(path)
-        counts = spark.read.schema(VECTORS).parquet(path).select("lang", "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
-        sums = counts.groupBy("lang", "source", F.col("x.indices").alias("i")).agg(F.sum(F.col("x.values").cast("long")).alias("c"))
-        names = spark.createDataFrame(list(enumerate(words)), "i int, name string")
-        part = stored(sums.join(names, "i").select("lang", "source", F.substring_index("name", "\0", -1).alias("term"), "c"), "cells")
+        vectors = model.transform(shard).select("source", F.unwrap_udt("v").alias("v"))
+        counts = vectors.select("source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
+        sums = counts.groupBy("source", F.col("x.indices").alias("i")).agg(F.sum(F.col("x.values").cast("long")).alias("c"))
+        names = spark.createDataFrame(pa.table({"i": pa.array(range(len(words)), pa.int32()), "term": pa.array(words, pa.string())}))
+        part = stored(sums.join(names, "i").select(F.lit(lang).alias("lang"), "source", "term", "c"), "cells")
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], "lang string, source string, term string, c long") if out is None else out
 
