@@ -35,6 +35,7 @@ from .components import Copies, components
 from .hashing import Words, mixed, pieces
 
 K = 5
+SHINGLE = 2  # words, in the query and the pipeline
 SIMILAR = 80  # per cent
 ROWS, BANDS = 5, 40
 BUCKETS = ROWS * BANDS
@@ -297,10 +298,10 @@ def near_duplicates(docs: DataFrame, k: int = K, similar: int = SIMILAR) -> Data
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=SHINGLE)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near duplicates stays."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs.select("doc_id", "text"), k=SHINGLE).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

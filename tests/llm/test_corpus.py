@@ -348,7 +348,7 @@ def brute_pipeline(rows, good, items):
             holders.setdefault(key(line), set()).add(i)
     gone = lambda i, line: len(key(line)) >= 20 and len(holders[key(line)]) >= 3 and i != max(holders[key(line)])
     rows = [(i, "\n".join(line for line in text.split("\n") if not gone(i, line)), source) for i, text, _, source, _ in rows]
-    first = {i for i, _, _, kept in brute_components([r[:2] for r in rows], 5) if kept}
+    first = {i for i, _, _, kept in brute_components([r[:2] for r in rows], 2) if kept}
     shingled = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     leaks = lambda w, iw: any(decontaminate.weighted_jaccard(shingled(w[s : s + len(iw)], 5), shingled(iw, 5)) >= 0.8 for s in range(max(1, len(w) - len(iw) + 1)))
     rows = [r for r in rows if r[0] in first and not any(leaks(word_list(r[1]), word_list(t)) for t in items)]
