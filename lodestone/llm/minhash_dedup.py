@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,17 +145,35 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInPandas(of, SKETCH)
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, packed): the compressed texts of the documents that nodes (node) names; a null text is an empty one."""
+
+    def pack(batches):
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "packed": [compress(t) for t in batch["text"]]})
+
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return texts.mapInPandas(pack, "doc_id long, packed binary").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+
+
+def unpacked_pieces(batches):
+    """Lists of (doc_id, text) of some MB together, from batches of texts_of."""
+    for batch in batches:
+        expand = zstandard.ZstdDecompressor().decompress
+        rows = ((i, expand(t)) for i, t in zip(batch["doc_id"], batch["packed"], strict=True))
+        yield from pieces(rows, lambda r: len(r[1]))
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The full shingle sets of the documents that nodes names."""
 
     def of(batches):
-        for batch in batches:
-            for part in pieces(list(zip(batch["doc_id"], batch["text"], strict=True)), lambda r: len(r[1])):
-                sets = shingle_sets([t for _, t in part], k)
-                yield pd.DataFrame({"node": [i for i, _ in part], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+        for part in unpacked_pieces(batches):
+            sets = shingle_sets([t for _, t in part], k)
+            yield pd.DataFrame({"node": [i for i, _ in part], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    return named.mapInPandas(of, SET)
+    return texts_of(docs, nodes).mapInPandas(of, SET)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -40,13 +40,14 @@ from pyspark.sql import types as T
 from .common import shuffles, stored, table
 from .components import Copies
 from .hashing import mixed, pieces
-from .minhash_dedup import Linker, shingle_sets
+from .minhash_dedup import Linker, shingle_sets, texts_of, unpacked_pieces
 
 K = 5
 SIMILAR = 80  # per cent
-WIDTH = 32  # words of 64 bits of the narrow sketch
+WIDTH = 16  # words of 64 bits of the narrow sketch
 GROWTH = 1.4  # of the sizes of a band
 SEEDS = 6
+KEY = np.uint64(0xFFFFFFFFFFFF0000)  # the bits of a key that are kept: chance agreement makes a candidate at worst
 HELD = 1 << 21  # keys that a task sorts together
 PART = 1 << 20  # keys of one slice of the key range, about
 SPLIT = 512  # members of a key that a task compares others with
@@ -100,7 +101,7 @@ def block_keys(sets: list[np.ndarray], similar: int = SIMILAR) -> tuple[np.ndarr
             used |= np.repeat(~sure, blocks)
         of = np.repeat(np.arange(len(entry)), blocks)[used]
         name = (band[of] * SEEDS + seed << 32) + np.flatnonzero(used) - base[of]
-        keys.append(mixed(value[used] ^ mixed(name.astype(np.uint64))))
+        keys.append(mixed(value[used] ^ mixed(name.astype(np.uint64))) & KEY)
         owners.append(entry[of])
         entry, band, allowed = entry[~sure], band[~sure], allowed[~sure]
     return np.concatenate(keys), np.concatenate(owners)
@@ -115,10 +116,6 @@ def parity_bits(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8).reshape(len(sets), wide), axis=1).view(np.int64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
-
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, f1, f2, bits...): size, two hashes of the whole set and the narrow sketch."""
 
@@ -131,7 +128,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 frame = {"doc_id": pd.array([i for i, _ in part], dtype="Int64"), "n": [len(s) for s in sets], "f1": sums[:, 0], "f2": sums[:, 1]}
                 yield pd.DataFrame(frame | {b: bits[:, n] for n, b in enumerate(BITS)})
 
-    return _texts(docs).mapInPandas(of, SKETCH)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInPandas(of, SKETCH)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -174,16 +171,15 @@ def shared_keys(docs: DataFrame, nodes: DataFrame, k: int, similar: int) -> Data
             for a in range(0, len(rows), 64):
                 yield pd.DataFrame(rows[a : a + 64], columns=PACKED.names)
 
-        for batch in batches:
-            for part in pieces(list(zip(batch["doc_id"], batch["text"], strict=True)), lambda r: len(r[1])):
-                found, of = block_keys(shingle_sets([t for _, t in part], k), similar)
-                if len(found):
-                    keys.append(found)
-                    owners.append(np.array([i for i, _ in part], np.int64)[of])
-                    count += len(found)
-                if count >= held:
-                    yield from flush()
-                    keys, owners, count = [], [], 0
+        for part in unpacked_pieces(batches):
+            found, of = block_keys(shingle_sets([t for _, t in part], k), similar)
+            if len(found):
+                keys.append(found)
+                owners.append(np.array([i for i, _ in part], np.int64)[of])
+                count += len(found)
+            if count >= held:
+                yield from flush()
+                keys, owners, count = [], [], 0
         if count:
             yield from flush()
 
@@ -197,8 +193,7 @@ def shared_keys(docs: DataFrame, nodes: DataFrame, k: int, similar: int) -> Data
             keys, nodes = keys[several], nodes[several]
         return pd.DataFrame({"key": keys.view(np.int64), "node": nodes.view(np.int64)})
 
-    named = _texts(docs).join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return named.mapInPandas(keyed, PACKED).groupBy("part", "salt").applyInPandas(met, _longs("key", "node"))
+    return texts_of(docs, nodes).mapInPandas(keyed, PACKED).groupBy("part", "salt").applyInPandas(met, _longs("key", "node"))
 
 
 def _apart(a, b):
