@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 
 
-LONGEST = 1000  # distinct items of a list
+BLOCK = 256  # items of a list that one task pairs with as many others
 
 
-def co_occurrence(rows: DataFrame, group: str, item: str, longest: int = LONGEST) -> DataFrame:
+def co_occurrence(rows: DataFrame, group: str, item: str, block: int = BLOCK) -> DataFrame:
     """(a, b, weight), a < b: items of one list; a list of n distinct items adds 1 / n to each of its pairs.
 
-    Every pair of a list is an edge, so lists must be short, as the results of one request are: one of more than longest
-    items fails the query rather than being cut.
+    Every pair of a list is an edge, so its rows grow with the square of a list's length. A list of any length is paired
+    whole: its items are dealt by hash to blocks, and each two of its blocks meet in a group of their own.
     """
     once = rows.select(group, item).distinct()
     size = once.groupBy(group).agg(F.count("*").alias("n"))
-    too_long = F.raise_error(F.concat(F.lit(f"a list of more than {longest} items: "), F.col(group).cast("string")))
-    size = size.where(F.when(F.col("n") <= longest, F.lit(True)).otherwise(too_long.cast("boolean")))
-    sized = once.join(size, group)
-    left, right = sized.select(group, "n", F.col(item).alias("a")), once.select(group, F.col(item).alias("b"))
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.sum(1.0 / F.col("n")).alias("weight"))
+    sized = once.join(size, group).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64(item), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = sized.select(group, "n", F.col("own").alias("i"), F.col("other").alias("j"), F.col(item).alias("a"))
+    right = sized.select(group, F.col("other").alias("i"), F.col("own").alias("j"), F.col(item).alias("b"))
+    return left.join(right, [group, "i", "j"]).where("a < b").groupBy("a", "b").agg(F.sum(1.0 / F.col("n")).alias("weight"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from ..sources.scratch import stored
 
 
 def terms(records: DataFrame, id_col: str, text_col: Column, stemmed: bool = True) -> DataFrame:
@@ -22,11 +23,24 @@ def terms(records: DataFrame, id_col: str, text_col: Column, stemmed: bool = Tru
     return bases.select(id_col, text.without_suffix(F.col("base"), F.col("suffix")).alias("term"))
 
 
+def term_counts(records: DataFrame, id_col: str, text_col: Column) -> DataFrame:
+    """(id, term, n): how often a record has a stemmed term.
+
+    Words are counted by record first and every distinct word is stemmed once; the vocabulary is broadcast or shuffled as
+    Spark's threshold says.
+    """
+    rows = records.select(F.col(id_col), F.explode(text.words(text_col)).alias("word")).where(text.is_term(F.col("word")))
+    counted = stored(rows.groupBy(id_col, "word").agg(F.count("*").alias("n")), "words")
+    bases = counted.select("word").distinct().withColumn("base", text.lemma(F.col("word"))).withColumn("suffix", text.suffix_of(F.col("base")))
+    stems = stored(bases.select("word", text.without_suffix(F.col("base"), F.col("suffix")).alias("term")), "stems")
+    return counted.join(stems, "word").groupBy(id_col, "term").agg(F.sum("n").alias("n"))
+
+
 def postings(fields: list[tuple[DataFrame, float]], id_col: str) -> DataFrame:
-    """(id, term, tf): weighted term frequency over fields given as (term rows, weight)."""
+    """(id, term, tf): weighted term frequency over fields given as (term rows, weight); a row stands for n occurrences, if it has n."""
     rows = None
     for part, weight in fields:
-        part = part.withColumn("w", F.lit(float(weight)))
+        part = part.select(id_col, "term", (weight * F.col("n") if "n" in part.columns else F.lit(float(weight))).cast("double").alias("w"))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy(id_col, "term").agg(F.sum("w").alias("tf"))
 

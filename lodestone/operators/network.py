@@ -6,6 +6,8 @@ so a hub costs each seed one row. Hops, and where given the records a seed may r
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,35 +36,38 @@ def expanded(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0
 
 
 def paths_to_roots(edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
-    """(start, path): all simple paths from each start to a node without outgoing edges, or of depth edges."""
+    """(start, path, cut): all simple paths from each start to a node without outgoing edges, or of depth edges.
+
+    cut tells that a path had depth edges and may lead on.
+    """
     out = edges.select(F.col("src").alias("end"), F.col("dst").alias("next")).distinct()
     open_ = starts.select("start", F.array("start").alias("path"), F.col("start").alias("end"))
     done = []
     for _ in range(depth):
         grown = open_.join(out, "end", "left").where(F.col("next").isNull() | ~F.array_contains("path", F.col("next")))
         grown = stored(grown, "paths")
-        done.append(grown.where("next IS NULL").select("start", "path"))
+        done.append(grown.where("next IS NULL").select("start", "path", F.lit(False).alias("cut")))
         open_ = grown.where("next IS NOT NULL").select("start", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"))
         if open_.isEmpty():
             break
     else:
-        done.append(open_.select("start", "path"))
+        done.append(open_.select("start", "path", F.lit(True).alias("cut")))
     paths = done[0]
     for more in done[1:]:
         paths = paths.union(more)
     return paths
 
 
-def levels(edges: DataFrame, most: int = 50) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, level): a node's level is one above the highest level of what points to it; nothing points to level 0.
 
-    A node in a cycle, or behind one, has no level: rounds end when no node rises, or after most of them.
+    A node in a cycle, or behind one, has no level: rounds go on, one for each level, until no node is placed.
     """
     edges = edges.select("src", "dst").distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     placed = stored(nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)), "level0")
     wanted = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    for level in range(1, most):
+    for level in count(1):
         ready = edges.join(placed.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
         ready = ready.join(wanted, ["node", "n"]).select("node").join(placed, "node", "left_anti")
         fresh = stored(ready.withColumn("level", F.lit(level)), "level")
@@ -72,13 +77,16 @@ def levels(edges: DataFrame, most: int = 50) -> DataFrame:
     return placed.select("node", F.col("level").cast("long").alias("level"))
 
 
-def closes_cycle(edges: DataFrame, candidates: DataFrame, hops: int = 10) -> DataFrame:
-    """(src, dst, cyclic) for each candidate edge: whether its end leads back to its start within hops."""
+def closes_cycle(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(src, dst, cyclic) for each candidate edge: whether its end leads back to its start, however long the way is.
+
+    Rounds go on until no candidate reaches a new node, so as many as the longest of the shortest ways has edges.
+    """
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("near")).distinct()
     asked = candidates.select("src", "dst").distinct()
     at = asked.select("src", "dst", F.col("dst").alias("node"))
     seen = at
-    for _ in range(hops):
+    while True:
         step = at.join(out, "node").select("src", "dst", F.col("near").alias("node")).distinct()
         at = stored(step.join(seen, ["src", "dst", "node"], "left_anti"), "reach")
         if at.isEmpty():

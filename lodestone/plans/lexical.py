@@ -30,7 +30,7 @@ _RANKED = f"SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITI
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(lexical.postings([(lexical.terms(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), 1.0)], "doc_id"), "postings")
+    return stored(lexical.postings([(lexical.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), 1.0)], "doc_id"), "postings")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:

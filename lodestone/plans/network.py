@@ -84,12 +84,12 @@ def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(leaves(spark, sf_dir)).where("n = 1").select("tree", F.col("level").alias("height"), F.col("hash").alias("root"))
 
 
-@plans.query(f"WITH RECURSIVE {_TREE} SELECT l.event_id, v.level AS steps, v.hash AS root, true AS proven FROM l JOIN v ON l.tree = v.tree AND v.n = 1 WHERE l.event_id % 50 = 0 AND v.level > 0")
+@plans.query(f"WITH RECURSIVE {_TREE} SELECT l.event_id, v.level AS steps, v.hash AS root, true AS proven FROM l JOIN v ON l.tree = v.tree AND v.n = 1 WHERE l.event_id % 20 = 0 AND v.level > 0")
 def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every fiftieth event the length of its proof, the root it leads to, and whether that is the tree's."""
     rows = stored(leaves(spark, sf_dir), "merkle-leaves")
     every = stored(_levels(rows), "merkle-levels")
-    asked = rows.where("event_id % 50 = 0")
+    asked = rows.where("event_id % 20 = 0")
     found = ledger.proofs(every, asked.select("tree", "pos", "hash"), "tree").withColumn("proof", ledger.proven_root(F.col("hash"), F.col("siblings")))
     roots = every.where("n = 1").select("tree", F.col("hash").alias("root"))
     both = found.join(roots, "tree").join(asked.select("tree", "pos", "event_id"), ["tree", "pos"])
@@ -143,27 +143,27 @@ def incoming_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query(f"""
 WITH RECURSIVE {_EDGES}, b AS (SELECT src AS node, dst AS near FROM edges UNION SELECT dst, src FROM edges),
-w AS (SELECT 'c' || c_custkey AS seed, 'c' || c_custkey AS node, 0 AS hop FROM customer WHERE c_custkey % 100 = 0
+w AS (SELECT 'c' || c_custkey AS seed, 'c' || c_custkey AS node, 0 AS hop FROM customer WHERE c_custkey % 20 = 0
       UNION SELECT w.seed, b.near, w.hop + 1 FROM w JOIN b ON w.node = b.node WHERE w.hop < 3),
 m AS (SELECT seed, node, min(hop) AS hop FROM w GROUP BY seed, node)
 SELECT seed, node, CAST(hop AS BIGINT) AS hop, round(pow(0.5, hop), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, node) AS r FROM m WHERE hop > 0) WHERE r <= 50
 """)
 def expanded_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every hundredth customer reaches in three hops, at most fifty records each, halved at each hop."""
-    seeds = table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("seed"))
+    seeds = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("seed"))
     both = stored(network.both_ways(edges(spark, sf_dir)), "both-ways")
     return network.expanded(both, seeds, 3).withColumn("score", F.round("score", 6))
 
 
 @plans.query(f"""
 WITH RECURSIVE {_EDGES}, d AS (SELECT DISTINCT src, dst FROM edges),
-w AS (SELECT 'o' || o_orderkey AS start, ['o' || o_orderkey] AS path, 'o' || o_orderkey AS last FROM orders WHERE o_orderkey % 50 = 0
+w AS (SELECT 'o' || o_orderkey AS start, ['o' || o_orderkey] AS path, 'o' || o_orderkey AS last FROM orders WHERE o_orderkey % 20 = 0
       UNION ALL SELECT w.start, list_append(w.path, d.dst), d.dst FROM w JOIN d ON d.src = w.last WHERE NOT list_contains(w.path, d.dst))
 SELECT start, count(*) AS n, min(array_to_string(path, '>')) AS first_path, max(array_to_string(path, '>')) AS last_path FROM w WHERE last NOT IN (SELECT src FROM d) GROUP BY start
 """)
 def causal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All paths from every fiftieth order to what depends on nothing."""
-    starts = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("start"))
+    """All paths from every twentieth order to what depends on nothing."""
+    starts = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("start"))
     paths = network.paths_to_roots(edges(spark, sf_dir), starts).withColumn("path", F.array_join("path", ">"))
     return paths.groupBy("start").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
 
@@ -181,13 +181,13 @@ def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.query(f"""
 WITH RECURSIVE {_EDGES}, d AS (SELECT DISTINCT src, dst FROM edges),
-k AS (SELECT DISTINCT 'r' || (c_custkey % 5) AS src, 'c' || c_custkey AS dst FROM customer WHERE c_custkey % 40 = 0),
+k AS (SELECT DISTINCT 'r' || (c_custkey % 5) AS src, 'c' || c_custkey AS dst FROM customer WHERE c_custkey % 20 = 0),
 w AS (SELECT src, dst, dst AS node FROM k UNION SELECT w.src, w.dst, d.dst FROM w JOIN d ON d.src = w.node)
 SELECT src, dst, bool_or(node = src) AS cyclic FROM w GROUP BY src, dst
 """)
 def cycle_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an edge from a region to a customer would close a cycle."""
-    candidates = table(spark, sf_dir, "customer").where("c_custkey % 40 = 0").select(F.concat(F.lit("r"), F.col("c_custkey") % 5).alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    candidates = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("r"), F.col("c_custkey") % 5).alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
     return network.closes_cycle(stored(edges(spark, sf_dir).select("src", "dst"), "edges"), candidates)
 
 

@@ -22,7 +22,7 @@ _PART_TERMS = " UNION ALL ".join(f"SELECT p_partkey, term, {D(w)} AS w FROM ({sq
 
 
 @plans.query(f"""
-WITH t AS (SELECT p_partkey, term, sum(w) AS tf FROM ({_PART_TERMS}) GROUP BY ALL), q AS (SELECT p_partkey AS qid, term, count(*) AS times FROM ({sql.terms("(SELECT * FROM part WHERE p_partkey % 100 = 0)", "p_partkey", "p_name")}) GROUP BY ALL),
+WITH t AS (SELECT p_partkey, term, sum(w) AS tf FROM ({_PART_TERMS}) GROUP BY ALL), q AS (SELECT p_partkey AS qid, term, count(*) AS times FROM ({sql.terms("(SELECT * FROM part WHERE p_partkey % 20 = 0)", "p_partkey", "p_name")}) GROUP BY ALL),
 l AS (SELECT p_partkey, sum(tf) AS length FROM t GROUP BY p_partkey), n AS (SELECT {D("count(*)")} AS n FROM part), m AS (SELECT (SELECT sum(length) FROM l) / n AS mean_length, n FROM n),
 r AS (SELECT term, ln((n - df + {D(0.5)}) / (df + {D(0.5)}) + {D(1)}) AS rarity, mean_length FROM (SELECT term, {D("count(*)")} AS df FROM t GROUP BY term), m),
 s AS (SELECT qid, p_partkey, round(sum(times * rarity * tf * {D(2.2)} / (tf + {D(1.2)} * ({D(0.25)} + {D(0.75)} * length / mean_length))), 6) AS score FROM t JOIN r USING (term) JOIN l USING (p_partkey) JOIN q USING (term) GROUP BY qid, p_partkey)
@@ -32,7 +32,7 @@ def field_weighted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten parts that each hundredth part's name speaks for, over name, type and brand at their weights."""
     part = table(spark, sf_dir, "part")
     posts = stored(lexical.postings([(lexical.terms(part, "p_partkey", F.col(c)), w) for c, w in _FIELDS], "p_partkey"), "part-postings")
-    asked = lexical.terms(part.where("p_partkey % 100 = 0"), "p_partkey", F.col("p_name")).select(F.col("p_partkey").alias("qid"), "term")
+    asked = lexical.terms(part.where("p_partkey % 20 = 0"), "p_partkey", F.col("p_name")).select(F.col("p_partkey").alias("qid"), "term")
     scores = lexical.bm25_scores(posts, part.agg(F.count("*").cast("double").alias("n")), asked, "p_partkey")
     return lexical.top_k(scores.withColumn("score", F.round("score", 6)), "qid", "p_partkey", 10).select("qid", "p_partkey", "score", "rank")
 
@@ -84,7 +84,7 @@ def rm3_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.rescored(ranked, posts, query, n, "doc_id", 0.4).select("qid", "doc_id", F.round("score", 4).alias("score"))
 
 
-_SEEDS = "SELECT 'c' || c_custkey AS node, {0} AS score FROM customer WHERE c_custkey % 50 = 0".format(D("0.5 + (c_custkey % 10) / 20.0"))
+_SEEDS = "SELECT 'c' || c_custkey AS node, {0} AS score FROM customer WHERE c_custkey % 20 = 0".format(D("0.5 + (c_custkey % 10) / 20.0"))
 
 
 def _walk_sql(hops: int, factor: str, least: str) -> str:
@@ -107,7 +107,7 @@ def _weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walk_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"), (0.5 + (F.col("c_custkey") % 10) / 20.0).alias("score"))
+    return table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"), (0.5 + (F.col("c_custkey") % 10) / 20.0).alias("score"))
 
 
 @plans.query(f"WITH {_WEIGHTED}, {_walk_sql(3, D(0.3) + ' * least(b.w, 1)', '0.1')} SELECT node, round(score, 6) AS score FROM s3")

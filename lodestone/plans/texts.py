@@ -46,26 +46,46 @@ def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.lit(same).alias("whole"))
 
 
-_ASKED = """
-a AS (SELECT o_orderkey, o_orderdate AS ref, CASE o_orderkey % 9 WHEN 0 THEN 'what changed yesterday' WHEN 1 THEN 'orders of the last ' || (o_orderkey % 30 + 1) || ' days' WHEN 2 THEN 'seen ' || (o_orderkey % 20 + 1) || ' weeks ago' WHEN 3 THEN 'last month'
-  WHEN 4 THEN 'this week' WHEN 5 THEN 'before ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 6 THEN 'after ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 7 THEN 'in ' || strftime(o_orderdate, '%Y') ELSE 'whenever' END AS q FROM orders)
-"""
+#: Questions by number, and the days they mean as SQL over ref, the day of the question, and o, the order.
+_TIMES = (
+    ("'what changed yesterday'", "ref - 1", "ref - 1"),
+    ("'orders of the last ' || (o % 30 + 1) || ' days'", "ref - CAST(o % 30 + 1 AS INTEGER)", "ref"),
+    ("'seen ' || (o % 20 + 1) || ' weeks ago'", "ref - CAST(7 * (o % 20 + 1) + 3 AS INTEGER)", "ref - CAST(7 * (o % 20 + 1) - 3 AS INTEGER)"),
+    ("'last month'", "CAST(date_trunc('month', ref) - INTERVAL 1 MONTH AS DATE)", "CAST(date_trunc('month', ref) AS DATE) - 1"),
+    ("'this week'", "CAST(date_trunc('week', ref) AS DATE)", "ref"),
+    ("'before ' || d", "NULL", "ref"),
+    ("'after ' || d", "ref", "NULL"),
+    ("'in ' || y", "CAST(date_trunc('year', ref) AS DATE)", "CAST(date_trunc('year', ref) + INTERVAL 1 YEAR AS DATE) - 1"),
+    ("'whenever'", "NULL", "NULL"),
+    ("'due today'", "ref", "ref"),
+    ("(o % 9) || ' days ago'", "ref - CAST(o % 9 AS INTEGER)", "ref - CAST(o % 9 AS INTEGER)"),
+    ("(o % 5 + 1) || ' months ago'", "CAST(date_trunc('month', ref - CAST(30 * (o % 5 + 1) AS INTEGER)) AS DATE)", "last_day(ref - CAST(30 * (o % 5 + 1) AS INTEGER))"),
+    ("'Last  Week'", "CAST(date_trunc('week', ref) AS DATE) - 7", "CAST(date_trunc('week', ref) AS DATE) - 1"),
+    ("'this month'", "CAST(date_trunc('month', ref) AS DATE)", "ref"),
+    ("'last year'", "CAST(date_trunc('year', ref) - INTERVAL 1 YEAR AS DATE)", "CAST(date_trunc('year', ref) AS DATE) - 1"),
+    ("'this year'", "CAST(date_trunc('year', ref) AS DATE)", "ref"),
+    ("'before March ' || (o % 28 + 1) || ', ' || y", "NULL", "make_date(year(ref), 3, CAST(o % 28 + 1 AS BIGINT))"),
+    ("'after june ' || (o % 28 + 1) || ' ' || y", "make_date(year(ref), 6, CAST(o % 28 + 1 AS BIGINT))", "NULL"),
+    ("'after february 30, ' || y || ' in may ' || y", "make_date(year(ref), 5, 1)", "make_date(year(ref), 5, 31)"),
+    ("'sold in february'", "make_date(year(ref), 2, 1)", "last_day(make_date(year(ref), 2, 1))"),
+    ("'sold in december ' || y", "make_date(year(ref), 12, 1)", "make_date(year(ref), 12, 31)"),
+    ("'in 3000'", "NULL", "NULL"),
+)
+
+
+def _nth(column: int) -> str:
+    return "CASE o % 22 " + " ".join(f"WHEN {n} THEN {rule[column]}" for n, rule in enumerate(_TIMES)) + " END"
 
 
 @plans.query(f"""
-WITH {_ASKED}, r AS (SELECT o_orderkey, o_orderkey % 9 AS k, CAST(ref AS DATE) AS ref FROM a)
-SELECT o_orderkey, CAST(CASE k WHEN 0 THEN ref - 1 WHEN 1 THEN ref - CAST(o_orderkey % 30 + 1 AS INTEGER) WHEN 2 THEN ref - CAST(7 * (o_orderkey % 20 + 1) + 3 AS INTEGER) WHEN 3 THEN CAST(date_trunc('month', ref) - INTERVAL 1 MONTH AS DATE) WHEN 4 THEN CAST(date_trunc('week', ref) AS DATE)
-    WHEN 6 THEN ref WHEN 7 THEN CAST(date_trunc('year', ref) AS DATE) END AS VARCHAR) AS first_day,
-  CAST(CASE k WHEN 0 THEN ref - 1 WHEN 1 THEN ref WHEN 2 THEN ref - CAST(7 * (o_orderkey % 20 + 1) - 3 AS INTEGER) WHEN 3 THEN CAST(date_trunc('month', ref) AS DATE) - 1 WHEN 4 THEN ref WHEN 5 THEN ref WHEN 7 THEN CAST(date_trunc('year', ref) + INTERVAL 1 YEAR AS DATE) - 1 END AS VARCHAR) AS last_day FROM r
+SELECT o AS o_orderkey, CAST({_nth(1)} AS VARCHAR) AS first_day, CAST({_nth(2)} AS VARCHAR) AS last_day FROM (SELECT o_orderkey AS o, CAST(o_orderdate AS DATE) AS ref FROM orders)
 """)
 def time_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days that questions speak of, each asked on its order's date."""
-    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
-    ask = [F.lit("what changed yesterday"), F.concat(F.lit("orders of the last "), k % 30 + 1, F.lit(" days")), F.concat(F.lit("seen "), k % 20 + 1, F.lit(" weeks ago")), F.lit("last month"), F.lit("this week")]
-    ask += [F.concat(F.lit("before "), day), F.concat(F.lit("after "), day), F.concat(F.lit("in "), F.date_format("o_orderdate", "yyyy")), F.lit("whenever")]
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("ref"), F.get(F.array(*ask), (k % 9).cast("int")).alias("q"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.to_date("o_orderdate").alias("ref"))
+    rows = rows.withColumn("d", F.date_format("ref", "yyyy-MM-dd")).withColumn("y", F.date_format("ref", "yyyy")).withColumn("q", F.expr(_nth(0)))
     first, last = understanding.time_reference(F.col("q"), F.col("ref"))
-    return rows.select("o_orderkey", first.cast("string").alias("first_day"), last.cast("string").alias("last_day"))
+    return rows.select(F.col("o").alias("o_orderkey"), first.cast("string").alias("first_day"), last.cast("string").alias("last_day"))
 
 
 @plans.query("""
@@ -191,14 +211,14 @@ def capped_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.query("""
-SELECT event_type, (r - 1) // 64 AS batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) + 64000 * date_diff('day', TIMESTAMP '2024-01-01', CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS r FROM events) GROUP BY 1, 2
+SELECT event_type, CAST(day AS VARCHAR) AS day, (r - 1) // 64 AS batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_type, event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY event_id) AS r FROM events) GROUP BY ALL
 """)
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events drained in batches of sixty-four at most, by kind and day, in order."""
     day = F.to_date("ts")
-    order = F.row_number().over(Window.partitionBy("event_type", day).orderBy("event_id")) + 64000 * F.datediff(day, F.lit("2024-01-01").cast("date"))
-    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.floor((order - 1) / 64).alias("batch"))
-    return rows.groupBy("event_type", "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    order = F.row_number().over(Window.partitionBy("event_type", "day").orderBy("event_id"))
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", day.alias("day")).withColumn("batch", F.floor((order - 1) / 64))
+    return rows.groupBy("event_type", F.col("day").cast("string").alias("day"), "batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 @plans.query("""
