@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import bucketed, shuffles, stored, table
 from .components import Copies, components
 from .hashing import Words, mixed, pieces
 
@@ -195,7 +195,8 @@ class Linker:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, similar: int, sketch: str = "registers"):
         self.similar, self.nodes = similar, nodes.select("node", "n", sketch)
-        self.sets = stored(full_sets(docs, members.select("node").distinct(), k), "sets")
+        # in buckets, so that rounds of pairs come to the sets and the sets stay where they are
+        self.sets = bucketed(full_sets(docs, members.select("node").distinct(), k), "sets", shuffles(docs.sparkSession), ["node"], compression="none")
         self.labels: DataFrame | None = None
 
     def _joined(self, pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
