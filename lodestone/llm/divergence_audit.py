@@ -29,7 +29,8 @@ from .common import ascii_lower, scratch, stored, table
 
 LEAST = 3
 MOST = 2**31 - 1
-VOCABULARY = 2_000_000  # distinct terms, rare ones too, of one fit
+VOCABULARY = 4_000_000  # distinct terms, rare ones too, of one fit at most, as estimated
+PART = 16
 RANKS = 200
 SCALE = 1_000_000_000
 APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,10 +52,12 @@ def dealt(docs: DataFrame, vocabulary: int):
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "terms")
     tokenised(docs).write.partitionBy("of").option("compression", "zstd").parquet(path)
     every = spark.read.schema("source string, terms array<string>, of string").parquet(path)
-    distinct = every.select("of", F.explode("terms").alias("t")).groupBy("of").agg(F.approx_count_distinct("t").alias("n")).orderBy("of").collect()
-    for of, n in distinct:
+    # a language has at most PART times the distinct terms of one of PART parts of its documents; results do not depend on it
+    part = every.sample(1 / PART, seed=1).select("of", F.explode("terms").alias("t")).groupBy("of").agg(F.approx_count_distinct("t").alias("n"))
+    langs = every.select("of").distinct().join(part, "of", "left").orderBy("of").collect()
+    for of, n in langs:
         lang, mine = bytes.fromhex(of[1:]).decode(), every.where(F.col("of") == of).drop("of")
-        shards = -(-n // vocabulary)
+        shards = max(1, -(-PART * (n or 0) // vocabulary))
         if shards == 1:
             yield lang, mine
             continue
@@ -75,8 +78,8 @@ def cells(docs: DataFrame, least: int = LEAST, vocabulary: int = VOCABULARY) ->
         if not words:
             continue
         vectors = model.transform(shard).select("source", F.unwrap_udt("v").alias("v"))
-        counts = vectors.select("source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("x"))
-        sums = counts.groupBy("source", F.col("x.indices").alias("i")).agg(F.sum(F.col("x.values").cast("long")).alias("c"))
+        counts = vectors.select("source", "v.values", F.posexplode("v.indices").alias("at", "i")).select("source", "i", F.get("values", "at").cast("long").alias("n"))
+        sums = counts.groupBy("source", "i").agg(F.sum("n").alias("c"))
         names = spark.createDataFrame(pa.table({"i": pa.array(range(len(words)), pa.int32()), "term": pa.array(words, pa.string())}))
         part = stored(sums.join(names, "i").select(F.lit(lang).alias("lang"), "source", "term", "c"), "cells")
         out = part if out is None else out.union(part)
