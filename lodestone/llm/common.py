@@ -70,6 +70,21 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, by: list[str]) -> DataFrame:
+    """big joined with small on keys, of which counts (keys, n) tells how many rows big has.
+
+    Keys with more rows than a tenth of a task's share are dealt to as many tasks as the session has shuffle partitions, by the
+    hash of big's columns ``by``, and small's rows of these are repeated. There are at most ten of them for each partition, so
+    the list of them is small at any size and is broadcast.
+    """
+    tasks = shuffles(big.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") > total / (10 * tasks)).select(*keys, F.lit(tasks).alias("salts")))
+    left = big.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = small.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def shuffles(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

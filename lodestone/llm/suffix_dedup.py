@@ -35,11 +35,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, discard, shuffles, stored, table
+from .common import bucketed, discard, salted_join, shuffles, stored, table
 from .hashing import mixed
 from .suffix_merge import LoserTree, common, decoded, front_coded
 
@@ -47,6 +47,7 @@ LENGTH = 200
 GRAM = 100
 RUN = 1 << 20  # bytes of entries that are sorted at once
 RANGE = 1 << 20  # bytes of front-coded entries that a range should hold
+AGAIN = 10  # bits of the number of a range within one that is cut again
 SAMPLE = 16384  # heads of blocks at most from which the splitters are taken
 BLOCK = 256  # entries of a front-coded block
 MERGED = 1 << 14  # entries at least that are compared at once
@@ -59,7 +60,7 @@ _BYTE, _OTHER = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _POWERS: dict = {}
 
 _long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-STRETCHES = T.StructType([*_long("k1", "k2"), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("gram", "start", "end", "anchor")]])
+STRETCHES = T.StructType([*_long("k1", "k2"), T.StructField("gram", T.ArrayType(T.LongType())), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("start", "end", "anchor")]])
 TEXTS = T.StructType([*_long("k1", "k2"), T.StructField("packed", T.BinaryType()), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("start", "end", "anchor")]])
 HASHED = T.StructType([*_long("h", "g", "k1", "k2"), *[T.StructField(n, T.IntegerType()) for n in ("start", "end", "anchor")]])
 BLOCKS = T.StructType([T.StructField("run", T.StringType()), T.StructField("range", T.IntegerType()), T.StructField("head", T.BinaryType()), T.StructField("entries", T.BinaryType()), T.StructField("owners", T.BinaryType())])
@@ -100,10 +101,6 @@ def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple
     return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
 
 
-def _short(gram: np.ndarray) -> np.ndarray:
-    return (gram >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _hash_of(table_: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each (start, end), none of which is empty."""
     sizes = end - start
@@ -125,7 +122,7 @@ def _find_stretches(length: int, gram: int):
             rows = []
             for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"], strict=True):
                 g, *rest = stretches(np.frombuffer(text, np.uint8), length, gram)
-                rows.append((k1, k2, _short(g), *(x.astype(np.int32) for x in rest)))
+                rows.append((k1, k2, g.view(np.int64), *(x.astype(np.int32) for x in rest)))
             yield pd.DataFrame(rows, columns=STRETCHES.names)
 
     return find
@@ -203,11 +200,14 @@ def _sort_runs(length: int, run_bytes: int):
     return sort
 
 
-def _cut_at(splitters: list[bytes], gram: int, inside: bool):
-    """Cut the blocks at the splitters. Entries that share the gram with one are left out, or (inside) they alone are kept, whole."""
+def _cut_at(splitters: list[bytes] | None, gram: int, inside: bool):
+    """Cut the blocks at the splitters. Entries that share the gram with one are left out, or (inside) they alone are kept, whole.
+
+    Without splitters each block brings those of its range, which is cut to ranges of its own.
+    """
     from bisect import bisect_right
 
-    def split(text: bytes, n: int) -> bool:
+    def split(splitters: list[bytes], text: bytes, n: int) -> bool:
         return any(text[:gram] == splitters[i][:gram] for i in (n - 1, n) if 0 <= i < len(splitters))
 
     def cut(batches):
@@ -215,10 +215,12 @@ def _cut_at(splitters: list[bytes], gram: int, inside: bool):
             out = []
             for row in batch.itertuples(index=False):
                 parts: dict[int, list] = {}
+                known = splitters if splitters is not None else [bytes(x) for x in row.splitters]
+                base = 0 if splitters is not None else row.range << AGAIN
                 for _, text, owner in _entries(row):
-                    n = bisect_right(splitters, text)
-                    if split(text, n) == inside:
-                        parts.setdefault(n, []).append((text, owner))
+                    n = bisect_right(known, text)
+                    if split(known, text, n) == inside:
+                        parts.setdefault(base + n, []).append((text, owner))
                 out += [_block(row.run, n, entries) for n, entries in parts.items()]
             yield pd.DataFrame(out, columns=BLOCKS.names)
 
@@ -342,26 +344,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64(F.lit("row"), "text", "doc_id"))
 
 
-def _splitters(runs: DataFrame, sample: int, range_bytes: int) -> list[bytes]:
-    """Where ranges of about range_bytes begin; as many as the entries ask for and the sample allows."""
-    total = runs.agg(F.sum(F.octet_length("entries") + F.octet_length("owners")).alias("n")).first()["n"] or 0
-    ranges = total // range_bytes + 1
+def _bytes_of_blocks():
+    return F.octet_length("entries") + F.octet_length("owners")
+
+
+def _splitters(runs: DataFrame, sample: int, range_bytes: int) -> tuple[list[bytes], int]:
+    """(where ranges begin, of how many bytes they are about): as many as the entries ask for and the sample allows."""
+    total = runs.agg(F.sum(_bytes_of_blocks()).alias("n")).first()["n"] or 0
+    wanted = total // range_bytes + 1
     # only the heads that are drawn come to the driver, and no more than sixty-four for each range
-    heads = runs.select("head").orderBy(F.xxhash64("head", "run")).limit(min(sample, 64 * ranges))
+    heads = runs.select("head").orderBy(F.xxhash64("head", "run")).limit(min(sample, 64 * wanted))
     many = sorted({bytes(r["head"]) for r in heads.collect()})
-    ranges = min(len(many), ranges)
-    return [many[len(many) * n // ranges] for n in range(1, ranges)]
+    ranges = min(len(many) // 16 + 1 if 64 * wanted > sample else len(many), wanted)
+    return [many[len(many) * n // ranges] for n in range(1, ranges)], total // max(ranges, 1)
+
+
+def _splitters_of_ranges(cut: DataFrame, range_bytes: int) -> DataFrame:
+    """(range, splitters) of ranges of more than range_bytes: where they are cut again, from a sample of their own blocks."""
+    sizes = cut.groupBy("range").agg(F.sum(_bytes_of_blocks()).alias("bytes")).select("range", F.least(F.ceil(F.col("bytes") / range_bytes), F.lit(1 << AGAIN)).cast("int").alias("wanted"))
+    drawn = cut.select("range", "head", F.row_number().over(Window.partitionBy("range").orderBy(F.xxhash64("head", "run"))).alias("r")).where(F.col("r") <= 16 << AGAIN)
+    heads = drawn.join(sizes, "range").where((F.col("r") <= 16 * F.col("wanted")) & (F.col("wanted") > 1)).groupBy("range", "wanted").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    places = F.transform(F.sequence(F.lit(1), F.least("wanted", F.size("heads")) - 1), lambda n: F.get("heads", (n * F.size("heads") / F.least("wanted", F.size("heads"))).cast("int")))
+    return heads.where(F.size("heads") > 1).select("range", F.array_distinct(places).alias("splitters"))
 
 
 def repeated_starts(runs: DataFrame, length: int = LENGTH, gram: int = GRAM, sample: int = SAMPLE, range_bytes: int = RANGE) -> DataFrame:
-    """(h, g, starts): where strings begin, in stretches that occur once, that another stretch holds too."""
-    splitters = _splitters(runs, sample, range_bytes)
-    parts = min(len(splitters) + 1, 4 * shuffles(runs.sparkSession))
+    """(h, g, starts): where strings begin, in stretches that occur once, that another stretch holds too.
+
+    Where the driver's sample has too few heads for ranges of range_bytes, each range is cut again by a sample of its own.
+    """
+    splitters, each = _splitters(runs, sample, range_bytes)
+    ranges = len(splitters) + 1
     cut = runs.mapInPandas(_cut_at(splitters, gram, inside=False), BLOCKS)
+    inside = runs.mapInPandas(_cut_at(splitters, gram, inside=True), BLOCKS)
+    if each > 2 * range_bytes:
+        cut = stored(cut, "ranges")
+        again = cut.join(stored(_splitters_of_ranges(cut, range_bytes), "splitters"), "range", "left").withColumn("splitters", F.coalesce("splitters", F.array().cast("array<binary>")))
+        ranges *= each // range_bytes + 1
+        cut, more = (again.mapInPandas(_cut_at(None, gram, inside=x), BLOCKS) for x in (False, True))
+        inside = inside.union(more)
+    parts = min(ranges, 4 * shuffles(runs.sparkSession))
     found = cut.repartition(parts, "range").sortWithinPartitions("range").mapInPandas(_merge(length, gram), REPEATED)
-    if not splitters:
+    if ranges == 1:
         return found
-    spread = runs.mapInPandas(_cut_at(splitters, gram, inside=True), BLOCKS).mapInPandas(_spread(length), STRINGS)
+    spread = inside.mapInPandas(_spread(length), STRINGS)
     strings = spread.select("h", "g", "c", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w")).select("h", "g", "c", "at", "w.w1", "w.w2")
     strings = stored(strings, "spread")
     many = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
@@ -375,8 +401,8 @@ def sorted_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_byt
     texts = _keyed(docs.select("doc_id", "text")).select("k1", "k2", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     found = stored(texts.mapInPandas(_find_stretches(length, gram), STRETCHES), "stretches")
     every = found.select("k1", "k2", F.explode(F.arrays_zip("gram", "start", "end", "anchor")).alias("s")).select("k1", "k2", "s.*")
-    shared = stored(found.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "shared")
-    by_row = every.join(shared, "gram").groupBy(*key).agg(F.collect_set(F.struct("start", "end", "anchor")).alias("s"))
+    shared = stored(found.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    by_row = salted_join(every, shared.select("gram"), ["gram"], shared, ["k1", "k2", "start"]).groupBy(*key).agg(F.collect_set(F.struct("start", "end", "anchor")).alias("s"))
     lists = by_row.select("k1", "k2", *[F.col(f"s.{c}").alias(c) for c in ("start", "end", "anchor")])
     packed = texts.mapInPandas(_pack, T.StructType([*TEXTS.fields[:3]])).join(lists, key)
     held = bucketed(packed, "suffix-texts", shuffles(spark), key, compression="none")
@@ -396,7 +422,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, run_
     held, hashed, groups, runs = sorted_runs(docs, length, gram, run_bytes)
     whole = groups.where("c > 1").select("h", "g", F.lit(None).cast("array<long>").alias("starts"))
     repeated = stored(whole.union(repeated_starts(runs, length, gram, **merging)), "repeated")
-    by_row = hashed.join(repeated, ["h", "g"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "starts")).alias("repeated"))
+    by_row = salted_join(hashed, repeated, ["h", "g"], groups.select("h", "g", F.col("c").alias("n")), ["k1", "k2", "start"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end", "starts")).alias("repeated"))
     return held.select("k1", "k2", "packed").join(by_row, ["k1", "k2"]).mapInPandas(_remove(length), CUT).dropDuplicates(["k1", "k2"])
 
 
