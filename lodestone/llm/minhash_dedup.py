@@ -211,11 +211,14 @@ class Linker:
         known = known.withColumn("estimate", estimate("registers_a", "registers_b", (F.col("n_a") + F.col("n_b")) / 2))
         return stored(known.where(F.col("estimate") >= least).select("a", "b", "estimate"), "promising")
 
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar."""
+        both = self._joined(pairs.select("a", "b"), self.sets, "shingles").withColumn("i", shared("shingles_a", "shingles_b"))
+        return both.where(100 * F.col("i") >= self.similar * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
+
     def verify(self, pairs: DataFrame) -> None:
         """Add the links among pairs (a, b) and bring the components up to date."""
-        both = self._joined(pairs.select("a", "b"), self.sets, "shingles").withColumn("i", shared("shingles_a", "shingles_b"))
-        linked = both.where(100 * F.col("i") >= self.similar * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
-        new = stored(linked, "links")
+        new = stored(self.linked(pairs), "links")
         if self.labels is None:
             self.labels = components(new)
             return

@@ -2,12 +2,12 @@
 
 A document's set holds its distinct shingles of K words. Every shingle flips bits of a sketch, so the sketches of two
 sets differ in nothing but what the sets' symmetric difference flips, and their Hamming distance is at most its size.
-Two sketches are kept. The wide one has so many bits that a block of it is held as the XOR of 64-bit hashes of the
-shingles that fall into it; the narrow one has 64 * WIDTH bits, one flipped by each shingle.
+The sketch that is joined has so many bits that a block of it is held as the XOR of 64-bit hashes of the shingles that
+fall into it; the narrow one that pairs are compared by has 64 * WIDTH bits, and that of long texts grows with them.
 
 Sets of similarity 0.8 with n and m shingles differ in at most (n + m) / 9. Sizes are parted into bands, and a set
 joins the band of its own size and the next one, if sets similar to it reach into it. A band allows D differences and
-parts the wide sketch into D + 1 + S blocks, so that two similar sets agree in at least S + 1 of them (pigeonhole).
+parts the first sketch into D + 1 + S blocks, so that two similar sets agree in at least S + 1 of them (pigeonhole).
 Empty blocks agree in all sets and make no keys: a set with at most S empty blocks is sure to agree with each similar
 set in a block with shingles. A set with more emits the keys of another hash function too, and so on, till it has one
 with few enough; two similar sets both have keys of the first one that suits either. After SEEDS of them empty blocks
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffles, stored, table
+from .common import bucketed, shuffles, stored, table
 from .components import Copies
 from .hashing import mixed, pieces
 from .minhash_dedup import Linker, shingle_sets, texts_of, unpacked_pieces
@@ -201,17 +201,72 @@ def _apart(a, b):
     return sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in BITS), F.lit(0))
 
 
+def wide_bits(shingles: np.ndarray) -> bytes:
+    """A sketch of four to eight bits for each shingle; a power of two, so that a longer one folds to a shorter one's size."""
+    size = 64 << max(0, math.ceil(math.log2(max(len(shingles), 1) / 16)))
+    flips = np.bincount((mixed(shingles ^ np.uint64(0x6C62272E07BB0142)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((flips & 1).astype(np.uint8)).tobytes()
+
+
+def _distance(a: bytes, b: bytes) -> int:
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+@F.pandas_udf(T.LongType())
+def wide_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def shared_shingles(k: int):
+    """How many shingles two compressed texts have in common."""
+
+    @F.pandas_udf(T.LongType())
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        expand, last = zstandard.ZstdDecompressor().decompress, (None, None)
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x != last[0]:
+                last = x, shingle_sets([expand(x)], k)[0]
+            out.append(len(np.intersect1d(last[1], shingle_sets([expand(y)], k)[0], assume_unique=True)))
+        return pd.Series(out, dtype="int64")
+
+    return shared
+
+
 class ParityLinker(Linker):
-    """Pairs are judged by the distance of their narrow sketches."""
+    """Pairs are judged by the distance of their sketches and verified on the full sets, which are made of the texts again.
+
+    Texts are several times smaller than their sets; they and the sketches of long ones lie in buckets, to which rounds of pairs come.
+    """
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, similar: int):
-        super().__init__(docs, nodes.select("node", "n", F.struct(*BITS).alias("bits")), members, k, similar, "bits")
+        def of(batches):
+            for batch in batches:
+                for part in unpacked_pieces([batch]):
+                    sets, compress = shingle_sets([t for _, t in part], k), zstandard.ZstdCompressor(level=3).compress
+                    yield pd.DataFrame({"node": [i for i, _ in part], "n": [len(s) for s in sets], "packed": [compress(t) for _, t in part], "wide": [wide_bits(s) if len(s) > 64 * WIDTH else b"" for s in sets]})
+
+        self.similar, self.k, self.labels = similar, k, None
+        self.nodes = nodes.select("node", "n", F.struct(*BITS).alias("bits"))
+        texts = texts_of(docs, members.select("node").distinct()).mapInPandas(of, "node long, n long, packed binary, wide binary")
+        self.texts = bucketed(texts, "texts", shuffles(docs.sparkSession), ["node"], compression="none")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        both = self._joined(pairs.select("a", "b"), self.texts, "packed").withColumn("i", shared_shingles(self.k)("packed_a", "packed_b"))
+        return both.where(100 * F.col("i") >= self.similar * (F.col("n_a") + F.col("n_b") - F.col("i"))).select("a", "b")
 
     def promising(self, pairs: DataFrame) -> DataFrame:
         both = self._joined(pairs, self.nodes, "bits").select("a", "b", "n_a", "n_b", *[F.col(f"bits_{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in BITS])
         total = F.col("n_a") + F.col("n_b")
         close = both.where(100 * F.least("n_a", "n_b") >= self.similar * F.greatest("n_a", "n_b")).withColumn("apart", _apart("a_", "b_"))
-        return stored(close.where((100 + self.similar) * F.col("apart") <= (100 - self.similar) * total).select("a", "b", (-F.col("apart") / total).alias("estimate")), "promising")
+        allowed = (100 + self.similar) * F.col("apart") <= (100 - self.similar) * total
+        close = stored(close.where(allowed).select("a", "b", "n_a", "n_b", (-F.col("apart") / total).alias("estimate")), "close")
+        # the narrow sketches of long texts are full: what they say is asked again of wide ones
+        long = F.least("n_a", "n_b") > 64 * WIDTH
+        again = self._joined(close.where(long).select("a", "b"), self.texts, "wide").withColumn("apart", wide_distance("wide_a", "wide_b"))
+        again = again.where(allowed).select("a", "b", (-F.col("apart") / total).alias("estimate"))
+        return stored(close.where(~long).select("a", "b", "estimate").union(again), "promising")
 
     def cross_pairs(self, members: DataFrame) -> DataFrame:
         """(a, b), a < b: pairs of one key in different components whose narrow sketches allow a link, each once."""

@@ -87,3 +87,12 @@ def test_narrow_sketch_bounds_the_difference():
 def test_packing():
     values = mixed(np.arange(1000, dtype=np.uint64))
     assert (parity_join.unpacked(parity_join.packed(values)) == values).all()
+
+
+def test_wide_sketches_fold():
+    r = random.Random(6)
+    for n, m in ((1100, 1300), (2000, 2100), (3000, 5000)):
+        a = {r.getrandbits(64) for _ in range(n)}
+        b = set(r.sample(sorted(a), n - n // 9)) | {r.getrandbits(64) for _ in range(m - n + n // 9)}
+        x, y = (parity_join.wide_bits(np.array(sorted(s), np.uint64)) for s in (a, b))
+        assert len(a ^ b) // 3 <= parity_join._distance(x, y) <= len(a ^ b)
