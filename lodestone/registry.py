@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("plans.lexical", "plans.ranking", "plans.timeline", "plans.quality", "plans.lifecycle", "plans.records", "plans.flow", "plans.questions", "plans.network", "plans.kernels", "plans.feedback", "plans.evidence", "plans.store", "plans.texts", "plans.recall", "plans.governance", "plans.cards", "plans.conflicts", "plans.hops", "plans.resemblance")
+MODULES: tuple[str, ...] = ("plans.lexical", "plans.ranking", "plans.timeline", "plans.quality", "plans.lifecycle", "plans.records", "plans.flow", "plans.questions", "plans.network", "plans.kernels", "plans.feedback", "plans.evidence", "plans.store", "plans.texts", "plans.recall", "plans.governance", "plans.cards", "plans.conflicts", "plans.hops", "plans.resemblance", "plans.journal")
 
 
 def queries() -> dict:
