@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
 from ..sources.tables import table
 from .registering import Plans
 
@@ -116,11 +117,13 @@ SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, roun
 """)
 def stage_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, mean, greatest and quartiles of each stage's values by day, and the share of starved ones."""
-    at = lambda q: F.round(F.percentile("value", q), 6)
+    rows = events(spark, sf_dir).withColumn("day", F.to_date("ts").cast("string"))
+    at = quantiles(rows, ["event_type", "day"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     starved = F.when(F.col("value") < 10, 1.0).otherwise(0.0)
-    return events(spark, sf_dir).groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(
-        F.count("*").alias("n"), F.round(F.min("value"), 6).alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"), F.round(F.sum(starved) / F.count("*"), 6).alias("starved")
-    )
+    whole = rows.groupBy("event_type", "day").agg(
+        F.count("*").alias("n"), F.round(F.min("value"), 6).alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"), F.round(F.sum(starved) / F.count("*"), 6).alias("starved")
+    )
+    return whole.join(at, ["event_type", "day"], "left").select("event_type", "day", "n", "least", "mean", "most", *[F.round(c, 6).alias(c) for c in ("q1", "q2", "q3")], "starved")
 
 
 @plans.query(f"""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import flow, graph, lexical
+from ..operators.nearest import rivals
 from ..sources.tables import table
 from .lexical import _BM25, _asked, _posts
-from .ranking import _NEAR, neighbours
+from .ranking import _NEAR, QUERY_EACH, _units
 from .registering import Plans
 
 plans = Plans()
@@ -125,8 +126,8 @@ def expansion_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.query(f"WITH {_NEAR} SELECT qid, CAST(count(*) AS BIGINT) AS negatives, round(max(score), 6) AS hardest FROM near WHERE label <> q_label AND score > CAST(0.1 AS DOUBLE) GROUP BY qid")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vectors of other labels each query vector is near to, and the nearest."""
-    wrong = neighbours(spark, sf_dir).where((F.col("label") != F.col("q_label")) & (F.col("score") > 0.1))
-    return wrong.groupBy("qid").agg(F.count("*").alias("negatives"), F.round(F.max("score"), 6).alias("hardest"))
+    found = rivals(_units(spark, sf_dir), "vec_id", "v", F.col("vec_id") % QUERY_EACH == 0, "label", 0.1)
+    return found.select("qid", F.col("n").alias("negatives"), F.round("most", 6).alias("hardest"))
 
 
 @plans.query("""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import lexical, ranking
-from ..operators.nearest import nearest
+from ..operators.nearest import nearest, places
+from ..sources.scratch import stored
 from ..sources.tables import table
 from .registering import Plans
 
@@ -25,17 +26,6 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
 
 
-def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, vec_id, q_label, label, score): every query vector against all others.
-
-    The queries are a stated set, so they are the broadcast side only while Spark's size threshold lets them be.
-    """
-    rows = _units(spark, sf_dir)
-    asked = rows.where(F.col("vec_id") % QUERY_EACH == 0).select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"), F.col("v").alias("q"))
-    both = rows.join(asked, F.col("vec_id") != F.col("qid"))
-    return both.select("qid", "vec_id", "q_label", "label", F.round(F.coalesce(vectors.dot(F.col("q"), F.col("v")), F.lit(0.0)), 6).alias("score"))
-
-
 @plans.query(f"WITH {_NEAR} SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 10")
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of each query vector."""
@@ -176,10 +166,17 @@ FROM (SELECT qid, q_label, sum(CASE WHEN rank <= 10 THEN good ELSE 0 END) / CAST
 """)
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision and recall at ten and the mean reciprocal rank by label: vectors of the same label are the right ones."""
-    rows = neighbours(spark, sf_dir).withColumn("good", (F.col("label") == F.col("q_label")).cast("int"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("vec_id").asc())))
-    first_ten = F.sum(F.when(F.col("rank") <= 10, F.col("good")).otherwise(0))
-    each = ranked.groupBy("qid", "q_label").agg((first_ten / 10.0).alias("p10"), F.when(F.sum("good") > 0, first_ten / F.sum("good")).otherwise(0.0).alias("r10"), F.coalesce(1.0 / F.min(F.when(F.col("good") == 1, F.col("rank"))), F.lit(0.0)).alias("rr"))
+    units, asks = stored(_units(spark, sf_dir), "units"), F.col("vec_id") % QUERY_EACH == 0
+    labels = units.select("vec_id", "label")
+    queries = labels.where(asks).select(F.col("vec_id").alias("qid"), F.col("label").alias("q_label"))
+    ten = nearest(units, "vec_id", "v", asks, 10).join(labels, "vec_id").join(queries, "qid")
+    hits = ten.where("label = q_label").groupBy("qid").agg(F.count("*").alias("hits"))
+    gold = labels.groupBy(F.col("label").alias("q_label")).agg((F.count("*") - 1).alias("gold"))
+    # the place of the nearest right one: how many of all labels come before it
+    first = nearest(units, "vec_id", "v", asks, 1, label="label").select("qid", F.col("vec_id").alias("found"), "score")
+    place = places(units, "vec_id", "v", asks, stored(first, "first"))
+    each = queries.join(gold, "q_label").join(hits, "qid", "left").join(place, "qid", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    each = each.select("q_label", (F.col("hits") / 10.0).alias("p10"), F.when(F.col("gold") > 0, F.col("hits") / F.col("gold")).otherwise(0.0).alias("r10"), F.coalesce(1.0 / F.col("place"), F.lit(0.0)).alias("rr"))
     return each.groupBy(F.col("q_label").alias("label")).agg(F.count("*").alias("queries"), F.round(F.avg("p10"), 6).alias("precision_10"), F.round(F.avg("r10"), 6).alias("recall_10"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import timeline
+from ..operators.quantiles import quantiles
 from ..sources.tables import table
 from .registering import Plans
 
@@ -146,10 +147,10 @@ SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(value, 0.5
 """)
 def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the values of each kind of event, exact and interpolated: equal values are counted first."""
-    values = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    p = lambda q, name: F.round(F.percentile("value", F.lit(q), F.col("n")), 6).alias(name)
-    mean = F.round(F.sum(F.col("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), 6).alias("mean")
-    return values.groupBy("event_type").agg(F.sum("n").alias("n"), p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), mean, F.min("value").alias("least"), F.max("value").alias("most"))
+    rows = table(spark, sf_dir, "events")
+    at = quantiles(rows, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    whole = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return whole.join(at, "event_type", "left").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "mean", "least", "most")
 
 
 @plans.query("""
