@@ -43,8 +43,9 @@ RADIUS = 22
 BLOCKS = 8
 ITEMS = 50_000
 BYTES = 16 << 20
-SEGMENT = 1 << 15  # places of windows that are looked at together
-PAIRS = 1 << 22  # bits of proposed items that are looked at together
+SEGMENT = 1 << 12  # places of windows that are looked at together
+PIECE = 1 << 20  # bytes of texts that are searched together, about
+PAIRS = 1 << 18  # bits of proposed items that are looked at together
 _BITS = 64 // BLOCKS
 _ONES = np.array([bin(n).count("1") for n in range(1 << _BITS)], np.uint8)
 
@@ -219,7 +220,7 @@ def _against(docs: DataFrame, items: Items) -> DataFrame:
         for batch in batches:
             rows = list(zip(batch["doc_id"], batch["text"], strict=True))
             found = []
-            for part in pieces(rows, lambda r: len(r[1])):
+            for part in pieces(rows, lambda r: len(r[1]), PIECE):
                 found += [(part[d][0], *rest) for d, *rest in items.search([t for _, t in part])]
             yield pd.DataFrame(found, columns=FOUND.names).astype({"doc_id": "Int64"})
 
