@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import without_invisible
-from ..operators import audit, embedding
+from ..operators import audit, codebooks, embedding
+from ..sources.scratch import scratch_path, stored
 from ..sources.tables import table
 from .ranking import QUERY_EACH
 from .registering import Plans
@@ -24,6 +25,19 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.hashed(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name")).withColumn("weight", F.round("weight", 6))
 
 
+@plans.query()
+def appended_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What vectors lose by the codes of a stored codebook, those it was trained on and those that came later, by label."""
+    rows, folder = table(spark, sf_dir, "embeddings"), scratch_path(spark, "codebooks")
+    first = rows.where("vec_id % 2 = 0")
+    codebooks.saved(spark, embedding.Codebook.trained(first, parts=32), folder)
+    book, version = codebooks.loaded(spark, folder)
+    codes = codebooks.appended(stored(codebooks.coded(first, "vec_id", "embedding", book, version), "codes"), rows, "vec_id", "embedding", book, version)
+    late = (F.col("vec_id") % 2 == 1).alias("late")
+    by = codes.join(rows.select("vec_id", "label"), "vec_id").groupBy("label", late)
+    return by.agg(F.count("*").alias("n"), F.round(F.avg("lost"), 4).alias("lost"), F.max("version").alias("version"))
+
+
 @plans.query()
 def quantized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of each query vector, as knn_cosine has them: from codes, the best candidates again in full."""
