@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import journal, sealed
+from ..operators import edits, journal, sealed
 from ..sources.scratch import stored
 from ..sources.tables import table
 from .registering import Plans
@@ -66,4 +66,46 @@ def sealed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("state").agg(F.count("*").alias("n"), F.count("i").alias("same"), F.count(F.when(F.col("key_id") == "7", 1)).alias("under_seven"))
 
 
+_EDITS = """
+p AS (SELECT event_id AS edit_id, user_id AS record_id, props AS new_content, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS reason, ts AS asked FROM events WHERE event_id % 3 = 0),
+d AS (SELECT event_id - event_id % 3 AS edit_id, ts + INTERVAL 5 DAY AS done, 'u' || user_id AS approver, value >= 50 AS approved FROM events WHERE event_id % 3 > 0 AND event_id % 5 > 0),
+f AS (SELECT p.edit_id, d.done AS decided_at, approver, approved, row_number() OVER (PARTITION BY p.edit_id ORDER BY d.done, approver, approved) AS r FROM p JOIN d ON d.edit_id = p.edit_id AND d.done >= p.asked WHERE trim(reason) <> ''),
+e AS (SELECT p.*, CASE WHEN trim(reason) = '' THEN 'refused' WHEN f.edit_id IS NULL THEN 'pending' WHEN approved THEN 'applied' ELSE 'rejected' END AS status, decided_at, approver FROM p LEFT JOIN f ON f.edit_id = p.edit_id AND r = 1)
+"""
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows, k = table(spark, sf_dir, "events"), F.col("event_id")
+    proposals = rows.where("event_id % 3 = 0").select(k.alias("edit_id"), F.col("user_id").alias("record_id"), F.col("props").alias("new_content"), F.when(k % 7 == 0, " ").otherwise(F.col("event_type")).alias("reason"), F.col("ts").alias("at"))
+    decisions = rows.where("event_id % 3 > 0 AND event_id % 5 > 0").select((k - k % 3).alias("edit_id"), (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("at"), F.concat(F.lit("u"), "user_id").alias("approver"), (F.col("value") >= 50).alias("approved"))
+    records = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_name").alias("content"))
+    return stored(edits.edits(proposals, decisions, records), "edits"), records
+
+
+@plans.query(f"""
+WITH {_EDITS} SELECT edit_id, e.record_id, c_name AS old_content, status, approver, row_number() OVER (PARTITION BY e.record_id ORDER BY asked, edit_id) AS number
+FROM e LEFT JOIN customer ON c_custkey = e.record_id WHERE status <> 'refused'
+""")
+def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edit that was proposed with a reason, in the order of its record, and what became of it."""
+    return edits.history(_edits(spark, sf_dir)[0]).select("edit_id", "record_id", "old_content", "status", "approver", "number")
+
+
+@plans.query(f"WITH {_EDITS} SELECT edit_id, record_id, reason FROM e WHERE status = 'pending' ORDER BY asked, edit_id LIMIT 100")
+def pending_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred oldest edits that nobody decided."""
+    return edits.pending(_edits(spark, sf_dir)[0]).select("edit_id", "record_id", "reason")
+
+
+@plans.query(f"""
+WITH {_EDITS}, a AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY decided_at DESC, edit_id DESC) AS r FROM e WHERE status = 'applied'),
+l AS (SELECT * FROM a WHERE r = 1)
+SELECT c_custkey AS record_id, coalesce(new_content, c_name) AS content, EXISTS (SELECT 1 FROM a WHERE a.record_id = l.record_id AND a.edit_id <> l.edit_id AND a.decided_at > l.asked AND a.decided_at <= l.decided_at) AS stale
+FROM customer LEFT JOIN l ON l.record_id = c_custkey
+""")
+def edited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' records as the last approved edit leaves them, and whether it was made for what another one changed meanwhile."""
+    return edits.after_edits(*_edits(spark, sf_dir))
+
+
 QUERIES, SQL = plans.queries, plans.sql
