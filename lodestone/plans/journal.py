@@ -49,21 +49,21 @@ def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plans.query("""
-WITH s AS (SELECT o_orderkey AS id, o_orderkey % 25 AS k, CAST(o_totalprice AS VARCHAR) AS content,
+WITH s AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, CAST(o_totalprice AS VARCHAR) AS content,
              CASE WHEN o_orderkey % 11 = 0 THEN 'broken' WHEN o_orderkey % 13 = 0 THEN 'unknown key' ELSE 'open' END AS state FROM orders)
-SELECT state, count(*) AS n, count(CASE WHEN state = 'open' THEN 1 END) AS same, count(CASE WHEN state <> 'unknown key' AND (state = 'open' OR k = 7) THEN 1 END) AS under_seven FROM s GROUP BY state
+SELECT state, count(*) AS n, count(CASE WHEN state = 'open' THEN 1 END) AS same, count(CASE WHEN state <> 'unknown key' AND (state = 'open' OR k = 3) THEN 1 END) AS under_one FROM s GROUP BY state
 """)
 def sealed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders sealed under the keys of nations; some are put in another's place or lose their key; the rest go to one key and open."""
     keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key_id"), F.unhex(F.md5("n_name")).alias("key"))
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("string").alias("content"), (F.col("o_orderkey") % 25).cast("string").alias("key_id"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("string").alias("content"), (F.col("o_orderkey") % 5).cast("string").alias("key_id"))
     held = sealed.seal(rows, keys, "key_id")
     swapped = F.when(F.col("id") % 11 == 0, -F.col("id") - 1).otherwise(F.col("id"))  # what was sealed for one id stands under another
     held = stored(held.select(swapped.alias("id"), F.when((F.col("id") % 13 == 0) & (F.col("id") % 11 != 0), "lost").otherwise(F.col("key_id")).alias("key_id"), "sealed"), "sealed")
-    back = sealed.opened(stored(sealed.rotated(held, keys, "7"), "rotated"), keys)
+    back = sealed.opened(stored(sealed.rotated(held, keys, "3"), "rotated"), keys)
     same = rows.select(F.col("id").alias("i"), F.col("content").alias("c"))
     both = back.join(same, (F.col("id") == F.col("i")) & (F.col("content") == F.col("c")), "left")
-    return both.groupBy("state").agg(F.count("*").alias("n"), F.count("i").alias("same"), F.count(F.when(F.col("key_id") == "7", 1)).alias("under_seven"))
+    return both.groupBy("state").agg(F.count("*").alias("n"), F.count("i").alias("same"), F.count(F.when(F.col("key_id") == "3", 1)).alias("under_one"))
 
 
 _EDITS = """
