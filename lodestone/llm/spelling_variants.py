@@ -49,6 +49,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def of(batches):
         held: Counter = Counter()
+        counts = lambda: pd.DataFrame({"word": pd.Series(list(held), dtype=object), "n": np.array(list(held.values()), np.int64)})
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 start = zlib.crc32(f"{doc}:".encode())
@@ -59,9 +60,9 @@ def counted(docs: DataFrame) -> DataFrame:
                         run = run[:at] + run[at + 1 :]
                     held[run] += n
                 if len(held) >= HELD:
-                    yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                    yield counts()
                     held = Counter()
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+        yield counts()
 
     rows = docs.where("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), "text")
     return rows.mapInPandas(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -220,7 +221,8 @@ def near_words(vocabulary: DataFrame, words: int = WORDS) -> DataFrame:
         q, w = q[order], w[order]
         first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
         many = np.diff(np.append(first, len(q)))
-        return pd.DataFrame({"word": [words[i] for i in q[first]], "n_near": many, "n": n[w[first]], "form": [words[i] for i in w[first]]})
+        named = lambda at: pd.Series([words[i] for i in at], dtype=object)
+        return pd.DataFrame({"word": named(q[first]), "n_near": many, "n": n[w[first]], "form": named(w[first])})
 
     parts = max(shuffles(vocabulary.sparkSession), buckets)
     grouped = rows.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j")
