@@ -14,9 +14,9 @@ plans = Plans()
 
 @plans.query()
 def near_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each turn the one of the five before it in its conversation that it resembles most, from a ratio of 0.5 on."""
+    """For each turn the one of the five before it in its conversation that it resembles most, from a ratio of 0.3 on."""
     turns = table(spark, sf_dir, "conversations").withColumn("at", F.timestamp_seconds(60 * F.col("turn")))
-    found = resemblance.near_repeats(turns, "conv_id", "turn", "text", "at", 0.5, "INTERVAL 5 MINUTES")
+    found = resemblance.near_repeats(turns, "conv_id", "turn", "text", "at", 0.3, "INTERVAL 5 MINUTES")
     return found.select("conv_id", F.col("id").alias("turn"), "prior", F.round("ratio", 6).alias("ratio"))
 
 
