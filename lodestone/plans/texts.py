@@ -108,7 +108,7 @@ SELECT doc_id, CAST(i AS BIGINT) AS part, length(p) AS chars, md5(p) AS digest F
 """)
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut where their structure does: at line breaks, empty parts left out."""
-    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda p: text.trimmed(p)), lambda p: p != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("i", "p"))
     return rows.select("doc_id", F.col("i").cast("long").alias("part"), F.length("p").cast("long").alias("chars"), F.md5("p").alias("digest"))
 
