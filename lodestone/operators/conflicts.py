@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import by_ascii
+
 LEVELS = 17  # sizes of nodes: intervals lie within 2^16 days
 
 #: Pairs of modalities that cannot both hold, and how grave that is; they hold either way round.
@@ -113,8 +115,8 @@ def plain_tokens(text: Column) -> Column:
 def conflict_type(new: Column, old: Column, similarity: Column) -> Column:
     """What a proposal is to a record of similar words: duplicate, contradiction, refinement or merely related."""
     a, b = F.lower(new), F.lower(old)
-    count = lambda t: sum((t.rlike(p).cast("int") for p in NEGATIONS), F.lit(0))
-    word = lambda t, w: t.rlike(rf"\b{w}\b")
+    count = lambda t: sum((t.rlike(by_ascii(p)).cast("int") for p in NEGATIONS), F.lit(0))
+    word = lambda t, w: t.rlike(by_ascii(rf"\b{w}\b"))
     turned = F.lit(False)
     for x, y in REVERSALS:
         turned = turned | (word(a, x) & word(b, y)) | (word(a, y) & word(b, x))

@@ -104,7 +104,7 @@ def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How sure the five best hits make an answer, and whether to give none."""
     items = table(spark, sf_dir, "benchmark")
     asked = F.array_distinct(F.filter(text.words(F.col("text")), lambda w: F.length(w) > 3))
-    questions = items.select(F.col("item_id").alias("qid"), asked.alias("asked"), F.lower("text").rlike(understanding.EVER).alias("ever"))
+    questions = items.select(F.col("item_id").alias("qid"), asked.alias("asked"), text.lowered(F.col("text")).rlike(text.by_ascii(understanding.EVER)).alias("ever"))
     rows = hits(spark, sf_dir).where("rank <= 5").select("qid", "rank", "score", text.words(F.col("text")).alias("w")).join(questions, "qid")
     overlap = F.when(F.size("asked") == 0, 0.0).otherwise(F.size(F.array_intersect("asked", "w")) / F.size("asked"))
     rows = rows.withColumn("overlap", overlap).groupBy("qid", "ever")

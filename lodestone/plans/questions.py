@@ -85,8 +85,8 @@ FROM (SELECT page_id, list_filter([{", ".join(f"CASE WHEN contains(lower(html),
 def month_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms that the months and years named in a page add."""
     pages = table(spark, sf_dir, "pages")
-    years = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(r"\b(20\d{2})\b"), F.lit(1)))), " ")
-    return pages.select("page_id", F.array_join(understanding.month_terms(F.concat_ws(" ", F.regexp_replace("html", r"\b20\d{2}\b", ""), years)), " ").alias("terms"))
+    years = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(r"(?<![A-Za-z0-9_])(20\d{2})(?![A-Za-z0-9_])"), F.lit(1)))), " ")
+    return pages.select("page_id", F.array_join(understanding.month_terms(F.concat_ws(" ", F.regexp_replace("html", r"(?<![A-Za-z0-9_])20\d{2}(?![A-Za-z0-9_])", ""), years)), " ").alias("terms"))
 
 
 _SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace(trim({}), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')".format

@@ -98,7 +98,7 @@ def question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.split("text", " ")
     link = F.when(F.col("turn") % 3 == 0, " because ").when(F.col("turn") % 3 == 1, " and then ").otherwise(" ")
     rows = table(spark, sf_dir, "conversations").where(F.size(w) >= 7).select("conv_id", "turn", F.array_join(F.slice(w, 1, 4), " ").alias("a"), F.array_join(F.slice(w, 5, 3), " ").alias("b"), link.alias("link"))
-    clean = ~F.lower(F.concat_ws(" ", "a", "b")).rlike(r"\b(and|but|since|until|before|after|then|once|vs|though|although|because)\b") & ~F.concat("a", "b").rlike(r"[\n\t]") & (F.lower("a") != F.lower("b"))
+    clean = ~F.lower(F.concat_ws(" ", "a", "b")).rlike(text.by_ascii(r"\b(and|but|since|until|before|after|then|once|vs|though|although|because)\b")) & ~F.concat("a", "b").rlike(r"[\n\t]") & (F.lower("a") != F.lower("b"))
     parts = understanding.question_parts(F.concat("a", "link", "b"))
     return rows.where(clean).select("conv_id", "turn", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
 
