@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..sources.scratch import stored
 
+PART_BYTES = 4 << 20  # of text whose words are counted in a task
+PART_ROWS = 250_000  # postings that are scored in a task
+
 
 def terms(records: DataFrame, id_col: str, text_col: Column, stemmed: bool = True) -> DataFrame:
     """(id, term): a row for each term occurrence."""
@@ -27,13 +30,15 @@ def term_counts(records: DataFrame, id_col: str, text_col: Column) -> DataFrame:
     """(id, term, n): how often a record has a stemmed term.
 
     Words are counted by record first and every distinct word is stemmed once; the vocabulary is broadcast or shuffled as
-    Spark's threshold says.
+    Spark's threshold says. Records are dealt to as many parts as their texts need, so that a task's counts do not grow.
     """
-    rows = records.select(F.col(id_col), F.explode(text.words(text_col)).alias("word")).where(text.is_term(F.col("word")))
+    parts = (records.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PART_BYTES + 1
+    dealt = records.select(F.col(id_col), text_col.alias("text")).repartition(parts, id_col)
+    rows = dealt.select(F.col(id_col), F.explode(text.words(F.col("text"))).alias("word")).where(text.is_term(F.col("word")))
     counted = stored(rows.groupBy(id_col, "word").agg(F.count("*").alias("n")), "words")
     bases = counted.select("word").distinct().withColumn("base", text.lemma(F.col("word"))).withColumn("suffix", text.suffix_of(F.col("base")))
     stems = stored(bases.select("word", text.without_suffix(F.col("base"), F.col("suffix")).alias("term")), "stems")
-    return counted.join(stems, "word").groupBy(id_col, "term").agg(F.sum("n").alias("n"))
+    return counted.join(stems, "word").select(id_col, "term", "n").repartition(parts, id_col).groupBy(id_col, "term").agg(F.sum("n").alias("n"))
 
 
 def postings(fields: list[tuple[DataFrame, float]], id_col: str) -> DataFrame:
@@ -53,17 +58,24 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(posts: DataFrame, n_records: DataFrame, queries: DataFrame, id_col: str) -> DataFrame:
+def bm25_scores(posts: DataFrame, n_records: DataFrame, queries: DataFrame, id_col: str, copies: DataFrame | None = None) -> DataFrame:
     """(qid, id, score) of every record that shares a term with a query.
 
-    queries has (qid, term), a row for each occurrence: a term asked twice counts twice. n_records is one row (n).
+    queries has (qid, term), a row for each occurrence: a term asked twice counts twice. n_records is one row (n). With copies
+    (id, copies) a record of posts stands for so many. The postings that queries ask for are dealt by record, in as many parts as
+    there are postings to fill, before queries multiply them: so no pair of a query and a record is moved.
     """
     asked = queries.groupBy("qid", "term").agg(F.count("*").alias("times"))
     size = lengths(posts, id_col)
     n = n_records.select("n").scalar()
-    mean = size.agg(F.sum("length")).scalar() / n
     wanted = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    rare = document_frequency(wanted).select("term", scoring.idf(n, F.col("df")).alias("rarity"))
+    if copies is None:
+        mean, df = size.agg(F.sum("length")).scalar() / n, document_frequency(wanted)
+    else:
+        mean = size.join(copies, id_col).agg(F.sum(F.col("length") * F.col("copies"))).scalar() / n
+        df = wanted.join(copies, id_col).groupBy("term").agg(F.sum("copies").alias("df"))
+    rare = df.select("term", scoring.idf(n, F.col("df")).alias("rarity"))
+    wanted = wanted.repartition(posts.count() // PART_ROWS + 1, id_col)
     hits = wanted.join(rare, "term").join(size, id_col)
     share = scoring.bm25(F.col("tf"), F.col("length"), mean, F.col("rarity"))
     return hits.select(id_col, "term", share.alias("share")).join(asked, "term").groupBy("qid", id_col).agg(F.sum(F.col("share") * F.col("times")).alias("score"))
@@ -75,6 +87,28 @@ def top_k(scores: DataFrame, by: str, id_col: str, k: int, score: str = "score")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def ranked_by_class(posts: DataFrame, n_records: DataFrame, queries: DataFrame, id_col: str, k: int, digits: int = 6) -> DataFrame:
+    """(qid, id, score, rank): the k best records of each query, as top_k has them of bm25_scores, rounded.
+
+    Records of the same weighted terms have the same scores, and so have queries of the same terms. So one record is scored for
+    each class of records and one query for each class of queries, and only the k first of a class, by id, can be among the best.
+    """
+    terms_of = lambda rows, by, *cols: rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("terms"))
+    kinds = terms_of(posts, id_col, "term", "tf")
+    first = kinds.groupBy("terms").agg(F.min(id_col).alias("kind"), F.count("*").alias("copies"))
+    kinds = stored(kinds.join(first, "terms").select(id_col, "kind", "copies"), "record-kinds")
+    heads = kinds.where(F.col(id_col) == F.col("kind")).select(id_col, "copies")
+    ways = terms_of(queries, "qid", "term")
+    ways = stored(ways.join(ways.groupBy("terms").agg(F.min("qid").alias("way")), "terms").select("qid", "way"), "query-kinds")
+    asked = queries.join(ways.where("qid = way").select("qid"), "qid", "left_semi")
+    scores = bm25_scores(stored(posts.join(heads.select(id_col), id_col, "left_semi"), "head-postings"), n_records, asked, id_col, heads)
+    best = top_k(scores.withColumn("score", F.round("score", digits)), "qid", id_col, k)
+    best = best.select(F.col("qid").alias("way"), F.col(id_col).alias("kind"), "score")
+    members = top_k(kinds.withColumn("at", F.lit(0)), "kind", id_col, k, "at").select(id_col, "kind")
+    whole = top_k(best.join(members, "kind"), "way", id_col, k).select("way", id_col, "score", "rank")
+    return ways.join(whole, "way").select("qid", id_col, "score", "rank")
+
+
 def feedback_terms(posts: DataFrame, ranked: DataFrame, id_col: str, mu: float = 2000.0, k: int = 5) -> DataFrame:
     """The k terms that speak most for the records a query ranked first: Dirichlet-smoothed relevance model.
 

@@ -33,8 +33,7 @@ def field_weighted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     posts = stored(lexical.postings([(lexical.terms(part, "p_partkey", F.col(c)), w) for c, w in _FIELDS], "p_partkey"), "part-postings")
     asked = lexical.terms(part.where("p_partkey % 20 = 0"), "p_partkey", F.col("p_name")).select(F.col("p_partkey").alias("qid"), "term")
-    scores = lexical.bm25_scores(posts, part.agg(F.count("*").cast("double").alias("n")), asked, "p_partkey")
-    return lexical.top_k(scores.withColumn("score", F.round("score", 6)), "qid", "p_partkey", 10).select("qid", "p_partkey", "score", "rank")
+    return lexical.ranked_by_class(posts, part.agg(F.count("*").cast("double").alias("n")), asked, "p_partkey", 10)
 
 
 _NEAR = f"near AS (SELECT q.vec_id AS qid, v.vec_id, v.label, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS c FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND q.label = v.label)"
