@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, understanding
+from ..sources.scratch import stored
 from ..sources.tables import table
 from .registering import Plans
 
@@ -218,12 +219,17 @@ SELECT category, count(*) AS records, CAST(max(score) AS BIGINT) AS best, count(
 """)
 def distilled_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of each category by the words that are most its own and by its tag, where these score enough."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]{3,}"), F.lit(0)))).alias("word")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("own"), words)
-    counts = rows.groupBy(F.col("own").alias("category"), "word").agg(F.count("*").alias("n"))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]{3,}"), F.lit(0))))
+    part = table(spark, sf_dir, "part")
+    part = part.repartition(part.count() // 200_000 + 1, "p_partkey").select(F.col("p_brand").alias("own"), words.alias("words"))
+    # records of the same tag and words score alike, and are counted before categories multiply them
+    kinds = stored(part.groupBy("own", "words").agg(F.count("*").alias("copies")), "kinds")
+    counts = kinds.select(F.col("own").alias("category"), "copies", F.explode("words").alias("word")).groupBy("category", "word").agg(F.sum("copies").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(F.col("n").desc(), "word"))).where("r <= 5").select("category", "word")
-    scores = rows.join(top, "word").groupBy("p_partkey", "own", "category").agg((F.count("*") * 2).alias("n")).withColumn("score", F.col("n") + F.when(F.col("own") == F.col("category"), 1).otherwise(0))
-    return scores.where("score >= 2").groupBy("category").agg(F.count("*").alias("records"), F.max("score").alias("best"), F.count(F.when(F.col("own") == F.col("category"), 1)).alias("own"))
+    dealt = kinds.repartition(kinds.count() // 20_000 + 1, "own", "words").select("own", "words", "copies", F.explode("words").alias("word"))
+    own = F.col("own") == F.col("category")
+    scores = dealt.join(top, "word").groupBy("own", "words", "copies", "category").agg((F.count("*") * 2).alias("n")).withColumn("score", F.col("n") + F.when(own, 1).otherwise(0))
+    return scores.where("score >= 2").groupBy("category").agg(F.sum("copies").alias("records"), F.max("score").alias("best"), F.sum(F.when(own, F.col("copies")).otherwise(0)).alias("own"))
 
 
 @plans.query("""
