@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def cosines(terms: DataFrame, group: str, place: str) -> DataFrame:
     """(group, ra, rb, cosine), ra < rb: term-count cosine of the pairs of a short list that share a term; terms has a row an occurrence."""
-    tf = terms.groupBy(group, place, "term").agg(F.count("*").cast("double").alias("tf"))
+    tf = stored(terms.groupBy(group, place, "term").agg(F.count("*").cast("double").alias("tf")), "terms")
     norm = tf.groupBy(group, place).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     side = lambda r, t: tf.select(group, F.col(place).alias(r), "term", F.col("tf").alias(t))
     dots = side("ra", "ta").join(side("rb", "tb"), [group, "term"]).where("ra < rb").groupBy(group, "ra", "rb").agg(F.sum(F.col("ta") * F.col("tb")).alias("dot"))

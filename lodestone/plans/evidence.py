@@ -53,8 +53,9 @@ SELECT qid, array_to_string(kept, ',') AS kept FROM (SELECT *, row_number() OVER
 """)
 def distinct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the hits that stay when each that is too much like one kept before goes."""
-    rows = hits(spark, sf_dir).select("qid", "rank", F.explode(text.words(F.substring("text", 1, 2000))).alias("term"))
-    return evidence.greedy_distinct(evidence.cosines(rows, "qid", "rank"), hits(spark, sf_dir).select("qid", "rank"), 0.85).select("qid", F.array_join("kept", ",").alias("kept"))
+    found = stored(hits(spark, sf_dir).select("qid", "rank", F.substring("text", 1, 2000).alias("head")), "heads")
+    rows = found.select("qid", "rank", F.explode(text.words(F.col("head"))).alias("term"))
+    return evidence.greedy_distinct(evidence.cosines(rows, "qid", "rank"), found.select("qid", "rank"), 0.85).select("qid", F.array_join("kept", ",").alias("kept"))
 
 
 @plans.query(f"""
