@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .embedding import Codebook
+from .embedding import nearest_codes as in_blocks
 
 ROWS = "part int, centroid int, numbers array<double>"
 
@@ -82,11 +83,10 @@ def recoded(codes: DataFrame, rows: DataFrame, id_col: str, vector: str, book: C
 def nearest_codes(codes: DataFrame, id_col: str, book: Codebook, version: int, queries: DataFrame, k: int) -> DataFrame:
     """(qid, id, distance, rank): the k codes of a version nearest to each whole query vector (qid, q), by distances to its parts.
 
-    Codes are compared with every query, each a row of distances to look codes up in.
+    Codes meet the queries in blocks, which keep the k best of each query.
     """
     from .lexical import top_k
 
-    mine = codes.where(F.col("version") == version).select(id_col, book.places(F.col("code")).alias("at"))
-    both = mine.join(queries.select("qid", book.tables(F.col("q")).alias("t")), F.col(id_col) != F.col("qid"))
-    ranked = top_k(both.select("qid", id_col, (-book.looked_up(F.col("t"), F.col("at"))).alias("near")), "qid", id_col, k, "near")
+    mine = codes.where((F.col("version") == version) & F.col(id_col).isNotNull()).select(id_col, "code")
+    ranked = top_k(in_blocks(mine, queries.select("qid", "q"), id_col, book, k), "qid", id_col, k, "near")
     return ranked.select("qid", id_col, (-F.col("near")).alias("distance"), "rank")

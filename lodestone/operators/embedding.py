@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as along
 from ..functions.text import trigrams
+from ..sources.scratch import stored
 from .lexical import top_k
 
+QUERIES = 512  # queries of a block
+CODES = 131_072  # coded rows of a part
+
 
 def hashed(records: DataFrame, id_col: str, text: Column, dim: int = 128) -> DataFrame:
     """(id, bucket, weight): each text's character trigrams hashed to buckets, log-weighted and of unit length."""
@@ -76,24 +80,43 @@ class Codebook:
         terms = [F.get(F.array(*map(F.lit, row.tolist())), F.conv(F.hex(F.substring(codes, n + 1, 1)), 16, 10).cast("int")) for n, row in enumerate(table)]
         return sum(terms[1:], terms[0])
 
-    def tables(self, queries: Column) -> Column:
-        """The squared distances of each part of a query to each centroid, part after part: a row's table to look up codes in."""
-        centroids = self.centroids
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def table(v: pd.Series) -> pd.Series:
-            return pd.Series([((np.asarray(q, np.float64).reshape(len(centroids), 1, -1) - centroids) ** 2).sum(-1).ravel() for q in v], dtype=object)
+    def distances(self, query: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Squared distances of a whole query vector to coded ones, whose codes places has part by part, summed in the order of the parts."""
+        table = ((np.asarray(query, np.float64).reshape(len(self.centroids), 1, -1) - self.centroids) ** 2).sum(-1)
+        far = table[0].take(places[0])
+        for row, at in zip(table[1:], places[1:], strict=True):
+            far += row.take(at)
+        return far
 
-        return table(queries)
 
-    def places(self, codes: Column) -> Column:
-        """Where each part of a code stands in such a table."""
-        size = self.centroids.shape[1]
-        return F.array(*[F.conv(F.hex(F.substring(codes, n + 1, 1)), 16, 10).cast("int") + n * size for n in range(len(self.centroids))])
+def nearest_codes(coded: DataFrame, queries: DataFrame, id_col: str, book: Codebook, k: int, block: int = QUERIES, part: int = CODES) -> DataFrame:
+    """(qid, id, near): of the coded rows (id, code) those nearest to each of queries (qid, q), k of every part of them, not itself.
 
-    def looked_up(self, table: Column, places: Column) -> Column:
-        terms = [F.get(table, F.get(places, F.lit(n))) for n in range(len(self.centroids))]
-        return sum(terms[1:], terms[0])
+    Queries are dealt to blocks and codes to parts; each two meet in one task, which keeps the k best of each query, equal
+    ones by id. So no pair is moved but those, and a task holds a block and a part, however many rows there are.
+    """
+    blocks, parts = queries.count() // block + 1, coded.count() // part + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = coded.withColumn("p", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")).withColumn("b", every(blocks))
+    right = queries.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": [], id_col: [], "near": []})
+        places = np.ascontiguousarray(np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1).T.astype(np.intp))
+        ids, out = a[id_col].to_numpy(), []
+        for qid, query in zip(b["qid"], b["q"], strict=True):
+            far = book.distances(query, places)
+            far[np.isnan(far)] = -np.inf  # Spark has what is no number for the greatest
+            fit = np.flatnonzero(ids != qid)
+            if len(fit) > k:
+                fit = fit[far[fit] <= np.partition(far[fit], k - 1)[k - 1]]
+            fit = fit[np.lexsort((ids[fit], far[fit]))][:k]
+            out.append((np.repeat(np.asarray([qid], b["qid"].dtype), len(fit)), ids[fit], -far[fit]))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("qid", id_col, "near"), zip(*out, strict=True), strict=True)})
+
+    kind = coded.schema[id_col].dataType.simpleString()
+    return left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(best, f"qid {kind}, {id_col} {kind}, near double")
 
 
 def searched(rows: DataFrame, id_col: str, asked: Column, k: int = 10, candidates: int = 400, column: str = "embedding") -> DataFrame:
@@ -102,13 +125,13 @@ def searched(rows: DataFrame, id_col: str, asked: Column, k: int = 10, candidate
     All rows are ranked by their codes for each query, and so many candidates again in full. A vector without a
     direction, or null, neither asks nor is found.
     """
-    units = rows.select(id_col, asked.alias("asks"), along.unit(F.col(column)).alias("v")).where("v is not null")
+    units = rows.select(id_col, asked.alias("asks"), along.unit(F.col(column)).alias("v")).where(F.col("v").isNotNull() & F.col(id_col).isNotNull())
+    units = stored(units, "units")
     if units.isEmpty():
         return units.select(F.col(id_col).alias("qid"), id_col, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     book = Codebook.trained(units, "v", parts=32)
     queries = units.where("asks").select(F.col(id_col).alias("qid"), F.col("v").alias("q"))
-    coded = units.select(id_col, book.places(book.encode(F.col("v"))).alias("at"))
-    both = coded.join(queries.select("qid", book.tables(F.col("q")).alias("t")), F.col(id_col) != F.col("qid"))
-    near = top_k(both.select("qid", id_col, (-book.looked_up(F.col("t"), F.col("at"))).alias("near")), "qid", id_col, candidates, "near")
+    coded = units.select(id_col, book.encode(F.col("v")).alias("code"))
+    near = top_k(nearest_codes(coded, queries, id_col, book, candidates), "qid", id_col, candidates, "near")
     full = near.select("qid", id_col).join(units.select(id_col, "v"), id_col).join(queries, "qid")
     return top_k(full.select("qid", id_col, F.round(along.dot(F.col("q"), F.col("v")), 6).alias("score")), "qid", id_col, k)
