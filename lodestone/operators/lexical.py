@@ -29,16 +29,15 @@ def terms(records: DataFrame, id_col: str, text_col: Column, stemmed: bool = Tru
 def term_counts(records: DataFrame, id_col: str, text_col: Column) -> DataFrame:
     """(id, term, n): how often a record has a stemmed term.
 
-    Words are counted by record first and every distinct word is stemmed once; the vocabulary is broadcast or shuffled as
-    Spark's threshold says. Records are dealt to as many parts as their texts need, so that a task's counts do not grow.
+    Records are dealt to as many parts as their texts need, so that a task's counts do not grow. Words are counted by record
+    first and stemmed where they are counted: no word that many records have brings these together in a task.
     """
     parts = (records.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PART_BYTES + 1
     dealt = records.select(F.col(id_col), text_col.alias("text")).repartition(parts, id_col)
     rows = dealt.select(F.col(id_col), F.explode(text.words(F.col("text"))).alias("word")).where(text.is_term(F.col("word")))
-    counted = stored(rows.groupBy(id_col, "word").agg(F.count("*").alias("n")), "words")
-    bases = counted.select("word").distinct().withColumn("base", text.lemma(F.col("word"))).withColumn("suffix", text.suffix_of(F.col("base")))
-    stems = stored(bases.select("word", text.without_suffix(F.col("base"), F.col("suffix")).alias("term")), "stems")
-    return counted.join(stems, "word").select(id_col, "term", "n").repartition(parts, id_col).groupBy(id_col, "term").agg(F.sum("n").alias("n"))
+    bases = rows.groupBy(id_col, "word").agg(F.count("*").alias("n")).select(id_col, "n", text.lemma(F.col("word")).alias("base"))
+    stems = bases.withColumn("suffix", text.suffix_of(F.col("base"))).select(id_col, text.without_suffix(F.col("base"), F.col("suffix")).alias("term"), "n")
+    return stems.groupBy(id_col, "term").agg(F.sum("n").alias("n"))
 
 
 def postings(fields: list[tuple[DataFrame, float]], id_col: str) -> DataFrame:
@@ -58,27 +57,37 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_scores(posts: DataFrame, n_records: DataFrame, queries: DataFrame, id_col: str, copies: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) of every record that shares a term with a query.
+def shares(posts: DataFrame, n_records: DataFrame, asked: DataFrame, id_col: str, copies: DataFrame | None = None) -> DataFrame:
+    """(id, term, share): what each term of asked (term) adds to the score of each record that has it.
 
-    queries has (qid, term), a row for each occurrence: a term asked twice counts twice. n_records is one row (n). With copies
-    (id, copies) a record of posts stands for so many. The postings that queries ask for are dealt by record, in as many parts as
-    there are postings to fill, before queries multiply them: so no pair of a query and a record is moved.
+    The postings that are asked for are dealt by record, in as many parts as there are postings to fill, and so are the lengths
+    of records: what is joined to terms or grouped by record afterwards moves none of them again. Frequencies are written first,
+    so that Spark knows how few they are.
     """
-    asked = queries.groupBy("qid", "term").agg(F.count("*").alias("times"))
     size = lengths(posts, id_col)
     n = n_records.select("n").scalar()
     wanted = posts.join(asked.select("term").distinct(), "term", "left_semi")
     if copies is None:
-        mean, df = size.agg(F.sum("length")).scalar() / n, document_frequency(wanted)
+        mean, df = posts.agg(F.sum("tf")).scalar() / n, document_frequency(wanted)
     else:
         mean = size.join(copies, id_col).agg(F.sum(F.col("length") * F.col("copies"))).scalar() / n
         df = wanted.join(copies, id_col).groupBy("term").agg(F.sum("copies").alias("df"))
-    rare = df.select("term", scoring.idf(n, F.col("df")).alias("rarity"))
-    wanted = wanted.repartition(posts.count() // PART_ROWS + 1, id_col)
-    hits = wanted.join(rare, "term").join(size, id_col)
-    share = scoring.bm25(F.col("tf"), F.col("length"), mean, F.col("rarity"))
-    return hits.select(id_col, "term", share.alias("share")).join(asked, "term").groupBy("qid", id_col).agg(F.sum(F.col("share") * F.col("times")).alias("score"))
+    rare = stored(df.select("term", scoring.idf(n, F.col("df")).alias("rarity")), "rarities")
+    parts = posts.count() // PART_ROWS + 1
+    hits = posts.join(rare, "term").repartition(parts, id_col).join(size.repartition(parts, id_col), id_col)
+    return hits.select(id_col, "term", scoring.bm25(F.col("tf"), F.col("length"), mean, F.col("rarity")).alias("share"))
+
+
+def bm25_scores(posts: DataFrame, n_records: DataFrame, queries: DataFrame, id_col: str, copies: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) of every record that shares a term with a query.
+
+    queries has (qid, term), a row for each occurrence: a term asked twice counts twice. n_records is one row (n). With copies
+    (id, copies) a record of posts stands for so many. Queries multiply the shares where their records are, so no pair of a
+    query and a record is moved.
+    """
+    asked = stored(queries.groupBy("qid", "term").agg(F.count("*").alias("times")), "asked")
+    found = shares(posts, n_records, asked, id_col, copies).join(asked, "term")
+    return found.groupBy("qid", id_col).agg(F.sum(F.col("share") * F.col("times")).alias("score"))
 
 
 def top_k(scores: DataFrame, by: str, id_col: str, k: int, score: str = "score") -> DataFrame:
@@ -112,13 +121,15 @@ def ranked_by_class(posts: DataFrame, n_records: DataFrame, queries: DataFrame,
 def feedback_terms(posts: DataFrame, ranked: DataFrame, id_col: str, mu: float = 2000.0, k: int = 5) -> DataFrame:
     """The k terms that speak most for the records a query ranked first: Dirichlet-smoothed relevance model.
 
-    ranked has (qid, id, score). A record's share is its score's share of its query's scores.
+    ranked has (qid, id, score). A record's share is its score's share of its query's scores. The postings of ranked records are
+    written first, so that only their terms are counted in all.
     """
     whole = posts.agg(F.sum("tf")).scalar()
-    common = posts.groupBy("term").agg(F.sum("tf").alias("c_tf")).select("term", (F.col("c_tf") / whole).alias("p_term"))
+    held = stored(posts.join(ranked.select(id_col).distinct(), id_col, "left_semi"), "held")
+    common = posts.join(held.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("tf").alias("c_tf")).select("term", (F.col("c_tf") / whole).alias("p_term"))
     weight = F.col("score") / F.sum("score").over(Window.partitionBy("qid"))
-    chosen = ranked.withColumn("weight", weight).join(lengths(posts, id_col), id_col)
-    rows = chosen.join(posts, id_col).join(common, "term")
+    chosen = ranked.withColumn("weight", weight).join(lengths(held, id_col), id_col)
+    rows = chosen.join(held, id_col).join(common, "term")
     smoothed = (F.col("tf") + mu * F.col("p_term")) / (F.col("length") + mu)
     model = rows.groupBy("qid", "term").agg(F.round(F.sum(F.col("weight") * smoothed), 9).alias("p"))
     return top_k(model, "qid", "term", k, "p")

@@ -15,9 +15,10 @@ def _rarity(n: Column, df: Column) -> Column:
 def feedback_model(posts: DataFrame, best: DataFrame, n: Column, id_col: str, mu: float = 2000.0, least: float = 1.0, k: int = 10) -> DataFrame:
     """(qid, term, p): the k terms that the best records speak for on average, smoothed, among those rare enough."""
     whole = posts.agg(F.sum("tf")).scalar()
-    size = posts.groupBy(id_col).agg(F.sum("tf").alias("length"))
-    held = best.select("qid", id_col).join(posts, id_col).join(size, id_col)
-    wanted = posts.join(held.select("term").distinct(), "term", "left_semi").groupBy("term").agg((F.sum("tf") / whole).alias("p_term"), F.count("*").alias("df"))
+    own = stored(posts.join(best.select(id_col).distinct(), id_col, "left_semi"), "held")
+    size = own.groupBy(id_col).agg(F.sum("tf").alias("length"))
+    held = best.select("qid", id_col).join(own, id_col).join(size, id_col)
+    wanted = posts.join(own.select("term").distinct(), "term", "left_semi").groupBy("term").agg((F.sum("tf") / whole).alias("p_term"), F.count("*").alias("df"))
     rare = wanted.where(_rarity(n, F.col("df")) >= least)
     model = held.join(rare, "term").groupBy("qid", "term").agg(F.avg((F.col("tf") + mu * F.col("p_term")) / (F.col("length") + mu)).alias("p"))
     order = Window.partitionBy("qid").orderBy(F.round("p", 12).desc(), "term")

@@ -168,7 +168,7 @@ def expansion_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = ranking._posts(spark, sf_dir)
     ranked = stored(ranking.ranked_documents(spark, sf_dir, posts), "ranked")
     n = table(spark, sf_dir, "documents").agg(F.count("*").cast("double").alias("n")).scalar()
-    held = posts.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = stored(posts.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi"), "held")
     df = lexical.document_frequency(posts.join(held.select("term").distinct(), "term", "left_semi"))
     asked = ranking._asked(spark, sf_dir).select("qid", "term").distinct()
     seen = ranked.where("rank <= 5").select("qid", "doc_id").join(held, "doc_id").join(asked, ["qid", "term"], "left_anti")

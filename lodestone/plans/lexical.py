@@ -30,7 +30,8 @@ _RANKED = f"SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITI
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(lexical.postings([(lexical.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), 1.0)], "doc_id"), "postings")
+    counts = lexical.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return stored(counts.select("doc_id", "term", F.col("n").cast("double").alias("tf")), "postings")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
