@@ -35,10 +35,16 @@ def bridge_terms(hits: DataFrame, records: DataFrame, posts: DataFrame, asked: D
 
 
 def bridged(hits: DataFrame, bridges: DataFrame, posts: DataFrame, n_records: DataFrame, asked: DataFrame, id_col: str, k: int) -> DataFrame:
-    """(qid, id, score, rank): records not among the hits that the bridge terms find, and that share a term with the query."""
-    scores = lexical.bm25_scores(posts, n_records, bridges.select("qid", "term"), id_col)
-    sharing = posts.join(asked.select("qid", "term").distinct(), "term").select("qid", id_col).distinct()
-    fresh = scores.join(hits.select("qid", id_col), ["qid", id_col], "left_anti").join(sharing, ["qid", id_col], "left_semi")
+    """(qid, id, score, rank): records not among the hits that the bridge terms find, and that share a term with the query.
+
+    Bridge terms and asked ones multiply the shares together, where their records are: a pair has both or goes.
+    """
+    known = asked.select("qid", "term", F.lit(0).alias("times"), F.lit(True).alias("asked")).distinct()
+    both = bridges.select("qid", "term", F.lit(1).alias("times"), F.lit(False).alias("asked")).union(known)
+    both = stored(both.groupBy("qid", "term").agg(F.sum("times").alias("times"), F.max("asked").alias("asked")), "bridged")
+    pairs = lexical.shares(posts, n_records, both, id_col).join(both, "term").groupBy("qid", id_col)
+    scores = pairs.agg(F.sum(F.when(F.col("times") > 0, F.col("share") * F.col("times"))).alias("score"), F.max("asked").alias("asked"))
+    fresh = scores.where("asked AND score IS NOT NULL").join(hits.select("qid", id_col), ["qid", id_col], "left_anti")
     return lexical.top_k(fresh.select("qid", id_col, F.round(BRIDGE_SHARE * F.col("score"), 4).alias("score")), "qid", id_col, k)
 
 
