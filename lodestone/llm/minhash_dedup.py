@@ -157,12 +157,12 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInPandas(pack, "doc_id long, packed binary").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
 
 
-def unpacked_pieces(batches):
-    """Lists of (doc_id, text) of some MB together, from batches of texts_of."""
+def unpacked_pieces(batches, most: int = 4 << 20):
+    """Lists of (doc_id, text) of about ``most`` bytes together, from batches of texts_of."""
     for batch in batches:
         expand = zstandard.ZstdDecompressor().decompress
         rows = ((i, expand(t)) for i, t in zip(batch["doc_id"], batch["packed"], strict=True))
-        yield from pieces(rows, lambda r: len(r[1]))
+        yield from pieces(rows, lambda r: len(r[1]), most)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:

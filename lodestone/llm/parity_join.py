@@ -48,7 +48,8 @@ WIDTH = 16  # words of 64 bits of the narrow sketch
 GROWTH = 1.4  # of the sizes of a band
 SEEDS = 6
 KEY = np.uint64(0xFFFFFFFFFFFF0000)  # the bits of a key that are kept: chance agreement makes a candidate at worst
-HELD = 1 << 21  # keys that a task sorts together
+HELD = 1 << 20  # keys that a task sorts together
+PIECE = 1 << 20  # bytes of texts whose sets a task makes together, about: their arrays are some thirty times as large
 PART = 1 << 20  # keys of one slice of the key range, about
 SPLIT = 512  # members of a key that a task compares others with
 ROUNDS = 3
@@ -121,7 +122,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def of(batches):
         for batch in batches:
-            for part in pieces(list(zip(batch["doc_id"], batch["text"], strict=True)), lambda r: len(r[1]) + 64 * WIDTH):
+            for part in pieces(list(zip(batch["doc_id"], batch["text"], strict=True)), lambda r: len(r[1]) + 64 * WIDTH, PIECE):
                 sets = shingle_sets([t for _, t in part], k)
                 bits = parity_bits(sets)
                 sums = np.array([(mixed(s).sum(), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) for s in sets], np.uint64).view(np.int64)
@@ -158,30 +159,36 @@ def slices(keys: np.ndarray, nodes: np.ndarray, parts: int, salt: int):
         yield -1, salt + a, packed(k[a : a + PART]), packed(n[a : a + PART])
 
 
+def packed_keys(batches, k: int, similar: int, parts: int, held: int):
+    """Batches of PACKED from those of texts_of, of about so many keys each."""
+    keys, owners, count = [], [], 0
+
+    def flush():
+        rows = slices(np.concatenate(keys), np.concatenate(owners), parts, int(owners[0][0]) * 997 % (1 << 40))
+        keys.clear()
+        owners.clear()
+        rows = list(rows)
+        for a in range(0, len(rows), 64):
+            yield pd.DataFrame(rows[a : a + 64], columns=PACKED.names)
+
+    for part in unpacked_pieces(batches, PIECE):
+        found, of = block_keys(shingle_sets([t for _, t in part], k), similar)
+        if len(found):
+            keys.append(found)
+            owners.append(np.array([i for i, _ in part], np.int64)[of])
+            count += len(found)
+        if count >= held:
+            yield from flush()
+            count = 0
+    if count:
+        yield from flush()
+
+
 def shared_keys(docs: DataFrame, nodes: DataFrame, k: int, similar: int) -> DataFrame:
     """(key, node): the nodes of keys that several nodes have; a row may come twice."""
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts, held = max(shuffles(docs.sparkSession), int(0.6 * total) // PART + 1), HELD
-
-    def keyed(batches):
-        keys, owners, count = [], [], 0
-
-        def flush():
-            rows = list(slices(np.concatenate(keys), np.concatenate(owners), parts, int(owners[0][0]) * 997 % (1 << 40)))
-            for a in range(0, len(rows), 64):
-                yield pd.DataFrame(rows[a : a + 64], columns=PACKED.names)
-
-        for part in unpacked_pieces(batches):
-            found, of = block_keys(shingle_sets([t for _, t in part], k), similar)
-            if len(found):
-                keys.append(found)
-                owners.append(np.array([i for i, _ in part], np.int64)[of])
-                count += len(found)
-            if count >= held:
-                yield from flush()
-                keys, owners, count = [], [], 0
-        if count:
-            yield from flush()
+    keyed = lambda batches: packed_keys(batches, k, similar, parts, held)
 
     def met(group: pd.DataFrame) -> pd.DataFrame:
         keys, nodes = (np.concatenate([unpacked(x) for x in group[c]]) for c in ("keys", "nodes"))
@@ -243,7 +250,7 @@ class ParityLinker(Linker):
     def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, k: int, similar: int):
         def of(batches):
             for batch in batches:
-                for part in unpacked_pieces([batch]):
+                for part in unpacked_pieces([batch], PIECE):
                     sets, compress = shingle_sets([t for _, t in part], k), zstandard.ZstdCompressor(level=3).compress
                     yield pd.DataFrame({"node": [i for i, _ in part], "n": [len(s) for s in sets], "packed": [compress(t) for _, t in part], "wide": [wide_bits(s) if len(s) > 64 * WIDTH else b"" for s in sets]})
 

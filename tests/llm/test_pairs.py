@@ -96,3 +96,20 @@ def test_wide_sketches_fold():
         b = set(r.sample(sorted(a), n - n // 9)) | {r.getrandbits(64) for _ in range(m - n + n // 9)}
         x, y = (parity_join.wide_bits(np.array(sorted(s), np.uint64)) for s in (a, b))
         assert len(a ^ b) // 3 <= parity_join._distance(x, y) <= len(a ^ b)
+
+
+def test_keys_are_made_in_small_pieces():
+    import random
+    import tracemalloc
+
+    import pandas as pd
+    import zstandard
+
+    r, compress = random.Random(4), zstandard.ZstdCompressor(level=1).compress
+    texts = [compress(" ".join(str(r.randrange(10**5)) for _ in range(9000)).encode()) for _ in range(170)]
+    batch = pd.DataFrame({"doc_id": range(170), "packed": texts})
+    tracemalloc.start()
+    rows = sum(len(b) for b in parity_join.packed_keys([batch], 5, 80, 50, parity_join.HELD))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows >= 50 and peak < 80
