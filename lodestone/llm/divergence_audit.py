@@ -2,11 +2,15 @@
 
 A term is a run of letters (every character beyond ASCII counts as one), A-Z lower-cased. For each language
 CountVectorizer keeps the terms in at least LEAST of its documents (minDF) with no limit on their number (vocabSize is
-the largest integer), and turns each document into a sparse vector of exact counts. CountVectorizer holds its vocabulary
-on the driver and sends it to every task; so that neither grows with the corpus, the terms of a language with more than
-VOCABULARY distinct ones are dealt by their hash to shards of about as many, each with a fit of its own: a shard is
-written once, and a fit reads its shard alone. Vectors are summed by group as sparse cells (language, source, term,
-count), never as dense arrays.
+the largest integer), and turns rows of terms into sparse vectors. Rows are not single documents: those of a group that
+meet in a task are folded before into rows of terms that occur equally often (n) in equally many of them (d, LEAST for
+more), so that a term of a task is looked up once and not at each occurrence. A fit reads a row d times, which leaves the
+terms in at least LEAST documents the same, and n times a row's vector is added to the sums.
+
+CountVectorizer holds its vocabulary on the driver and sends it to every task; so that neither grows with the corpus, the
+terms of a language that keeps more than VOCABULARY of them are dealt by their hash to shards of about as many, each with
+a fit of its own: a shard is written once, and a fit reads its shard alone. Vectors are summed by group as sparse cells
+(language, source, term, count), never as dense arrays.
 
 With p the smoothed share of a term in parts of a thousand million, the distance of a group from another is the sum of
 f = floor((p - q)^2 / q) over the vocabulary. Pairs are evaluated sparsely: terms that neither group has all give the
@@ -20,70 +24,144 @@ language with one source has no pair rows; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import zlib
+from collections import _count_elements, defaultdict
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, scratch, stored, table
+from .common import scratch, shuffles, stored, table
+from .hashing import pieces
 
 LEAST = 3
 MOST = 2**31 - 1
-VOCABULARY = 4_000_000  # distinct terms, rare ones too, of one fit at most, as estimated
+VOCABULARY = 200_000  # terms that one fit keeps at most, as estimated: what the driver holds at once
+HELD = 500_000  # terms of groups that a task holds at once
+LONGEST = 4096  # terms of a row
 PART = 16
 RANKS = 200
 SCALE = 1_000_000_000
-APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """(source, terms, of), a row for each document; of names its language."""
+#: Bytes of a text as they count: letters with A-Z lower-cased, and a blank for what stands between terms.
+BYTES = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+FOLDED = "source string, n long, d int, terms array<string>, of string"
+
+
+def rows_of(groups: dict, least: int) -> Iterator[tuple]:
+    """(source, n, d, terms, of): terms of a group that occur n times, in d documents (least for more), at most LONGEST a row."""
+    for (of, source), (times, docs) in groups.items():
+        alike = defaultdict(list)
+        for term, n in times.items():
+            alike[n, min(docs[term], least)].append(term)
+        for (n, d), terms in alike.items():
+            for at in range(0, len(terms), LONGEST):
+                yield source, n, d, terms[at : at + LONGEST], of
+
+
+def batch_of(rows: list[tuple], kinds: tuple) -> pa.RecordBatch:
+    """Rows of (source, n, d, terms, a last column of a string or int kind); terms are UTF-8."""
+    source, n, d, terms, last = zip(*rows, strict=True)
+    ends = np.cumsum([0, *map(len, terms)])
+    words = pa.array([t for row in terms for t in row], pa.binary()).view(pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
+    return pa.record_batch([pa.array(source, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int32()), lists, pa.array(last, kinds[0])], names=["source", "n", "d", "terms", kinds[1]])
+
+
+def batches_of(rows: Iterator[tuple], kinds: tuple) -> Iterator[pa.RecordBatch]:
+    for part in pieces(rows, lambda row: 64 + 16 * len(row[3])):
+        yield batch_of(part, kinds)
+
+
+def folded(docs: DataFrame, least: int) -> DataFrame:
+    """FOLDED: documents of a group that meet in a task as rows of terms that occur equally often there.
+
+    Ranges of (language, source, row) are as long for a group of any size, and most tasks hold one or two groups.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, held = defaultdict(lambda: ({}, {})), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for of, source, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    times, seen = groups[of, source]
+                    terms, before = text.translate(BYTES).split(), len(times)
+                    _count_elements(times, terms)
+                    _count_elements(seen, set(terms))
+                    held += len(times) - before
+                if held + len(groups) >= HELD:
+                    yield from batches_of(rows_of(groups, least), (pa.string(), "of"))
+                    groups.clear()
+                    held = 0
+        yield from batches_of(rows_of(groups, least), (pa.string(), "of"))
+
     empty = F.lit("")
-    text, lang = ascii_lower(F.coalesce("text", empty)), F.coalesce("lang", empty)
-    return docs.select(F.coalesce("source", empty).alias("source"), F.array_remove(F.split(text, APART), "").alias("terms"), F.concat(F.lit("l"), F.hex(lang)).alias("of"))
+    rows = docs.select(F.concat(F.lit("l"), F.hex(F.coalesce("lang", empty))).alias("of"), F.coalesce("source", empty).alias("source"), F.coalesce("text", empty).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    return rows.repartitionByRange(shuffles(docs.sparkSession), "of", "source", "row").drop("row").mapInArrow(fold, FOLDED)
 
 
-def dealt(docs: DataFrame, vocabulary: int):
-    """(lang, (source, terms)) for each language, and for each shard of the terms of one that has many.
+def dealt(docs: DataFrame, least: int, vocabulary: int):
+    """(lang, rows of folded) for each language, and for each shard of the terms of one that keeps many.
 
-    Documents are written by language, so that a fit reads those of its own only; of the corpus the driver gets a row
+    Rows are written by language, so that a fit reads those of its own only; of the corpus the driver gets a row
     for each language.
     """
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "terms")
-    tokenised(docs).write.partitionBy("of").option("compression", "zstd").parquet(path)
-    every = spark.read.schema("source string, terms array<string>, of string").parquet(path)
-    # a language has at most PART times the distinct terms of one of PART parts of its documents; results do not depend on it
-    part = every.sample(1 / PART, seed=1).select("of", F.explode("terms").alias("t")).groupBy("of").agg(F.approx_count_distinct("t").alias("n"))
-    langs = every.select("of").distinct().join(part, "of", "left").orderBy("of").collect()
+    folded(docs, least).write.partitionBy("of").option("compression", "zstd").parquet(path)
+    every = spark.read.schema(FOLDED).parquet(path)
+    # terms kept among a sixteenth of all hashes tell how many a language keeps; results do not depend on it
+    some = every.select("of", "d", F.explode(F.expr(f"filter(terms, t -> pmod(xxhash64(t), {PART}) = 0)")).alias("t"))
+    some = some.groupBy("of", "t").agg(F.sum("d").alias("d")).where(F.col("d") >= least).groupBy("of").agg(F.count("*").alias("n"))
+    langs = every.select("of").distinct().join(some, "of", "left").orderBy("of").collect()
     for of, n in langs:
         lang, mine = bytes.fromhex(of[1:]).decode(), every.where(F.col("of") == of).drop("of")
         shards = max(1, -(-PART * (n or 0) // vocabulary))
         if shards == 1:
             yield lang, mine
             continue
-        path = scratch(spark, "shards")
-        each = mine.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        each.withColumn("terms", F.expr(f"filter(terms, t -> pmod(xxhash64(t), {shards}) = shard)")).write.partitionBy("shard").option("compression", "zstd").parquet(path)
-        parts = spark.read.schema("source string, terms array<string>, shard int").parquet(path)
+
+        def split(batches: Iterator[pa.RecordBatch], shards: int = shards) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple]:
+                for batch in batches:
+                    for source, n, d, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        parts = defaultdict(list)
+                        for term in map(str.encode, terms):
+                            parts[zlib.crc32(term) % shards].append(term)
+                        for shard, part in parts.items():
+                            yield source, n, d, part, shard
+
+            yield from batches_of(rows(), (pa.int32(), "shard"))
+
+        path, kind = scratch(spark, "shards"), "source string, n long, d int, terms array<string>, shard int"
+        mine.mapInArrow(split, kind).write.partitionBy("shard").option("compression", "zstd").parquet(path)
+        parts = spark.read.schema(kind).parquet(path)
         for shard in range(shards):
             yield lang, parts.where(F.col("shard") == shard).drop("shard")
 
 
 def cells(docs: DataFrame, least: int = LEAST, vocabulary: int = VOCABULARY) -> DataFrame:
     """(lang, source, term, c): how often a group has a term of its language's vocabulary, where it has it at all."""
-    spark, out = docs.sparkSession, None
-    for lang, shard in dealt(docs, vocabulary):
-        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least), vocabSize=MOST).fit(shard)
-        words = model.vocabulary
-        if not words:
+    spark, path, found = docs.sparkSession, scratch(docs.sparkSession, "cells"), False
+    for lang, shard in dealt(docs, least, vocabulary):
+        # a row stands once for each of its d documents, so that as many rows have a term as documents, or least at least
+        each = shard.select("terms", F.explode(F.sequence(F.lit(1), "d")).alias("_")).select("terms")
+        model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(least), vocabSize=MOST).fit(each)
+        words = pa.array(model.vocabulary, pa.string())
+        if not len(words):
             continue
-        vectors = model.transform(shard).select("source", F.unwrap_udt("v").alias("v"))
-        counts = vectors.select("source", "v.values", F.posexplode("v.indices").alias("at", "i")).select("source", "i", F.get("values", "at").cast("long").alias("n"))
+        vectors = model.transform(shard).select("source", "n", F.unwrap_udt("v").alias("v"))
+        counts = vectors.select("source", "n", "v.values", F.posexplode("v.indices").alias("at", "i")).select("source", "i", (F.col("n") * F.get("values", "at").cast("long")).alias("n"))
         sums = counts.groupBy("source", "i").agg(F.sum("n").alias("c"))
-        names = spark.createDataFrame(pa.table({"i": pa.array(range(len(words)), pa.int32()), "term": pa.array(words, pa.string())}))
-        part = stored(sums.join(names, "i").select(F.lit(lang).alias("lang"), "source", "term", "c"), "cells")
-        out = part if out is None else out.union(part)
-    return spark.createDataFrame([], "lang string, source string, term string, c long") if out is None else out
+        names = spark.createDataFrame(pa.table({"i": pa.array(range(len(words)), pa.int32()), "term": words}))
+        part = sums.join(names, "i").select(F.lit(lang).alias("lang"), "source", "term", "c")
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+        found = True
+    kind = "lang string, source string, term string, c long"
+    return spark.read.schema(kind).parquet(path) if found else spark.createDataFrame([], kind)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

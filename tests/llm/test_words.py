@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import divergence_audit, spelling_variants
 
@@ -167,3 +168,26 @@ def test_audit_odd(spark, none, clashing, odd_rows, tmp_path):
     assert got == brute_audit([(r[1], r[2], r[3]) for r in odd_rows])
     lone = spark.createDataFrame([("a b", "en", "s")], "text string, lang string, source string")
     assert divergence_audit.audit(lone).count() == 0
+
+
+def test_audit_fits_see_terms_not_tokens(spark, monkeypatch):
+    seen = []
+
+    class Watched(divergence_audit.CountVectorizer):
+        def fit(self, rows):
+            model = super().fit(rows)
+            seen.append((rows.agg(F.sum(F.size("terms"))).first()[0], len(model.vocabulary)))
+            return model
+
+    monkeypatch.setattr(divergence_audit, "CountVectorizer", Watched)
+    words = prose(600, 7).split()
+    words = [f"{w}{a}{b}" for w in words[:8] for a in "abcdefgh" for b in "abcdefgh"]
+    r = random.Random(13)
+    rows = [(" ".join(r.choices(words, k=400)), "en", "ab"[n % 2]) for n in range(200)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    found = {(x.source, x.term): x.c for x in divergence_audit.cells(docs, vocabulary=200).collect()}
+    expected = Counter((source, w) for text, _, source in rows for w in text.split())
+    assert found == expected
+    tokens, tasks = 200 * 400, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(seen) > 1 and max(kept for _, kept in seen) <= 400
+    assert sum(n for n, _ in seen) <= min(tokens / 2, 3 * (tasks + 1) * len(set(words)))
