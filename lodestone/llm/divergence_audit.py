@@ -39,7 +39,7 @@ from .hashing import pieces
 
 LEAST = 3
 MOST = 2**31 - 1
-VOCABULARY = 200_000  # terms that one fit keeps at most, as estimated: what the driver holds at once
+VOCABULARY = 100_000  # terms that one fit keeps at most, as estimated: what the driver holds at once
 HELD = 500_000  # terms of groups that a task holds at once
 LONGEST = 4096  # terms of a row
 PART = 16
