@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, shuffles, stored, table
+from .common import bucketed, shuffles, small_batches, stored, table
 from .components import Copies, components
 from .hashing import Words, mixed, pieces
 
@@ -44,6 +44,7 @@ MANTISSA = 10
 ROUNDS = 3
 BITS = tuple(f"bits{n}" for n in range(-(-BUCKETS // 64)))  # columns with the last bit of every register
 SPLIT = 512  # members of a bucket that a task compares others with
+PIECE = 1 << 19  # bytes of texts whose sets a task makes together, about: their arrays are some thirty times as large
 MAPS = 64  # words of 64 bits of a set's bitmap
 MARGIN = 4.5  # standard errors by which an estimate may miss the threshold
 _rng = np.random.default_rng(11)
@@ -122,7 +123,7 @@ def estimated(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     def of(batches):
         for batch in batches:
-            for part in pieces(list(zip(batch["doc_id"], batch["text"], strict=True)), lambda r: len(r[1])):
+            for part in pieces(list(zip(batch["doc_id"], batch["text"], strict=True)), lambda r: len(r[1]) + 4 * BUCKETS, PIECE):
                 sets = shingle_sets([t for _, t in part], k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 regs = registers([sets[i] for i in full]) if full else np.zeros((0, BUCKETS), "<u2")
@@ -157,7 +158,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInPandas(pack, "doc_id long, packed binary").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
 
 
-def unpacked_pieces(batches, most: int = 4 << 20):
+def unpacked_pieces(batches, most: int = PIECE):
     """Lists of (doc_id, text) of about ``most`` bytes together, from batches of texts_of."""
     for batch in batches:
         expand = zstandard.ZstdDecompressor().decompress
@@ -176,6 +177,12 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return texts_of(docs, nodes).mapInPandas(of, SET)
 
 
+def once(udf):
+    """udf as not deterministic: else a filter on its column is pushed below it, and two workers a task run it twice."""
+    return udf.asNondeterministic()
+
+
+@once
 @F.pandas_udf(T.DoubleType())
 def estimate(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
     if not len(a):
@@ -291,33 +298,34 @@ def cross_pairs(members: DataFrame, linker: Linker) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = K, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs."""
-    sketch = stored(sketches(docs, k), "sketches")
-    copies = Copies(sketch)
-    # a set of n shingles can only be linked with another one if n / (n + 1) reaches the threshold
-    firsts = copies.nodes().where(100 * F.col("n") >= similar * (F.col("n") + 1))
-    nodes = stored(firsts.select("node", "n", "keys", "registers", *BITS), "nodes")
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "n", *BITS)
-    heads = stored(rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "heads")
-    members = stored(rows.join(heads, "key"), "members")
-    linker = Linker(docs, nodes, members, k, similar)
-    pairs = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    open_pairs = linker.promising(pairs)
-    best = Window.partitionBy("b").orderBy(F.col("estimate").desc(), "a")
-    for n in range(ROUNDS):
-        tried = stored(open_pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), "tried")
-        if tried.isEmpty() and n:
-            break
-        linker.verify(tried)
-        rest = open_pairs.join(tried, ["a", "b"], "left_anti")
-        rest = linker.labelled(linker.labelled(rest, "a", "la"), "b", "lb").where("la <> lb")
-        open_pairs = stored(rest.select("a", "b", "estimate"), "open")
-    left = linker.promising(cross_pairs(members, linker))
-    if not left.isEmpty():
-        linker.verify(left)
-    every = copies.carried(linker.labelled(copies.same.select("node").distinct(), "node", "label"))
-    component = F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with small_batches(docs.sparkSession):
+        sketch = stored(sketches(docs, k), "sketches")
+        copies = Copies(sketch)
+        # a set of n shingles can only be linked with another one if n / (n + 1) reaches the threshold
+        firsts = copies.nodes().where(100 * F.col("n") >= similar * (F.col("n") + 1))
+        nodes = stored(firsts.select("node", "n", "keys", "registers", *BITS), "nodes")
+        rows = nodes.select(F.explode("keys").alias("key"), "node", "n", *BITS)
+        heads = stored(rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"), "heads")
+        members = stored(rows.join(heads, "key"), "members")
+        linker = Linker(docs, nodes, members, k, similar)
+        pairs = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        open_pairs = linker.promising(pairs)
+        best = Window.partitionBy("b").orderBy(F.col("estimate").desc(), "a")
+        for n in range(ROUNDS):
+            tried = stored(open_pairs.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), "tried")
+            if tried.isEmpty() and n:
+                break
+            linker.verify(tried)
+            rest = open_pairs.join(tried, ["a", "b"], "left_anti")
+            rest = linker.labelled(linker.labelled(rest, "a", "la"), "b", "lb").where("la <> lb")
+            open_pairs = stored(rest.select("a", "b", "estimate"), "open")
+        left = linker.promising(cross_pairs(members, linker))
+        if not left.isEmpty():
+            linker.verify(left)
+        every = copies.carried(linker.labelled(copies.same.select("node").distinct(), "node", "label"))
+        component = F.when(F.col("n") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
+        component = F.when(F.col("doc_id").isNotNull(), component)
+        return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,45 @@ def test_near_duplicates_stage(spark, clashing):
     assert ids[1] == 1 and 2 not in ids and ids[4] == ids[5] == 1 and ids[None] == 2
 
 
+def test_estimates_are_made_once(spark, monkeypatch):
+    """A filter on them that is pushed below would run them twice, in two workers a task."""
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, name: df)
+    monkeypatch.setattr(minhash_dedup, "bucketed", lambda df, *_, **__: df)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc_id long, text string")
+    nodes = minhash_dedup.sketches(docs, 2).withColumn("node", F.col("doc_id"))
+    linker = minhash_dedup.Linker(docs, nodes, nodes, 2, 80)
+    plan = linker.promising(spark.createDataFrame([(1, 2)], "a long, b long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def held_at_most(module, monkeypatch, batch, piece):
+    """Let tasks of module fail that get more bytes of texts in one batch, or make sets of more together."""
+    cut, made = module.pieces, module.shingle_sets
+
+    def pieces(rows, size_of, *most):
+        assert not isinstance(rows, list) or sum(len(r[1]) for r in rows) < batch
+        return cut(rows, size_of, *most)
+
+    def shingle_sets(texts, k):
+        assert sum(map(len, texts)) < piece
+        return made(texts, k)
+
+    monkeypatch.setattr(module, "pieces", pieces)
+    monkeypatch.setattr(module, "shingle_sets", shingle_sets)
+
+
+def long_texts(spark):
+    """15 MB in one partition."""
+    return spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id") + 1000, F.lit(" ")), 833).alias("text"))
+
+
+def test_near_duplicates_in_small_batches(spark, monkeypatch):
+    held_at_most(minhash_dedup, monkeypatch, 8 << 20, 1 << 20)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert minhash_dedup.near_duplicates(long_texts(spark), 2).where("kept AND n_shingles = 1").count() == 3000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_registers_estimate():
     r = np.random.default_rng(3)
     whole = r.integers(0, 2**64, 1000, dtype=np.uint64)
