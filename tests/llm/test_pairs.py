@@ -5,12 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import parity_join
+from lodestone.llm import minhash_dedup, parity_join
 from lodestone.llm.hashing import mixed
 
 from .conftest import folder, prose
-from .test_corpus import brute_components, edited
+from .test_corpus import brute_components, edited, held_at_most, long_texts
 
 
 def brute(rows, k):
@@ -58,6 +59,22 @@ def test_parity_join_odd(spark, none, clashing, odd_rows, tmp_path):
     assert got == brute([(r[0], r[1]) for r in odd_rows], 5)
 
 
+def test_wide_distances_are_made_once(spark, monkeypatch):
+    for module in (minhash_dedup, parity_join):
+        monkeypatch.setattr(module, "stored", lambda df, name: df)
+        monkeypatch.setattr(module, "bucketed", lambda df, *_, **__: df)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g")], "doc_id long, text string")
+    nodes = parity_join.sketches(docs, 2).withColumn("node", F.col("doc_id"))
+    linker = parity_join.ParityLinker(docs, nodes, nodes, 2, 80)
+    plan = linker.promising(spark.createDataFrame([(1, 2)], "a long, b long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_parity_join_in_small_batches(spark, monkeypatch):
+    held_at_most(parity_join, monkeypatch, 8 << 20, 1 << 20)
+    assert parity_join.joined(long_texts(spark)).where("doc_id = component_id AND n_shingles = 1").count() == 3000
+
+
 @pytest.mark.parametrize("size", [4, 5, 6, 7, 9, 10, 19, 50, 333, 2500])
 def test_pigeonhole_loses_no_link(size):
     """Sets that differ as much as similarity 0.8 allows share a key, however many pairs are drawn."""
