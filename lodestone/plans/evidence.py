@@ -37,7 +37,7 @@ def thinned_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COSINES = """
-f AS (SELECT qid, rank, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT qid, rank, unnest(regexp_extract_all(lower(substr(text, 1, 2000)), '[a-z0-9_]+')) AS term FROM h) GROUP BY ALL),
+f AS (SELECT qid, rank, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT qid, rank, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM h) GROUP BY ALL),
 o AS (SELECT qid, rank, sqrt(sum(tf * tf)) AS norm FROM f GROUP BY ALL),
 p AS (SELECT a.qid, a.rank AS ra, b.rank AS rb, sum(a.tf * b.tf) / (any_value(x.norm) * any_value(y.norm)) AS cosine FROM f a JOIN f b ON a.qid = b.qid AND a.term = b.term AND a.rank < b.rank
       JOIN o x ON x.qid = a.qid AND x.rank = a.rank JOIN o y ON y.qid = b.qid AND y.rank = b.rank GROUP BY ALL)
@@ -53,8 +53,8 @@ SELECT qid, array_to_string(kept, ',') AS kept FROM (SELECT *, row_number() OVER
 """)
 def distinct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the hits that stay when each that is too much like one kept before goes."""
-    found = stored(hits(spark, sf_dir).select("qid", "rank", F.substring("text", 1, 2000).alias("head")), "heads")
-    rows = found.select("qid", "rank", F.explode(text.words(F.col("head"))).alias("term"))
+    found = stored(hits(spark, sf_dir).select("qid", "rank", "text"), "texts")
+    rows = found.select("qid", "rank", F.explode(text.words(F.col("text"))).alias("term"))
     return evidence.greedy_distinct(evidence.cosines(rows, "qid", "rank"), found.select("qid", "rank"), 0.85).select("qid", F.array_join("kept", ",").alias("kept"))
 
 
