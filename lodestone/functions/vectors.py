@@ -22,8 +22,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """A vector of length 1 in the same direction; null for one without a direction. Of unit vectors, dot is the cosine."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+    scaled = lambda size: F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))  # the length is bound once, not worked out for each element
 
 
 def surprise(similarity: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text, vectors
 from ..operators import lexical, recall
+from ..operators.nearest import nearest
 from ..sources.scratch import stored
 from ..sources.tables import table
 from . import lexical as ranking
@@ -43,12 +44,9 @@ _NEAR = f"near AS (SELECT q.vec_id AS qid, v.vec_id, v.label, list_cosine_simila
 def boosted_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of each query vector's label by cosine, recency and status together."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("v"))
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("v").alias("q"))
-    near = rows.join(asked, "label").where("qid <> vec_id")
     recency = 1.0 - 0.5 * (F.col("vec_id") % 100) / 100
     status = F.when(F.col("label") % 3 == 0, 1.2).when(F.col("label") % 3 == 1, 1.0).otherwise(0.8)
-    scores = near.select("qid", "vec_id", F.round(F.coalesce(vectors.dot(F.col("q"), F.col("v")), F.lit(0.0)) * recency * status, 6).alias("score"))
-    return lexical.top_k(scores, "qid", "vec_id", 10).select("qid", "vec_id", "score", "rank")
+    return nearest(rows, "vec_id", "v", F.col("vec_id") % 20 == 0, 10, "label", weights=(recency, status)).select("qid", "vec_id", "score", "rank")
 
 
 _FEEDBACK = f"""
